@@ -274,7 +274,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = materialize(simhash_dedup(docs).select("doc_id", "component_id"), "components")
     kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
     repeats = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    out = docs.join(kept.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    # Kept ids grow with the documents, so they are never broadcast, whatever a small run's statistics say.
+    out = docs.join(kept.withColumnRenamed("doc_id", "__kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     if repeats.isEmpty():
         return out
     return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
