@@ -65,8 +65,8 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
             yield c >> np.uint32(32 - BUCKET_BITS), owner[: len(ok)][ok]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 2, rate: float = 0.5) -> Model:
-    """Fit on (lang, text) rows. Each text gives pieces of 24 to 600 bytes from places all over it; a fifth of the texts are kept for calibration."""
+def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 9000, rate: float = 0.5) -> Model:
+    """Fit on (lang, text) rows. Each text gives pieces of 24 to 600 bytes from places all over it; a fifth of the texts are kept for calibration. At least ``steps`` pieces are seen."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in rows}, key=str.encode)
     known = {lang: i for i, lang in enumerate(langs)}
@@ -89,6 +89,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = 2, rate: flo
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, n_langs), np.float32), np.zeros(n_langs, np.float32)
     use = [i for i in np.flatnonzero(fits) if bounds[i + 1] > bounds[i]]
+    epochs = -(-steps // len(use)) if use else 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(use):

@@ -134,6 +134,9 @@ def _hidden(model: Model, x: np.ndarray) -> np.ndarray:
 def train(table: np.ndarray, rows: list[tuple[int, str]], seed: int = 3, epochs: int = 60) -> Model:
     """Adam on (label, text) rows, four fifths of them; the rest sets the temperature."""
     rng = np.random.default_rng(seed)
+    if not rows:
+        width = 2 * table.shape[1] + 2
+        return Model(table, np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 4.0, 1.0, np.zeros(width), np.ones(width))
     x = pooled(table, pa.array([t for _, t in rows], pa.string()))
     y = np.array([float(q) for q, _ in rows])
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -158,7 +161,7 @@ def train(table: np.ndarray, rows: list[tuple[int, str]], seed: int = 3, epochs:
                 param -= 0.003 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
     model = Model(table, params[0], params[1], params[2], float(params[3][0]), 1.0, mean, scale)
     if len(set(y)) < 2:
-        model.second, model.second_bias = np.zeros(HIDDEN), (4.0 if len(y) == 0 or y.mean() > 0.5 else -4.0)
+        model.second, model.second_bias = np.zeros(HIDDEN), (4.0 if y.mean() > 0.5 else -4.0)
     elif (~fits).any():
         logits = _hidden(model, x[~fits]) @ model.second + model.second_bias
         sign = np.where(y[~fits] > 0, 1.0, -1.0)
