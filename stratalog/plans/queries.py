@@ -324,7 +324,8 @@ def fn_4_strip_timestamps(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select("doc_id", F.md5(clock.strip_timestamps(stamped)).alias("plain_md5"))
 
 
-@query(f"SELECT doc_id, md5({FOLD_SQL.format('text')}) AS fold_md5, len(list_distinct(list_transform(range(1, length({FOLD_SQL.format('text')})), lambda i: substring({FOLD_SQL.format('text')}, i, 2))))::BIGINT AS n_bigrams FROM documents")
+@query(f"""WITH f AS MATERIALIZED (SELECT doc_id, {FOLD_SQL.format('text')} AS f FROM documents), c AS MATERIALIZED (SELECT doc_id, f, string_split(f, '') AS c FROM f)
+    SELECT doc_id, md5(f) AS fold_md5, len(list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])))::BIGINT AS n_bigrams FROM c""")
 def fn_5_and_7_fold_bigrams(spark, sf_dir):
     from ..functions.dialect import fold
 
