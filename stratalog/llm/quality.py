@@ -174,12 +174,14 @@ def probability(model: Model, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits / model.temperature, -40, 40)))
 
 
-def _score(shared, names: list[str]):
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(probability(shared.value, batch.column(batch.num_columns - 1)))], names)
+def _score(shared):
+    """Probabilities of a column of texts: only the texts go to Python and only the scores come back."""
 
-    return run
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(probability(shared.value, column), pa.float64())
+
+    # not deterministic, so that a filter on the score doesn't compute it again
+    return F.arrow_udf(run, "double").asNondeterministic()
 
 
 def fit(docs: DataFrame, labels: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_DOCS) -> Model:
@@ -204,10 +206,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     spark = docs.sparkSession
     bound_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
-    names = [*kept, "score"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "score double"])
-    found = rows.mapInArrow(_score(spark.sparkContext.broadcast(model), names), schema)
+    found = docs.select(*kept, _score(spark.sparkContext.broadcast(model))(F.col(text_col).cast("string")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
