@@ -95,6 +95,24 @@ def validate(notes: DataFrame, entries: DataFrame | None = None, archives: DataF
     return rows.select("note_id", "passed", "overall", *[n for n, _ in WEIGHTS], "errors", "warnings", "code_blocks", "mermaid_count", "provenance_tags", "has_time_anchor", "questions", "answers", "wikilinks", "dangling", "anchor_count")
 
 
+def reports(results: DataFrame) -> DataFrame:
+    """(note_id, json, text): a report of each row of :func:`validate`, as one JSON line and as lines to read. Write it with any text or JSON sink."""
+
+    def listed(column: str) -> Column:
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"\n{column} ("), F.size(column).cast("string"), F.lit("):\n  - "), F.array_join(column, "\n  - "))).otherwise("")
+
+    scores = [F.concat(F.lit(f"{n} "), F.format_string("%.0f%%", F.col(n) * 100)) for n, _ in WEIGHTS]
+    head = F.concat(F.coalesce("note_id", F.lit("")), F.when(F.col("passed"), ": passed (").otherwise(": failed ("), F.format_string("%.0f/100", F.col("overall") * 100), F.lit(")\n"))
+    data = F.to_json(F.struct("note_id", "passed", "overall", F.struct(*[n for n, _ in WEIGHTS]).alias("scores"), "errors", "warnings"))
+    return results.select("note_id", data.alias("json"), F.concat(head, F.concat_ws(" | ", *scores), listed("errors"), listed("warnings")).alias("text"))
+
+
+def exit_code(results: DataFrame) -> int:
+    """0 if every note passed, 1 if one failed, 2 if there is no note. One aggregate row comes to the driver."""
+    row = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("passed")).alias("ok")).first()
+    return 2 if not row["n"] else int(row["ok"] < row["n"])
+
+
 AUDIT_SCHEMA = "video_id string, candidates array<struct<quote:string,timestamp:string,kept:boolean,reason:struct<irreplaceable:string,non_derivable:string,memorable:string>,reason_failed:string>>, final_anchors string"
 
 

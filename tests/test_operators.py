@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,16 @@ def test_pieces_join_to_the_text_and_linking_twice_changes_nothing(spark):
     assert out.value.startswith("[[a/note1|uno]] and graph") and "- [[graph]]" in out.value and (out.n_strong, out.n_footer) == (1, 1)
 
 
+def test_gate_reports(spark):
+    rows = gate.validate(spark.createDataFrame([("bad", "```\nopen"), ("empty", "")], "note_id string, value string"))
+    got = {r.note_id: r for r in gate.reports(rows).collect()}
+    assert set(got) == {"bad", "empty"}
+    data = json.loads(got["bad"].json)
+    assert not data["passed"] and "open_fence" in data["errors"] and data["scores"]["code"] == 0
+    assert got["bad"].text.startswith("bad: failed (") and "  - open_fence" in got["bad"].text
+    assert [gate.exit_code(x) for x in (rows, rows.withColumn("passed", F.lit(True)), rows.where("false"))] == [1, 0, 2]
+
+
 def test_gate(spark):
     good = "---\ntitle: x\n---\n🎯 **全篇通关目标**\n[05:20] [🎥 原片]\n## 闭环自测\n### 1. a\n### 2. b\n### 3. c\n<details>1. x</details>\n<details>y</details>\n<details>z</details>\n"
     bad = good + "```\n"
