@@ -18,26 +18,28 @@ ANCHOR = rf'>[ \t]*\[!quote\][ \t]*{MIC}[ \t]*原片教学锚点[（(]([^\n）)]
 MARKER, MENTION = rf"(?m)^>[ \t]*\[!quote\][ \t]*{MIC}[ \t]*原片教学锚点", r"(?m)^>.*原片教学锚点"
 CUE = r"\[(\d{1,2}:\d{2}(?::\d{2})?)(?U:\s*)-->(?U:\s*)(\d{1,2}:\d{2}(?::\d{2})?)\](?U:\s*)([^\n]+)"
 MAX_ANCHORS, MAX_QUOTE, FUZZY, RECALL = 6, 100, 0.78, 0.55
-#: Length of the pieces of a quote on which containment candidates meet.
+#: Greatest length of the blocks on which containment candidates meet.
 PIECE = 24
 
 
 def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """(doc_id, quote_id) of folded quotes that are substrings of folded texts. Empty folds match nothing.
 
-    A text that holds a quote holds its first ``piece`` characters. Texts emit the hash of each of their pieces that
-    falls among the quotes' first pieces, so the join is an equi-join; ``contains`` verifies. Shorter quotes meet at
-    their own length.
+    Texts are cut in blocks of ``piece`` characters from their start. A quote of 2 * piece - 1 characters or more covers
+    a whole block wherever it lies, at one of its first ``piece`` offsets: texts emit their blocks, quotes the pieces at
+    those offsets, and the join is an equi-join of hashes; ``contains`` verifies. Shorter quotes meet on shorter blocks.
     """
-    q = quotes.select("quote_id", fold(F.col("quote")).alias("needle")).where("needle <> ''").withColumn("len", F.least(F.length("needle"), F.lit(piece)))
-    q = q.withColumn("h", F.xxhash64(F.substring(F.col("needle"), F.lit(1), F.col("len"))))
-    lengths = q.select("len").distinct()
-    texts = docs.select("doc_id", fold(F.col("text")).alias("hay")).where("hay <> ''")
-    pieces = texts.join(F.broadcast(lengths), F.length("hay") >= F.col("len"))  # at most ``piece`` lengths
+    q = quotes.select("quote_id", fold(F.col("quote")).alias("needle")).where("needle <> ''")
+    q = q.withColumn("len", F.least(F.floor((F.length("needle") + 1) / 2).cast("int"), F.lit(piece)))
     width = F.col("len")
-    keys = F.transform(F.array(characters(F.col("hay"))), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(c, i, width), "")))))
-    keyed = pieces.select("doc_id", "len", F.explode(F.get(keys, F.lit(0))).alias("h"))
-    found = keyed.join(q.select("quote_id", "len", "h"), ["len", "h"]).select("doc_id", "quote_id").distinct()
+    # The characters are bound as a lambda's variable, so that they are split once, not for every offset.
+    starts = F.transform(F.array(characters(F.substring("needle", 1, 2 * piece - 1))), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), width), lambda i: F.xxhash64(F.array_join(F.slice(c, i, width), "")))))
+    asked = q.select("quote_id", "len", F.explode(F.get(starts, F.lit(0))).alias("h"))
+    texts = docs.select("doc_id", fold(F.col("text")).alias("hay")).where("hay <> ''")
+    lengths = q.select("len").distinct()  # at most ``piece`` lengths
+    blocks = F.regexp_extract_all("hay", F.concat(F.lit("(?s).{"), width.cast("string"), F.lit("}")), F.lit(0))
+    pieces = texts.join(F.broadcast(lengths), F.length("hay") >= width).select("doc_id", "len", F.explode(F.array_distinct(F.transform(blocks, lambda x: F.xxhash64(x)))).alias("h"))
+    found = pieces.join(asked, ["len", "h"]).select("doc_id", "quote_id").distinct()
     sure = found.join(q.select("quote_id", "needle"), "quote_id").join(texts, "doc_id").where(F.contains("hay", F.col("needle")))
     return sure.select("doc_id", "quote_id")
 
