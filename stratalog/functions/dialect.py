@@ -22,14 +22,25 @@ def newlines(text: Column) -> Column:
     return F.replace(text, F.lit("\r\n"), F.lit("\n"))
 
 
+def starts_within(words) -> str:
+    """A lookahead for the range of the words' first characters: one comparison spares the alternatives at most places."""
+    first = [ord(w[0]) for w in words]
+    return rf"(?=[\x{{{min(first):x}}}-\x{{{max(first):x}}}])"
+
+
 def contains_any(text: Column, words) -> Column:
     """Whether any of the literal words is a substring."""
-    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
+    return text.rlike(starts_within(words) + "(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
 
 
 def word_pattern(words, ignore_case: bool = True) -> str:
     """A pattern of whole words, bounded by characters that are no letter, digit or underscore of any script."""
-    return rf"(?{'iU' if ignore_case else 'U'})\b({'|'.join(words)})\b"
+    flags, guard = "iU" if ignore_case else "U", ""
+    if all(w[0].isascii() and w[0].isalpha() for w in words):
+        # Cheap and implied by what follows; the last four fold to s, k and i where case is ignored.
+        letters = "".join(sorted({c for w in words for c in (w[0].lower(), w[0].upper())}))
+        guard = rf"(?-iU:(?=[{letters}\x{{17f}}\x{{212a}}\x{{130}}\x{{131}}])(?<![A-Za-z0-9_]))"
+    return rf"(?{flags}){guard}\b({'|'.join(words)})\b"
 
 
 def ratio_text(numerator: Column, denominator: Column) -> Column:

@@ -5,7 +5,7 @@ TRAP_EN = ("bug", "tle", "mle", "wa", "error", "fail", "overflow")
 TECH_CN = ("递归", "递推", "状态", "转移", "边界", "复杂度", "空间", "时间", "数组", "指针", "背包", "贪心", "优化", "容量", "价值", "重量", "体积", "下标", "输入", "输出", "例题", "反例", "证明", "循环", "函数", "变量", "参数", "树", "图", "栈", "队列", "堆", "哈希", "排序", "二分", "分治", "剪枝", "记忆化", "滚动", "正序", "逆序", "倒序", "不变量")
 TECH_EN = ("dp", "dfs", "bfs", "max", "min", "vector", "int", "void", "return", "if", "for", "while", "const", "auto", "struct", "class", "memo")
 CODE_WORDS = ("int", "void", "vector", "for", "while", "if", "return", "dp", "dfs", "bfs", "max", "min", "memo", "f", "g")
-CODE_MARKS = r"[a-zA-Z_][\p{L}\p{N}_]*(?U:\s*)[(=\[<>]|->|\+\+|--|==|!=|<=|>=|;(?U:\s*)\z"
+CODE_MARKS = r"(?<![a-zA-Z_])[a-zA-Z_][\p{L}\p{N}_]*+(?U:\s*+)[(=\[<>]|->|\+\+|--|==|!=|<=|>=|;(?U:\s*)\z"
 FORMULA_MARKS = r"[=+\-*/^]|dp\[|f\(|O\(|\\sum|\\le|\\ge|\\in"
 NOISE = (
     "扣[1一]|点个赞|投个币|粉丝牌|关注主播|谢谢.*礼物|送出.*飞机|送的.*礼物|感谢.*送的",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.clock import fmt_ts
-from ..functions.dialect import strip
+from ..functions.dialect import starts_within, strip
 from .folds import drop_repeated_heads
 from .signals import has_code, has_formula, has_tech_word, has_trap, is_noise
 
@@ -17,13 +17,13 @@ SENTENCE = r"([^，。！？；…\n]+)([，。！？；…\n]*)"
 
 def tidy(sentence: Column) -> Column:
     """Repeated fillers and punctuation once, the last one of each run."""
-    once = F.regexp_replace(sentence, rf"({'|'.join(lexicon.REPEATED)}){{2,}}", "$1")
+    once = F.regexp_replace(sentence, rf"{starts_within(lexicon.REPEATED)}({'|'.join(lexicon.REPEATED)}){{2,}}", "$1")
     return F.regexp_replace(once, "([，。！？；]){2,}", "$1")
 
 
 def sentences(segments: DataFrame) -> DataFrame:
     """(video_id, seq, start, sub, text, code, tech, trap, noise): each segment's sub-sentences with their flags."""
-    parts = F.transform(F.arrays_zip(F.regexp_extract_all("body", F.lit(SENTENCE), 1).alias("a"), F.regexp_extract_all("body", F.lit(SENTENCE), 2).alias("b")), lambda p: F.when(strip(p["a"]) != "", F.concat(strip(p["a"]), p["b"])))
+    parts = F.transform(F.arrays_zip(F.regexp_extract_all("body", F.lit(SENTENCE), 1).alias("a"), F.regexp_extract_all("body", F.lit(SENTENCE), 2).alias("b")), lambda p: F.when(p["a"].rlike(r"(?U)\S"), F.concat(strip(p["a"]), p["b"])))
     rows = segments.withColumn("body", strip(F.coalesce("text", F.lit("")))).select("video_id", "seq", "start", F.posexplode(F.filter(parts, lambda p: p.isNotNull())).alias("sub", "raw"))
     rows = rows.select("video_id", "seq", "start", "sub", tidy(strip(F.col("raw"))).alias("text")).where("text <> ''")
     rows = rows.withColumns({"code": has_code(F.col("text")), "trap": has_trap(F.col("text")), "word": has_tech_word(F.col("text")), "chat": is_noise(F.col("text"))})
@@ -35,14 +35,14 @@ def traps(parsed: DataFrame) -> DataFrame:
 
 
 def clean_lines(parsed: DataFrame) -> DataFrame:
-    """(video_id, seq, start, text, tech, trap): sub-sentences joined again without noise; empty lines vanish."""
+    """(video_id, seq, start, text, tech, trap, n_traps): sub-sentences joined again without noise; empty lines vanish, none of them with a trap."""
     kept = F.transform(F.array_sort(F.collect_list(F.when(~F.col("noise"), F.struct("sub", "text")))), lambda x: x["text"])
-    rows = parsed.groupBy("video_id", "seq", "start").agg(strip(F.array_join(kept, "")).alias("text"), F.bool_or("tech").alias("tech"), F.bool_or("trap").alias("trap"))
+    rows = parsed.groupBy("video_id", "seq", "start").agg(strip(F.array_join(kept, "")).alias("text"), F.bool_or("tech").alias("tech"), F.bool_or("trap").alias("trap"), F.count_if("trap").alias("n_traps"))
     return rows.where("text <> ''")
 
 
 def fold_idle(lines: DataFrame, seconds: float = 90, least: int = 3) -> DataFrame:
-    """(video_id, seq, kind, t_from, t_to, n_lines, text): maximal runs without signal of ``seconds`` and ``least`` lines become one row of kind fold."""
+    """(video_id, seq, kind, t_from, t_to, n_lines, text, n_traps): maximal runs without signal of ``seconds`` and ``least`` lines become one row of kind fold."""
     by = W.partitionBy("video_id").orderBy("seq")
     signal = F.col("tech") | F.col("trap")
     rows = lines.withColumns({"signal": signal, "island": F.sum(signal.cast("int")).over(by)})
@@ -58,20 +58,24 @@ def fold_idle(lines: DataFrame, seconds: float = 90, least: int = 3) -> DataFram
         F.when(F.col("idle"), F.col("t_to")).otherwise(F.col("start")).alias("t_to"),
         F.when(F.col("idle"), F.col("n_lines")).otherwise(1).cast("long").alias("n_lines"),
         F.when(~F.col("idle"), F.col("text")).alias("text"),
+        "n_traps",
     )
 
 
 def condense(segments: DataFrame, captions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments (video_id, seq, start, text) to (condensed rows, trap rows, statistics a video). Select chunks before, never after: folds see their neighbours."""
     kept = drop_repeated_heads(segments) if captions else segments
-    parsed = sentences(kept)
+    # One exchange, before the parsing: lines, runs and statistics are all within a video and need no other.
+    parsed = sentences(kept.repartition("video_id"))
     rows, found = fold_idle(clean_lines(parsed)), traps(parsed)
     n = F.length(strip(F.coalesce("text", F.lit(""))))
     raw = segments.groupBy("video_id").agg(F.sum(n).alias("raw_chars"))
-    left = kept.groupBy("video_id").agg(F.sum(n).alias("dedup_chars"))
-    clean = rows.groupBy("video_id").agg(F.sum(F.coalesce(n, F.lit(0))).alias("clean_chars"), F.count_if(F.col("kind") == "fold").alias("folds"))
-    n_traps = found.groupBy("video_id").agg(F.count(F.lit(1)).alias("traps_count"))
-    stats = raw.join(left, "video_id", "left").join(clean, "video_id", "left").join(n_traps, "video_id", "left").na.fill(0)
+    clean = rows.groupBy("video_id").agg(F.sum(F.coalesce(n, F.lit(0))).alias("clean_chars"), F.count_if(F.col("kind") == "fold").alias("folds"), F.sum("n_traps").alias("traps_count"))
+    if captions:
+        raw = raw.join(kept.groupBy("video_id").agg(F.sum(n).alias("dedup_chars")), "video_id", "left")
+    else:
+        raw = raw.withColumn("dedup_chars", F.col("raw_chars"))
+    stats = raw.join(clean, "video_id", "left").na.fill(0)
     stats = stats.withColumn("dedup_removed", F.col("raw_chars") - F.col("dedup_chars"))
     return rows, found, stats
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.dialect import contains_any, word_pattern
+from ..functions.dialect import contains_any, starts_within, word_pattern
 
 
 def has_tech_word(text: Column, cn=lexicon.TECH_CN, en=lexicon.TECH_EN) -> Column:
@@ -28,7 +28,8 @@ def has_formula(text: Column) -> Column:
 
 def is_noise(text: Column) -> Column:
     """Small talk: a pattern on the first line of the text."""
-    return text.rlike("|".join(rf"\A.*(?:{p})" for p in lexicon.NOISE))
+    parts = "|".join(lexicon.NOISE)
+    return text.rlike(rf"(?d)\A.*{starts_within(parts.split('|'))}(?:{parts})")
 
 
 def tech_hits(text: Column, cn=lexicon.TECH_CN, en=lexicon.TECH_EN) -> Column:
