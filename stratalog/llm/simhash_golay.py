@@ -264,18 +264,3 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, all columns as they came; of repeated rows, one stays.
-
-    Rows of a component without any id are kept, as nothing tells them apart.
-    """
-    found = materialize(simhash_dedup(docs).select("doc_id", "component_id"), "components")
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    repeats = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    # Kept ids grow with the documents, so they are never broadcast, whatever a small run's statistics say.
-    out = docs.join(kept.withColumnRenamed("doc_id", "__kept_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if repeats.isEmpty():
-        return out
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import decontaminate, language_id, license_scan, line_dedup, media_audio, mixing, quality, queries, sharding, simhash_golay, token_counts
+from stratalog.llm import decontaminate, language_id, license_scan, line_dedup, media_audio, mixing, near_dedup, quality, queries, sharding, simhash_golay, token_counts
 from stratalog.llm.components import connected_components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -275,6 +275,46 @@ def test_pipeline_stages(spark):
     assert out and {r.doc_id for r in out} <= {r.doc_id for r in d.collect()} and max(Counter(r.doc_id for r in out).values()) <= 3
 
 
+@pytest.mark.parametrize("most", [8 << 20, 6000])
+def test_near_dedup_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "BUCKET_BYTES", most)
+    rng = np.random.default_rng(6)
+    rows = [(0, None), (1, ""), (2, " \t"), (3, "one two"), (4, "ONE  two"), (5, "one three")]
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(20, 300)))]
+        for i in range(12):
+            w = list(base)
+            for j in rng.integers(0, len(w), int(len(w) * rng.random() * 0.08)):
+                w[j] = f"q{rng.integers(0, 500)}"
+            rows.append((100 * (g + 1) + i, " ".join(w)))
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))} if (t or "").split() else set()
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += bin(simhash_golay.fingerprint((rows[i][1] or "").encode()) ^ simhash_golay.fingerprint((rows[j][1] or "").encode())).count("1") > 4
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = sorted(r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert far and got == [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+def test_pipeline_near_dedup_on_the_table(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in d.collect())
+    grams = [{tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} for _, t in rows]
+    parent = list(range(len(rows)))
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, d, SF).collect()) == [rows[i][0] for i in range(len(rows)) if find(i) == i]
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert out and {r.doc_id for r in out} <= {r[0] for r in rows} and max(Counter(r.doc_id for r in out).values()) <= 3
+
+
 def test_pooling_is_bounded_by_rows():
     table = np.eye(quality.BUCKETS, 4, dtype=np.float32)
     x = quality.pooled(table, pa.array(["", None, "a b a b", "é"]))
