@@ -200,6 +200,22 @@ def test_license_scan(spark):
     assert got == ["MIT", "GPL-3.0", None, None]
 
 
+def test_license_lines_of_the_table_by_brute_force(spark):
+    lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All-rights-reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = {r.doc_id: {lines[x] for x in r.text.split("\n") if x in lines} for r in d.collect()}
+    seen = {x for r in d.collect() for x in r.text.split("\n") if re.search(r"(?i)licen|rights reserved|copyright", x)}
+    got = {r.doc_id: r.license for r in license_scan.scan(d, keep=["doc_id"]).collect()}
+    assert seen <= set(lines) and sum(map(bool, held.values())) > 20
+    assert all(got[i] in names if names else got[i] is None for i, names in held.items())
+
+
+def test_every_template_is_found():
+    own = sorted(((name, license_scan.words_of(t.encode())) for name, t in license_scan.TEMPLATES), key=lambda x: (-len(x[1]), x[0]))
+    for name, words in own:
+        assert license_scan.scan_words([b"foo", *words, b"bar"], own, 0.8)[:2] == (name, 1.0)
+
+
 def test_mix_keeps_bounds(spark):
     rows = queries.op8_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     taken, target, size = Counter(), {}, max(r.size for r in rows)
