@@ -121,39 +121,115 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def scan_words(words: list[bytes], templates: list[tuple[str, list[bytes]]], least: float) -> tuple[str | None, float, int, int]:
-    """(name, coverage, first word, last word + 1) of the template with the largest coverage of at least ``least``; of equals the longest, then the first by name.
+def _dense(words: list[bytes], need: Counter, span: int, least: float) -> list[list[int]]:
+    """Merged stretches of ``words`` in which some ``span`` words hold at least ``least`` of the needed ones."""
+    marks = [i for i, w in enumerate(words) if w in need]
+    have, common, first, out = Counter(), 0, 0, []
+    for i in marks:
+        have[words[i]] += 1
+        common += have[words[i]] <= need[words[i]]
+        while marks[first] <= i - span:
+            w = words[marks[first]]
+            common -= have[w] <= need[w]
+            have[w] -= 1
+            first += 1
+        if common >= least:
+            if out and marks[first] < out[-1][1]:
+                out[-1][1] = i + 1
+            else:
+                out.append([marks[first], i + 1])
+    return out
+
+
+def _placed(words: list[bytes], lo: int, hi: int, own: list[bytes], need: Counter, at: dict[bytes, list[int]], least: float) -> tuple[int, int, int] | None:
+    """(aligned words, first, end) of the notice in words[lo:hi] at the place that most words vote for, or None.
+
+    A word votes for the place where the template would begin. A place is aligned by itself and with room for
+    insertions; of these, the alignment with the most words for its span is taken. Places of long templates that lie
+    within a 32nd of their length share the room, so the first of them stands for all.
+    """
+    if sum((Counter(w for w in words[lo:hi] if w in need) & need).values()) < least:
+        return None
+    unit, tried = max(1, len(own) // 32), set()
+    votes = Counter(i - j for i in range(lo, hi) for j in at.get(words[i], ()))
+    for place, _ in votes.most_common():
+        if place // unit in tried:
+            continue
+        tried.add(place // unit)
+        best = None
+        for room in (0, len(own) // 4 + 1, len(own)):
+            x, y = max(lo, place - room), min(hi, place + len(own) + room)
+            part = words[x:y]
+            if sum((Counter(w for w in part if w in need) & need).values()) < least:
+                continue
+            aligned = patience(part, own)
+            first, end = (x + aligned[0][0], x + aligned[-1][0] + 1) if aligned else (x, x)
+            if len(aligned) >= least and (best is None or 2 * len(aligned) - (end - first) > 2 * best[0] - (best[2] - best[1])):
+                best = (len(aligned), first, end)
+        if best:
+            return best
+    return None
 
-    Coverage is the largest over the text's stretches between the template's words: where a template's words are
-    further apart than twice its length, the text is cut, as a notice stands together.
+
+def occurrences(words: list[bytes], own: list[bytes], least: float) -> list[tuple[float, int, int]]:
+    """(coverage, first word, last word + 1) of each place of the template with a coverage of at least ``least``, in order.
+
+    Places don't overlap. They are sought where the template's words stand densely, best first, and each is taken out
+    before the next is sought; then what remains of each stretch without gaps of over twice the template's length is
+    aligned as a whole, for notices with long insertions.
     """
-    best: tuple = (None, 0.0, 0, 0)
-    held = None
+    need, wanted = Counter(own), least * len(own)
+    rare = min(need.values()) if len(own) > 200 else len(own)
+    at: dict[bytes, list[int]] = {}
+    for j, w in enumerate(own):
+        if need[w] <= rare:
+            at.setdefault(w, []).append(j)
+    found = []
+    todo = _dense(words, need, 3 * len(own), wanted)
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= wanted and (best := _placed(words, lo, hi, own, need, at, wanted)):
+            found.append(best)
+            todo += [[lo, best[1]], [best[2], hi]]
+    taken = {i for _, first, end in found for i in range(first, end)}
+    groups: list[list[int]] = []
+    for i, w in enumerate(words):
+        if w in need and i not in taken:
+            if groups and i - groups[-1][-1] <= 2 * len(own) and not (taken and any(k in taken for k in range(groups[-1][-1] + 1, i))):
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+    for group in groups:
+        part = words[group[0] : group[-1] + 1]
+        if sum((Counter(w for w in part if w in need) & need).values()) >= wanted:
+            aligned = patience(part, own)
+            if len(aligned) >= wanted:
+                found.append((len(aligned), group[0] + aligned[0][0], group[0] + aligned[-1][0] + 1))
+    return sorted(((n / len(own), first, end) for n, first, end in found), key=lambda x: x[1])
+
+
+def scan_all(words: list[bytes], templates: list[tuple[str, list[bytes]]], least: float) -> list[tuple[str, float, int, int, int]]:
+    """(name, coverage, first word, last word + 1, words of the template) of each place of each template."""
+    found, held = [], None
     for name, own in templates:
-        need = Counter(own)
         if len(words) < least * len(own):
             continue
         if held is None:
             held = set(words)
-        if sum(n for w, n in need.items() if w in held) < least * len(own):
+        if sum(w in held for w in own) < least * len(own):
             continue
-        marks = [i for i, w in enumerate(words) if w in need]
-        groups, reach = [], 2 * len(own)
-        for i in marks:
-            if groups and i - groups[-1][1] <= reach:
-                groups[-1][1] = i
-            else:
-                groups.append([i, i])
-        for lo, hi in groups:
-            part = words[lo : hi + 1]
-            have = Counter(w for w in part if w in need)
-            if sum((have & need).values()) < least * len(own):
-                continue
-            aligned = patience(part, own)
-            coverage = len(aligned) / len(own)
-            if coverage >= least and (coverage, len(own)) > (best[1], best[4] if len(best) > 4 else 0):
-                best = (name, coverage, lo + aligned[0][0], lo + aligned[-1][0] + 1, len(own))
-    return best[:4]
+        found += [(name, *place, len(own)) for place in occurrences(words, own, least)]
+    return found
+
+
+def best_of(found: list[tuple[str, float, int, int, int]]) -> tuple[str | None, float, int, int]:
+    """The place with the largest coverage; of equals that of the longest template, then the first by name and place."""
+    return min(found, key=lambda x: (-x[1], -x[4], x[0], x[2]))[:4] if found else (None, 0.0, 0, 0)
+
+
+def scan_words(words: list[bytes], templates: list[tuple[str, list[bytes]]], least: float) -> tuple[str | None, float, int, int]:
+    """(name, coverage, first word, last word + 1) of the best place of any template, see ``best_of``."""
+    return best_of(scan_all(words, templates, least))
 
 
 def _scan(templates: list[tuple[str, list[bytes]]], least: float, names: list[str]):

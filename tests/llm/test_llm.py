@@ -216,6 +216,24 @@ def test_every_template_is_found():
         assert license_scan.scan_words([b"foo", *words, b"bar"], own, 0.8)[:2] == (name, 1.0)
 
 
+def test_repeated_notices_in_prose():
+    own = sorted(((name, license_scan.words_of(t.encode())) for name, t in license_scan.TEMPLATES), key=lambda x: (-len(x[1]), x[0]))
+    words = "the foo released under the mit license bar released under the mit license baz the".split()
+    assert license_scan.scan_words([w.encode() for w in words], own, 0.8) == ("MIT", 1.0, 2, 7)
+    rng = np.random.default_rng(7)
+    for name in ("MIT", "Apache-2.0-header", "GPL-3.0-header", "MIT-text", "GPL-3-full"):
+        notice, text, at = dict(own)[name], [], []
+        for _ in range(3 if name == "GPL-3-full" else 6):
+            text += [[b"the", b"of", b"or", b"to", b"foo", b"license"][k] for k in rng.integers(0, 6, int(rng.integers(3, 30)))] + [b"foo"]
+            at.append((1.0, len(text), len(text) + len(notice)))
+            text += notice + [b"foo"]
+        got = license_scan.occurrences(text, notice, 0.8)
+        assert len(got) == len(at) and all(g[0] >= 0.99 and abs(g[1] - w[1]) <= 30 and abs(g[2] - w[2]) <= 30 for g, w in zip(got, at))
+    edited = dict(own)["Apache-2.0-header"]
+    edited = edited[:10] + [b"x"] * 12 + edited[10:30] + edited[33:]
+    assert len(license_scan.occurrences([b"the"] + edited + [b"of"] + edited + [b"you"], dict(own)["Apache-2.0-header"], 0.8)) == 2
+
+
 def test_mix_keeps_bounds(spark):
     rows = queries.op8_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     taken, target, size = Counter(), {}, max(r.size for r in rows)
