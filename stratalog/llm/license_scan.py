@@ -232,6 +232,9 @@ def scan_words(words: list[bytes], templates: list[tuple[str, list[bytes]]], lea
     return best_of(scan_all(words, templates, least))
 
 
+_PLACES = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+
+
 def _scan(templates: list[tuple[str, list[bytes]]], least: float, names: list[str]):
 
     def run(batches):
@@ -239,23 +242,26 @@ def _scan(templates: list[tuple[str, list[bytes]]], least: float, names: list[st
             rows = []
             for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
                 words = words_of(text or b"")
-                rows.append((*scan_words(words, templates, least), len(words)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())))], names)
+                found = scan_all(words, templates, least)
+                places = [dict(zip(("license", "coverage", "first_word", "end_word"), x)) for x in sorted(found, key=lambda x: (x[2], x[0]))]
+                rows.append((*best_of(found), len(words), places))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), _PLACES)))], names)
 
     return run
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = MIN_COVERAGE, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` (all by default) of each row of ``docs``, and license, coverage, first_word, end_word, n_words.
+    """The columns ``keep`` (all by default) of each row of ``docs``, and license, coverage, first_word, end_word, n_words, places.
 
-    license is the template with the largest coverage, if that is at least ``least``, else null with coverage 0. Texts
+    places holds each place of each template with a coverage of at least ``least``, by first word and name; those of
+    different templates may overlap, as with licenses that differ by a word. license is the template with the largest coverage, if that is at least ``least``, else null with coverage 0. Texts
     are taken whole; a null text has no words. Templates without words are left out. A template is aligned only where
     enough of its words occur at all, which coverage implies. Result columns replace columns with their names.
     """
     bound_batches(docs.sparkSession)
-    results = ["license", "coverage", "first_word", "end_word", "n_words"]
+    results = ["license", "coverage", "first_word", "end_word", "n_words", "places"]
     own = sorted(((name, words_of(text.encode())) for name, text in templates), key=lambda x: (-len(x[1]), x[0]))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
     rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "license string, coverage double, first_word bigint, end_word bigint, n_words bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "license string, coverage double, first_word bigint, end_word bigint, n_words bigint, places array<struct<license: string, coverage: double, first_word: bigint, end_word: bigint>>"])
     return rows.mapInArrow(_scan([x for x in own if x[1]], least, [*kept, *results]), schema)

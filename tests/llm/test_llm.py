@@ -234,6 +234,13 @@ def test_repeated_notices_in_prose():
     assert len(license_scan.occurrences([b"the"] + edited + [b"of"] + edited + [b"you"], dict(own)["Apache-2.0-header"], 0.8)) == 2
 
 
+def test_all_licenses_of_a_document(spark):
+    text = "foo Released under the MIT License. bar Licensed under the Apache License, Version 2.0. baz Released under the MIT License."
+    row, none = license_scan.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [tuple(p) for p in row.places if p.coverage == 1] == [("MIT", 1.0, 1, 6), ("Apache-2.0", 1.0, 7, 15), ("MIT", 1.0, 16, 21)]
+    assert (row.license, row.coverage, row.first_word, row.end_word, none.places) == ("Apache-2.0", 1.0, 7, 15, [])
+
+
 def test_mix_keeps_bounds(spark):
     rows = queries.op8_mixing(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
     taken, target, size = Counter(), {}, max(r.size for r in rows)
