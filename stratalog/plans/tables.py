@@ -26,8 +26,9 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding captions that share six characters with their neighbours."""
-    rows = table(spark, sf_dir, "documents").where("n_chars > 426").select(F.col("doc_id").alias("video_id"), "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    """Sliding captions over the whole of each text that share six characters with their neighbours."""
+    last = F.greatest(F.lit(0), F.ceil((F.coalesce(F.length("text"), F.lit(0)) - 26) / 20).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     return rows.select("video_id", F.col("k").cast("long").alias("seq"), (F.col("k") * 1.0).alias("start"), F.substring(F.col("text"), F.col("k") * 20 + 1, F.lit(26)).alias("text"))
 
 

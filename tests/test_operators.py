@@ -38,6 +38,28 @@ def test_drop_overlaps(spark):
     assert [r.text for r in folds.drop_overlaps(df, strict=True).orderBy("video_id", "seq").collect()] == ["abcdef", "x", "y"]
 
 
+def test_slides_cover_whole_texts(spark, tmp_path):
+    from stratalog.plans import queries as plans
+
+    texts = {0: None, 1: "", 2: "abc", 3: "".join(chr(97 + i * 7 % 23) + str(i) for i in range(8)), 4: " ".join(str(i * i) for i in range(900)), 5: "x" * 427, 6: "".join(f"{i:03d}" for i in range(142)), 7: "".join(f"{i:03d}" for i in range(9))}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for key, text in texts.items():
+        kept, k = "", 0
+        while True:
+            part = (text or "")[20 * k : 20 * k + 26].strip()
+            same = next((n for n in range(min(24, len(kept), len(part)), 2, -1) if kept.endswith(part[:n])), 0)
+            part = part[same:].strip()
+            if part:
+                want.append((key, k, part))
+                kept = part
+            if 20 * k + 26 >= len(text or ""):
+                break
+            k += 1
+    got = sorted((r.video_id, r.seq, r.text) for r in plans.QUERIES["f_2_drop_repeated_heads"](spark, str(tmp_path)).collect())
+    assert got == sorted(want) and "".join(t for key, _, t in got if key == 6) == texts[6]
+
+
 def test_drop_repeated_heads(spark):
     rows = [("a", 0, 0.0, "abcde"), ("a", 1, 1.0, "cdefg"), ("b", 0, 0.0, "abc"), ("b", 1, 1.0, "bcd"), ("c", 0, 0.0, "abcd"), ("c", 1, 1.0, "bcd"), ("c", 2, 2.0, "bcdx")]
     got = folds.drop_repeated_heads(spark.createDataFrame(rows, CAP).repartition(3)).orderBy("video_id", "seq").collect()
