@@ -341,6 +341,12 @@ def test_near_dedup_by_brute_force(spark, monkeypatch, most):
     assert far and got == [rows[i][0] for i in range(len(rows)) if find(i) == i]
 
 
+def test_near_dedup_keeps_unlinked_texts_that_share_an_id(spark):
+    rows = [(1, "one two three four five six", "b"), (1, "one two three four five six", "a"), (1, "quite another text of seven words", "c"), (2, "ONE two three four five six", "d"), (None, "a text without id", "e"), (None, "a text without id", "f")]
+    got = sorted(r.source for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect())
+    assert got == ["a", "c", "e", "f"]
+
+
 def test_pipeline_near_dedup_on_the_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in d.collect())
