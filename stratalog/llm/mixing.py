@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 DIGITS, STEP = 16, 3
 #: Sources up to which the thresholds are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Sources whose running sums one task takes.
+RUN_ROWS = 50_000
 
 
 def text_size(text: Column) -> Column:
@@ -22,23 +24,44 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _sums_before(rows: DataFrame, order: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
+    """``rows`` (of a written table, ``n`` of them, unique in ``order``) with <column>_before, its sum over all rows before.
+
+    Rows are dealt in ranges of about RUN_ROWS, each summed by its own task; a total a range, of which there are few, comes
+    together to set off the sums of the next one.
+    """
+    ranges = max(1, -(-n // RUN_ROWS))
+    dealt = materialize(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("range").agg(*[F.sum(c).alias(c) for c in columns])
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(F.col("range").alias("of"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_start") for c in columns])
+    within = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns})
+    out = sums.join(F.broadcast(starts), F.col("range") == F.col("of"))  # a row a range
+    return out.select(*rows.columns, *[(F.col(f"{c}_before") + F.col(f"{c}_start")).alias(f"{c}_before") for c in columns])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     """``sizes`` (source, source_size) to their targets: shares by weight of the sum, stopped at ``most`` times a source's size.
 
     Sources in code point order, null last, take the weights in turn. What stopped sources leave is shared again by
-    weight: in order of most * size / weight the stopped ones come first, so one pass of running sums settles it.
+    weight: in order of most * size / weight the stopped ones come first, so one pass of running sums settles it. Running
+    sums are taken range by range, so no task holds all sources.
     """
-    order = W.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.lit(list(weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    t = sizes.select("source", "source_size", weight.alias("weight")).withColumn("cap", F.col("source_size") * most)
-    by = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("left", F.sum("source_size").over(W.partitionBy()) - before).withColumn("weights", F.sum("weight").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    t = t.withColumn("stopped", F.col("cap") * F.col("weights") <= F.col("left") * F.col("weight"))
-    first = F.min(F.when(~F.col("stopped"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "left", "weights"))).over(W.partitionBy())
-    t = t.withColumn("level", first)
-    share = (F.col("weight") * F.col("level.left")).cast("double") / F.col("level.weights").cast("double")
-    target = F.when(F.col("stopped") | F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(share, F.col("cap").cast("double")))
+    sizes = materialize(sizes, "sources").withColumns({"none": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    n, total = sizes.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    t = _sums_before(sizes, ("none", "source"), ("one",), n)
+    weight = F.element_at(F.lit(list(weights)), (F.pmod(F.col("one_before"), F.lit(len(weights))) + 1).cast("int")).cast("long")
+    t = t.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = materialize(t.select("source", "none", "source_size", "weight", "cap", "ratio"), "ratios")
+    all_weights = t.agg(F.sum("weight")).first()[0] or 0
+    t = _sums_before(t, ("ratio", "none", "source"), ("cap", "weight"), n).withColumns({"left": F.lit(total or 0) - F.col("cap_before"), "weights": F.lit(all_weights) - F.col("weight_before")})
+    t = materialize(t.withColumn("stopped", F.col("cap") * F.col("weights") <= F.col("left") * F.col("weight")), "stopped")
+    level = t.where(~F.col("stopped")).agg(F.min(F.struct("ratio", "none", "source", "left", "weights")).alias("first")).first()["first"]  # one row
+    target = F.col("cap").cast("double")
+    if level is not None:
+        share = (F.col("weight") * F.lit(level["left"])).cast("double") / F.lit(float(level["weights"]))
+        target = F.when(F.col("stopped"), target).otherwise(F.least(share, target))
     return t.select("source", "source_size", target.alias("target"))
 
 

@@ -26,7 +26,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_audio.probe(media_audio.store(_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "crc_bad")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "sample_rate", "duration_s", "crc_bad", "seek_offsets")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,42 +62,45 @@ def communication_matrix(counts: Sequence[int], shards: int, seed: int) -> list[
     return matrix
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row of ``docs``, in uniformly shuffled shards whose row counts differ by one at most.
-
-    Rows fall into parts by a hash of the id. How many rows of each part go to each shard is drawn exactly on the
-    driver, from the parts' counts alone (MOST_PARTS integers at most). Within a part rows are ranked by a second hash
-    and dealt by those numbers; within a shard they are ranked by a third one, range by range, so that no task ever
-    holds a whole shard. ``size`` is the text's UTF-8 bytes plus 1, a null text has none and the checksum of the empty
-    one. Rows that repeat an id lie beside each other in rank, and identical rows are interchangeable; null ids count as
-    one id. Other columns are ignored, whatever their names. An empty table gives an empty one. The same table and seed
-    give the same result.
+def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, copy, *keep, shard, slot) of each row of ``docs``, in uniformly shuffled shards whose row counts differ by one at most.
+
+    Rows fall into parts by a hash of id, checksum and size, so null ids and rows that repeat an id spread over the parts
+    with their texts. How many rows of each part go to each shard is drawn exactly on the driver, from the parts' counts
+    alone (MOST_PARTS integers at most). Within a part rows are ranked by a second hash and dealt by those numbers;
+    within a shard they are ranked by a third one, range by range, so that no task ever holds a whole shard. ``size`` is
+    the text's UTF-8 bytes plus 1, a null text has none and the checksum of the empty one. Rows of equal id, checksum and
+    size lie beside each other in rank, are interchangeable and numbered from 0 in ``copy``. Columns in ``keep`` travel
+    along with those that the result names; others are ignored, whatever their names. An empty table gives an empty one.
+    The same table and seed give the same result. Texts are only measured, unless ``keep`` names them.
     """
+
     def mixed(n):
-        return F.xxhash64(F.lit(seed * 4 + n), "doc_id")
+        return F.xxhash64(F.lit(seed * 4 + n), "doc_id", "text_crc32", "size")
 
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    parts = max(LEAST_PARTS, min(MOST_PARTS, math.ceil(ids.count() / PART_ROWS)))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.struct(F.lit(0).alias("__"), *[F.col(c) for c in keep]).alias("__kept"))
+    parts = max(LEAST_PARTS, min(MOST_PARTS, math.ceil(docs.count() / PART_ROWS)))
     part = F.pmod(mixed(0), F.lit(parts)).cast("int")
-    found = {r["part"]: r["count"] for r in ids.groupBy(part.alias("part")).count().toLocalIterator()}
+    found = {r["part"]: r["count"] for r in base.groupBy(part.alias("part")).count().toLocalIterator()}
     matrix = communication_matrix([found.get(p, 0) for p in range(parts)], shards, seed)
     ends = []
     for row in matrix:
         upto = 0
         ends.append(f"array({', '.join(f'{(upto := upto + x)}L' for x in row)})")
     ends_of = F.expr(f"array({', '.join(ends)})")
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    rank = F.row_number().over(W.partitionBy("part").orderBy("local", "doc_id", "text_crc32", "size"))
-    rows = rows.withColumns({"part": part, "local": mixed(1)}).withColumn("rank", rank)
+    same = ("local", "doc_id", "text_crc32", "size")
+    rows = base.withColumns({"part": part, "local": mixed(1)}).withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(*same)))
+    rows = rows.withColumn("copy", (F.row_number().over(W.partitionBy("part", *same).orderBy("rank")) - 1).cast("int"))
     to = F.size(F.filter(F.get(ends_of, F.col("part")), lambda end: end < F.col("rank"))).cast("int")
     slices = max(1, parts // shards)
     mix = mixed(2)
-    rows = rows.select("doc_id", "size", "text_crc32", to.alias("shard"), mix.alias("mix"), F.floor((F.shiftrightunsigned(mix, 33)) * slices / F.lit(1 << 31)).cast("int").alias("slice"))
+    rows = rows.select("doc_id", "size", "text_crc32", "copy", "__kept", to.alias("shard"), mix.alias("mix"), F.floor((F.shiftrightunsigned(mix, 33)) * slices / F.lit(1 << 31)).cast("int").alias("slice"))
     rows = materialize(rows, "dealt")
     held = rows.groupBy("shard", "slice").count()
     starts = held.select(F.col("shard").alias("s"), F.col("slice").alias("p"), (F.sum("count").over(W.partitionBy("shard").orderBy("slice")) - F.col("count")).alias("start"))
     order = F.shiftrightunsigned("mix", 33)  # slices are ranges of these bits
-    local = F.row_number().over(W.partitionBy("shard", "slice").orderBy(order, "mix", "doc_id", "text_crc32", "size"))
+    local = F.row_number().over(W.partitionBy("shard", "slice").orderBy(order, "mix", "doc_id", "text_crc32", "size", "copy"))
+    # At most MOST_PARTS starts.
     out = rows.withColumn("local", local).join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("slice") == F.col("p")))
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("local") - 1).cast("long").alias("slot"))
+    return out.select("doc_id", "size", "text_crc32", "copy", *[F.col("__kept").getField(c).alias(c) for c in keep], "shard", (F.col("start") + F.col("local") - 1).cast("long").alias("slot"))

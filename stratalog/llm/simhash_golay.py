@@ -261,6 +261,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = connected_components(near_links(classes))
     classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
+    # Both sides of the join are written, so Spark splits the partition of a component with a large share of the classes.
+    classes = materialize(classes, "rooted")
+    least = materialize(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    classes = materialize(classes.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
