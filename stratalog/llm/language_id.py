@@ -7,13 +7,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, byte_slices, fold
 
 GRAMS, BUCKET_BITS, DIM = (2, 3, 4), 16, 16
-#: Bound of the labelled sample: documents a language, over all its documents by hash.
-SAMPLE_DOCS = 400
+#: Bounds of the labelled sample: languages, the most frequent ones, and documents over all of them, by hash.
+MOST_LANGS, SAMPLE_DOCS = 100, 600
+#: Bytes of the pieces that a sampled text is cut in, in turn; texts of more than MOST_PIECES of them have proportionally longer ones.
+PIECES, MOST_PIECES = (24, 60, 200, 600), 64
+#: Share of accepted texts that may be wrong.
+TARGET_ERROR = 0.01
 UNKNOWN = "und"
 
 
@@ -65,81 +70,124 @@ def subwords(data: np.ndarray, offsets: np.ndarray):
             yield c >> np.uint32(32 - BUCKET_BITS), owner[: len(ok)][ok]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 9000, rate: float = 0.5) -> Model:
-    """Fit on (lang, text) rows. Each text gives pieces of 24 to 600 bytes from places all over it; a fifth of the texts are kept for calibration. At least ``steps`` pieces are seen."""
+def piece_bounds(n: int) -> list[int]:
+    """Where the pieces of a text of ``n`` bytes begin, and its end: all of the text, in at most MOST_PIECES pieces."""
+    cycle = sum(PIECES)
+    scale = max(1, -(-n * len(PIECES) // (cycle * MOST_PIECES)))
+    steps = np.cumsum([0, *(p * scale for p in PIECES)])
+    starts = [int(s) + k * cycle * scale for k in range(-(-n // (cycle * scale)) or 1) for s in steps[:-1]]
+    return [s for s in starts if s < n] + [n] if n else [0, 0]
+
+
+def piece_features(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of each piece of a text, whole; counts are scaled to 16 bits."""
+    bounds = piece_bounds(len(text))
+    out = []
+    for at, end in zip(bounds[:-1], bounds[1:]):
+        found = [b for b, _ in subwords(np.frombuffer(text, np.uint8, end - at, at), np.array([0, end - at]))]
+        ids, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(counts) and counts.max() > 0xFFFF:
+            counts = np.maximum(1, counts * 0xFFFF // counts.max())
+        out.append((ids.astype(np.uint16), counts.astype(np.uint16)))
+    return out
+
+
+def train(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int = 7, steps: int = 9000, rate: float = 0.5) -> Model:
+    """Fit on (lang, pieces of a text) rows by stochastic gradient descent, a piece a step and at least ``steps`` of them.
+
+    Every fifth text, whole, is kept out: those set the temperature, and the least score at which no more than
+    TARGET_ERROR of the texts above it are wrong. Texts below that score are to be rejected.
+    """
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in rows}, key=str.encode)
-    known = {lang: i for i, lang in enumerate(langs)}
-    pieces, labels, fits = [], [], []
-    for i, (lang, text) in enumerate(rows):
-        raw = text.encode().lower()
-        for size in (24, 60, 200, 600):
-            at = int(rng.integers(0, max(1, len(raw) - size + 1)))
-            pieces.append(raw[at : at + size])
-            labels.append(known[lang])
-            fits.append(i % 5 != 0)
-    labels, fits = np.array(labels), np.array(fits)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)
-    buckets, owners = (np.concatenate(x) for x in zip(*subwords(data, offsets))) if len(data) else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
-    order = np.argsort(owners, kind="stable")
-    buckets = buckets[order].astype(np.int64)
-    bounds = np.searchsorted(owners[order], np.arange(len(pieces) + 1))
-    n_langs = len(langs)
+    known, n_langs = {lang: i for i, lang in enumerate(langs)}, len({lang for lang, _ in rows})
+    use, held = [], []
+    for i, (lang, pieces) in enumerate(rows):
+        (held if i % 5 == 4 else use).extend([(i, known[lang], ids.astype(np.int64), counts.astype(np.float32)) for ids, counts in pieces if len(ids)])
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, n_langs), np.float32), np.zeros(n_langs, np.float32)
-    use = [i for i in np.flatnonzero(fits) if bounds[i + 1] > bounds[i]]
     epochs = -(-steps // len(use)) if use else 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(use):
-            ids = buckets[bounds[i] : bounds[i + 1]]
-            x = embed[ids].mean(0)
+        for i in rng.permutation(len(use)):
+            _, label, ids, counts = use[i]
+            share = counts / counts.sum()
+            x = share @ embed[ids]
             z = x @ out + bias
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[labels[i]] -= 1
+            p[label] -= 1
             grad = out @ p
             out -= step * np.outer(x, p)
             bias -= step * 0.1 * p
-            held, times = np.unique(ids, return_counts=True)
-            embed[held] -= np.outer(times * (step / len(ids)), grad)
+            embed[ids] -= np.outer(share * step, grad)
     table = embed @ out
-    held = [i for i in np.flatnonzero(~fits) if bounds[i + 1] > bounds[i]]
-    logits = np.array([table[buckets[bounds[i] : bounds[i + 1]]].mean(0) + bias for i in held]).reshape(-1, n_langs)
     temperature, reject = 1.0, 0.0
-    if len(held):
-        truth = labels[held]
+    if held:
+        texts = sorted({i for i, *_ in held})
+        at = {i: k for k, i in enumerate(texts)}
+        sums, totals, truth = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for i, label, ids, counts in held:
+            sums[at[i]] += counts @ table[ids]
+            totals[at[i]] += counts.sum()
+            truth[at[i]] = label
+        logits = sums / totals[:, None] + bias
+
+        # A right answer counts as (n + 1) / (n + 2) and not as certain, so that few errors don't make scores extreme.
+        want = np.full(logits.shape, 1 / (len(texts) + 2) / max(1, n_langs - 1))
+        want[np.arange(len(texts)), truth] = (len(texts) + 1) / (len(texts) + 2)
 
         def loss(t: float) -> float:
             z = logits / t
             z = z - z.max(1, keepdims=True)
-            return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
+            return float(np.mean((want * (np.log(np.exp(z).sum(1, keepdims=True)) - z)).sum(1)))
 
         temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
         z = logits / temperature
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        top, right = p.max(1), p.argmax(1) == truth
-        wrong = np.sort(top[~right])
-        reject = float(wrong[int(0.5 * len(wrong))]) if len(wrong) else float(top.min()) * 0.5
+        reject = rejection_threshold(p.max(1), p.argmax(1) == truth)
     return Model(langs, table.astype(np.float32), bias, temperature, reject)
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, where, per_label: int) -> list[tuple]:
-    """At most ``per_label`` (label, text) rows of each label, taken by a hash of the id over the whole table."""
-    h = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
-    rows = docs.where(where & F.col(label_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label_col)).count().collect()}
+def rejection_threshold(scores: np.ndarray, right: np.ndarray, error: float = TARGET_ERROR) -> float:
+    """The least of ``scores`` from which on at most a share of ``error`` is wrong; above all of them if there is none such."""
+    order = np.argsort(-scores, kind="stable")
+    top, wrong = scores[order], np.cumsum(~right[order])
+    last = np.append(top[1:] != top[:-1], True)  # equal scores are accepted together
+    good = np.flatnonzero(last & (wrong <= error * np.arange(1, len(top) + 1)))
+    return float(top[good[-1]]) if len(good) else float(np.nextafter(top[0], 2)) if len(top) else 0.0
+
+
+def _features(batches):
+    for batch in batches:
+        rows = [(lang, nth, k, ids.tobytes(), counts.tobytes()) for lang, nth, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for k, (ids, counts) in enumerate(piece_features(text.encode("utf-8", "surrogatepass")))]
+        columns = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["lang", "nth", "piece", "ids", "counts"])
+
+
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, where, most: int = SAMPLE_DOCS) -> list[tuple[str, list]]:
+    """(lang, pieces) of at most ``most`` documents in all, as many of each of the MOST_LANGS most frequent languages; the least by a hash of id and text over the whole table.
+
+    Texts become bucket counts where they lie; what comes to the driver is bounded by ``most`` * MOST_PIECES * 2**BUCKET_BITS
+    entries of four bytes, and in practice by the sample's length.
+    """
+    text, label = F.col(text_col).cast("string"), F.col(label_col).cast("string")
+    rows = docs.where(where & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = rows.groupBy(label.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not counts:
         return []
-    below = F.coalesce(*[F.when(F.col(label_col) == F.lit(k), F.lit(int(min(1.0, 1.2 * per_label / n) * (1 << 30)))) for k, n in counts.items()])
-    found, out = {}, []
-    for row in rows.where(F.col(text_col).isNotNull() & (h < below)).select(F.col(label_col), F.col(text_col), F.col(id_col).alias("i")).toLocalIterator():
-        if found.setdefault(row[0], 0) < per_label * 1.5:
-            found[row[0]] += 1
-            out.append((row[0], row[1], row[2] if row[2] is not None else -1))
-    return [(a, b) for a, b, _ in sorted(out, key=lambda x: (x[2], str(x[0]), x[1]))]
+    each = max(1, most // len(counts))
+    # A threshold of the hash lets about 1.2 * each rows of a language through to the exact choice.
+    below = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.2 * max(each, 50) / r["count"]) * (1 << 30)))]), label)
+    h = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), text), F.lit(1 << 30))
+    rows = rows.where(label.isin(*[r["lang"] for r in counts]) & (h < below)).select(label.alias("lang"), h.alias("h"), F.xxhash64(F.lit(12), F.col(id_col), text).alias("tie"), text.alias("text"))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "tie"))).where(F.col("nth") <= each)
+    found = rows.select("lang", "nth", "text").mapInArrow(_features, "lang string, nth int, piece int, ids binary, counts binary").collect()
+    out: dict = {}
+    for r in sorted(found, key=lambda r: (r["nth"], r["lang"].encode(), r["piece"])):
+        out.setdefault((r["nth"], r["lang"]), []).append((np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint16)))
+    return [(lang, pieces) for (_, lang), pieces in out.items()]
 
 
 def _predict(shared, n_keep: int, names: list[str]):
@@ -170,7 +218,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
 
     lang_pred is the likeliest language of the model, ``und`` for a null text and one without a letter; those have score
     0 and are rejected. ``score`` is the probability after temperature scaling; ``rejected`` says that it is less than
-    the model's threshold, calibrated on texts kept out of training. Result columns replace columns with their names.
+    the model's threshold, calibrated on whole texts kept out of training for an error of TARGET_ERROR. Of equal
+    probabilities the first language in code point order counts. Very long texts are taken slice by slice, whole; rows
+    that repeat come back as often; an empty table gives an empty one. Result columns replace columns with their names.
     """
     bound_batches(docs.sparkSession)
     results = ["lang_pred", "score", "rejected"]
@@ -184,12 +234,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
     return found.select(*[F.col(c) for c in kept], F.when(F.col("__letter"), F.col("__lang")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"), ((score < F.lit(model.reject_below)) | ~F.col("__letter")).alias("rejected"))
 
 
-def fit(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = SAMPLE_DOCS) -> Model:
-    """Train on at most 1.5 * ``per_label`` documents of each non-null language among the rows where ``where`` holds. Without any, every text is ``und``."""
-    rows = labelled_sample(docs, id_col, text_col, label_col, where, per_label)
+def fit(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = SAMPLE_DOCS) -> Model:
+    """Train on ``labelled_sample`` of the rows where ``where`` holds; equal tables give equal models. Without any labelled text, every text is ``und``."""
+    rows = labelled_sample(docs, id_col, text_col, label_col, where, most)
     if not rows:
         return Model([UNKNOWN], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
-    return train([(str(a), b) for a, b in rows])
+    return train(rows)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -4,14 +4,19 @@ The writer stores bytes in the ancillary data of MPEG-1 Layer III frames (32 kHz
 side information is zero: a valid stream of silence. Frames take the largest bitrate, the last one the least that holds
 its bytes, so the stream has a variable bitrate. An ID3v2.4 tag with a private frame holds the number of bytes stored; a first,
 empty frame holds the table with the numbers of frames and bytes and 100 seek points. The reader trusts none of it:
-it skips tags, resynchronises on headers that another header or the end follows, and verifies each checksum.
+it takes tags apart, resynchronises on headers, and verifies each checksum.
+
+A header counts as a frame if the end or a header of the same kind follows, if it stands where the frame before it ended
+and is of its kind, or if its checksum is right. So the frame before a damaged one stays, and the damaged one alone goes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ BITRATES = {
     (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = (44100, 48000, 32000)
+#: Bits of a subband's allocation in Layer II as (bits, subbands), for MPEG-1, for its low bitrates, and for MPEG-2.
+ALLOCATION, ALLOCATION_LOW, ALLOCATION_2 = ((4, 11), (3, 12), (2, 7)), ((4, 2), (3, 10)), ((4, 4), (3, 7), (2, 19))
 RATE, SIDE_BYTES, HEAD_BYTES = 32000, 17, 6
 PRIVATE_OWNER = b"payload-length\0"
 UNIT = 64
@@ -46,8 +53,12 @@ class Frame:
     channels: int
     samples: int
     protected: bool
+    joint_bound: int | None = None
     crc_ok: bool | None = None
 
+    def kind(self) -> tuple[int, int, int]:
+        return self.version, self.layer, self.rate
+
 
 @dataclass
 class Audio:
@@ -62,17 +73,21 @@ class Audio:
         return sum(f.samples for f in self.frames)
 
     @property
-    def seconds(self) -> float:
-        return sum(f.samples / f.rate for f in self.frames)
+    def seconds(self) -> Fraction:
+        """Exact: samples are counted by rate and divided once."""
+        by_rate: Counter = Counter()
+        for f in self.frames:
+            by_rate[f.rate] += f.samples
+        return sum((Fraction(n, rate) for rate, n in by_rate.items()), Fraction(0))
 
 
-def crc16(data: bytes, start: int = 0xFFFF) -> int:
-    """The frames' checksum: polynomial 0x8005, most significant bit first."""
-    crc = start
+def crc16(data: bytes, start: int = 0xFFFF, bits: int | None = None) -> int:
+    """The frames' checksum of the first ``bits`` bits (all by default): polynomial 0x8005, most significant bit first."""
+    crc, left = start, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        for i in range(7, 7 - min(8, max(0, left)), -1):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> i) & 1 else 0)) & 0xFFFF
+        left -= 8
     return crc
 
 
@@ -89,37 +104,133 @@ def header_at(data: bytes, at: int) -> Frame | None:
     padding = data[at + 2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version > 1 else 1152
     size = (12000 * kbit // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // rate + padding
-    return Frame(at, size, version, layer, kbit, rate, 1 if data[at + 3] >> 6 == 3 else 2, samples, not data[at + 1] & 1)
+    mode = data[at + 3] >> 6
+    return Frame(at, size, version, layer, kbit, rate, 1 if mode == 3 else 2, samples, not data[at + 1] & 1, 4 * (1 + (data[at + 3] >> 4 & 3)) if mode == 1 else None)
 
 
 def side_bytes(f: Frame) -> int:
     return (32 if f.channels == 2 else 17) if f.version == 1 else (17 if f.channels == 2 else 9)
 
 
+def _bits(data: bytes, at: int, n: int) -> int:
+    """``n`` bits from bit ``at`` on."""
+    whole = int.from_bytes(data[at // 8 : (at + n + 7) // 8], "big")
+    return whole >> -(at + n) % 8 & (1 << n) - 1
+
+
+def covered_bits(data: bytes, f: Frame) -> int:
+    """How many bits after the checksum it covers: side information (III), allocations (I), or allocations and scale factor selections (II)."""
+    if f.layer == 3:
+        return 8 * side_bytes(f)
+    if f.layer == 1:
+        bands = [4] * 32
+    else:
+        share = f.bitrate // f.channels
+        low = f.version == 1 and share < 56
+        table = ALLOCATION_2 if f.version > 1 else ALLOCATION_LOW if low else ALLOCATION
+        most = 30 if f.version > 1 else (12 if f.rate == 32000 else 8) if low else 30 if share >= 96 and f.rate != 48000 else 27
+        bands = [n for n, times in table for _ in range(times)][:most]
+    bound = len(bands) if f.joint_bound is None else min(len(bands), f.joint_bound)
+    at = start = 8 * (f.at + 6)
+    used = 0
+    for band, n in enumerate(bands):
+        own = f.channels if band < bound else 1
+        for _ in range(own):
+            # Beyond the bound both channels share an allocation, but each selects its scale factors.
+            used += (_bits(data, at, n) != 0) * (f.channels if own < f.channels else 1)
+            at += n
+    return at - start + (2 * used if f.layer == 2 else 0)
+
+
+def checksum_ok(data: bytes, f: Frame, known: dict | None = None) -> bool | None:
+    """Whether a protected frame's checksum is right; None without one."""
+    if not f.protected:
+        return None
+    n = covered_bits(data, f)
+    covered = data[f.at + 2 : f.at + 4] + data[f.at + 6 : f.at + 6 + -(-n // 8)]
+    key = covered, n
+    value = known.get(key) if known is not None else None
+    if value is None:
+        value = crc16(covered, bits=16 + n)
+        if known is not None:
+            if len(known) > 4096:
+                known.clear()
+            known[key] = value
+    return value == int.from_bytes(data[f.at + 4 : f.at + 6], "big")
+
+
 def _synchsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
 
+def _seven(raw: bytes) -> int:
+    return sum((b & 0x7F) << 7 * i for i, b in enumerate(reversed(raw)))
+
+
+def _id3v2(data: bytes, at: int, end: int, tags: dict) -> int:
+    """Frames of the ID3v2 tag at ``at`` into ``tags``; where the tag ends. Versions 2.2 to 2.4, unsynchronised or with an extended header."""
+    major, flags, size = data[at + 3], data[at + 5], _seven(data[at + 6 : at + 10])
+    stop = at + 10 + size
+    body = data[at + 10 : min(end, stop)]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    i = 0
+    if flags & 0x40 and major >= 3:
+        i = _seven(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    head, name = (6, 3) if major == 2 else (10, 4)
+    while i + head <= len(body) and body[i : i + name].isalnum():
+        raw = body[i + name : i + name + (3 if major == 2 else 4)]
+        n = _seven(raw) if major >= 4 else int.from_bytes(raw, "big")
+        value = body[i + head : i + head + n]
+        if major >= 4:
+            form = body[i + 9]
+            if form & 1:  # a length precedes the data
+                value = value[4:]
+            if form & 2 or flags & 0x80:
+                value = value.replace(b"\xff\0", b"\xff")
+        tags.setdefault(body[i : i + name].decode("ascii"), []).append(value)
+        i += head + n
+    return stop + (10 if flags & 0x10 else 0)
+
+
+def _ape(data: bytes, end: int, tags: dict) -> int:
+    """Items of the APE tag that ends at ``end`` into ``tags``; where the tag begins, or ``end`` without one."""
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return end
+    size, count, flags = (int.from_bytes(data[end - 32 + k : end - 28 + k], "little") for k in (12, 16, 20))
+    begin = end - size
+    if size < 32 or begin < 0:
+        return end
+    i = begin
+    for _ in range(count):
+        n = int.from_bytes(data[i : i + 4], "little")
+        name_end = data.find(b"\0", i + 8, end - 32)
+        if name_end < 0 or name_end + 1 + n > end - 32:
+            break
+        tags.setdefault("APE:" + data[i + 8 : name_end].decode("ascii", "replace"), []).append(data[name_end + 1 : name_end + 1 + n])
+        i = name_end + 1 + n
+    return max(0, begin - 32) if flags >> 31 else begin
+
+
 def read_tags(data: bytes) -> tuple[dict, int, int]:
-    """(ID3 frames, where audio begins, where it ends)."""
+    """(frames of tags, where audio begins, where it ends): ID3v2 before it, ID3v1 and APE after it."""
     tags: dict = {}
     begin, end = 0, len(data)
     while data[begin : begin + 3] == b"ID3" and begin + 10 <= end and all(b < 128 for b in data[begin + 6 : begin + 10]):
-        major, size = data[begin + 3], sum(b << s for b, s in zip(data[begin + 6 : begin + 10], (21, 14, 7, 0)))
-        at, stop = begin + 10, min(end, begin + 10 + size)
-        while at + 10 <= stop and data[at : at + 4].isalnum():
-            raw = data[at + 4 : at + 8]
-            n = sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0))) if major >= 4 else int.from_bytes(raw, "big")
-            tags.setdefault(data[at : at + 4].decode("ascii"), []).append(data[at + 10 : min(stop, at + 10 + n)])
-            at += 10 + n
-        begin = stop + (10 if data[begin + 5] & 0x10 else 0)
+        begin = _id3v2(data, begin, end, tags)
     if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         tags["ID3v1"] = [data[end + 3 : end + 128]]
-    return tags, begin, end
+    return tags, begin, max(begin, _ape(data, end, tags))
 
 
 def _vbr_table(data: bytes, f: Frame) -> dict | None:
+    """The table of numbers of frames and bytes and of seek points in a first frame: Xing, Info or VBRI."""
+    at = f.at + 36
+    if data[at : at + 4] == b"VBRI":
+        number = lambda i, n: int.from_bytes(data[at + i : at + i + n], "big")
+        entries, scale, width = number(18, 2), number(20, 2), number(22, 2)
+        return {"kind": "VBRI", "quality": number(8, 2), "bytes": number(10, 4), "frames": number(14, 4), "step_frames": number(24, 2), "steps": [scale * number(26 + i * width, width) for i in range(entries) if at + 26 + (i + 1) * width <= f.at + f.size]}
     at = f.at + 4 + 2 * f.protected + side_bytes(f)
     if data[at : at + 4] not in (b"Xing", b"Info"):
         return None
@@ -136,30 +247,29 @@ def parse(data: bytes) -> Audio:
     """Read a stream of MPEG audio: tags, table, all frames found by synchronisation, their checksums, and the stored payload if it was written here."""
     out = Audio()
     out.tags, at, end = read_tags(data)
-    parts, sums = [], {}
+    parts, sums, before = [], {}, None
     while at + 4 <= end:
         f = header_at(data, at)
-        following = f and at + f.size
-        # In step, a header's own length suffices; out of step, another header or the end has to follow.
-        if f is None or following > end or (following < end and header_at(data, following) is None):
+        if f is not None and at + f.size <= end:
+            f.crc_ok = checksum_ok(data, f, sums)
+            following = at + f.size
+            after = header_at(data, following) if following < end else None
+            in_step = before is not None and before.at + before.size == at and before.kind() == f.kind()
+            good = following == end or (after is not None and after.kind() == f.kind()) or in_step or f.crc_ok
+        else:
+            good = False
+        if not good:
             nxt = data.find(b"\xff", at + 1, end)
             out.skipped += (end if nxt < 0 else nxt) - at
             at = end if nxt < 0 else nxt
             continue
-        if f.protected and f.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + side_bytes(f)]
-            if covered not in sums:
-                if len(sums) > 4096:
-                    sums.clear()
-                sums[covered] = crc16(covered)
-            f.crc_ok = sums[covered] == int.from_bytes(data[at + 4 : at + 6], "big")
-        table = _vbr_table(data, f) if not out.frames and out.table is None and f.layer == 3 else None
+        table = _vbr_table(data, f) if before is None and f.layer == 3 else None
         if table:
             out.table = table
         else:
             out.frames.append(f)
             parts.append(data[at + 4 + 2 * f.protected + side_bytes(f) : following] if f.layer == 3 else b"")
-        at = following
+        before, at = f, following
     out.skipped += end - at if at < end else 0
     for raw in out.tags.get("PRIV", []):
         if raw.startswith(PRIVATE_OWNER):
@@ -228,7 +338,7 @@ def _stored(batches):
             at = to
 
 
-PROBED = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_s double, crc_bad bigint, seek_offsets array<bigint>"
+PROBED = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, samples bigint, sample_rate int, duration_s double, crc_bad bigint, seek_offsets array<bigint>"
 
 
 def _probed(batches):
@@ -237,20 +347,30 @@ def _probed(batches):
         for raw in batch.column(2).to_pylist():
             audio = parse(raw or b"")
             p = audio.payload
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), describe(audio), audio.seconds, sum(f.crc_ok is False for f in audio.frames), [f.at for f in audio.frames]))
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), describe(audio), audio.samples, audio.frames[0].rate if audio.frames else 0, float(audio.seconds), sum(f.crc_ok is False for f in audio.frames), [f.at for f in audio.frames]))
         names = [c.split()[0] for c in PROBED.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", *names])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each row's text in UTF-8, padded with bytes 0 to a positive multiple of 64, as a stream of MPEG audio. A null text is empty. Other columns are ignored."""
+    """(doc_id, n_bytes, media): each row's text in UTF-8, padded with bytes 0 to a positive multiple of 64, as a stream of MPEG audio.
+
+    A null text is empty, and an empty one is 64 bytes 0. Very long texts are stored whole, a stream a row. Rows that repeat
+    give equal rows; an empty table gives an empty one. Ids keep their type. Other columns are ignored, whatever their names.
+    """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_stored, "doc_id bigint, n_bytes bigint, media binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_stored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
 def probe(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes) of ``media`` and what its streams hold: the payload read back, its and the stream's digests, exact duration, bad checksums, byte offsets of the frames to seek. Streams that aren't MPEG audio have no frames; null counts as empty."""
+    """(doc_id, n_bytes) of ``media`` and what its streams hold: the payload read back, its and the stream's digests, samples and their rate (of the first frame), the duration as their quotient, bad checksums, byte offsets of the frames to seek.
+
+    Streams that aren't MPEG audio have no frames, no samples and rate 0; null counts as empty. Where rates change within a
+    stream, the duration is the exact sum over the rates, rounded once. Rows that repeat give equal rows; an empty table
+    gives an empty one; columns but doc_id, n_bytes and media are ignored.
+    """
     bound_batches(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_probed, f"doc_id bigint, n_bytes bigint, {PROBED}")
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(_probed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, {PROBED}")

@@ -2,8 +2,9 @@
 
 Every token stands for two words, its letters as they are and its shape (runs of upper, lower, digit, other bytes).
 A word's index vector is a sparse ternary row, drawn from a seed; its context vector is the sum of the index vectors of
-the words within CONTEXT tokens, over all documents. Documents pool their words' normalised context vectors. Pooling is
-linear, so the network's first layer is applied to the table once and documents pool its rows.
+the words within CONTEXT tokens, over all documents. Words share WORD_BUCKETS classes by hash, so the vector is a
+class's. Documents pool their words' normalised context vectors; beside the means stand a flag for no token and the share
+of repeated pairs of words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, byte_slices, fold, mix64, run_hashes, token_bounds
@@ -131,13 +133,13 @@ def _hidden(model: Model, x: np.ndarray) -> np.ndarray:
     return np.maximum(((x - model.mean) / model.scale) @ model.first + model.first_bias, 0)
 
 
-def train(table: np.ndarray, rows: list[tuple[int, str]], seed: int = 3, epochs: int = 60) -> Model:
-    """Adam on (label, text) rows, four fifths of them; the rest sets the temperature."""
+def train(table: np.ndarray, rows: list[tuple[int, np.ndarray]], seed: int = 3, epochs: int = 60) -> Model:
+    """Adam on (label, pooled text) rows, four fifths of them; the rest sets the temperature."""
     rng = np.random.default_rng(seed)
     if not rows:
         width = 2 * table.shape[1] + 2
         return Model(table, np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 4.0, 1.0, np.zeros(width), np.ones(width))
-    x = pooled(table, pa.array([t for _, t in rows], pa.string()))
+    x = np.array([v for _, v in rows])
     y = np.array([float(q) for q, _ in rows])
     mean, scale = x.mean(0), x.std(0) + 1e-3
     fits = np.arange(len(rows)) % 5 != 0
@@ -184,25 +186,42 @@ def _score(shared):
     return F.arrow_udf(run, "double").asNondeterministic()
 
 
+def _pooled(shared):
+    def run(batches):
+        for batch in batches:
+            x = pooled(shared.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["place", "label", "x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_DOCS) -> Model:
-    """Word vectors from all of ``docs``; the network from at most 1.2 * ``most`` labelled documents where ``where`` (over the ids) holds.
+    """Word vectors from all of ``docs``; the network from at most ``most`` labelled documents where ``where`` (over the ids) holds, the least by a hash of the id.
 
-    Rows without id, text or label (0 or 1) don't count; of an id that repeats, each row counts. Without both labels the
-    score is a constant, high without any label.
+    Rows without id, text or label (0 or 1) don't count. An id with both labels counts as 0; of an id that repeats in
+    ``docs`` the text with the least hash counts. Without both labels the score is a constant, high without any label.
+    Equal tables give equal models. Texts are pooled where they lie: only vectors come to the driver, a row a document.
     """
-    h = F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.lit(1 << 30))
-    known = labels.select(F.col(id_col).alias("__of"), F.col(label_col).cast("int").alias("__label")).where(F.col("__of").isNotNull() & F.col("__label").isin(0, 1)).dropDuplicates(["__of"])
-    known = known.withColumn(id_col, F.col("__of")).where(where)
-    n = known.count()
-    known = known.where(h < F.lit(int(min(1.0, most / max(1, n)) * (1 << 30)))).select("__of", "__label").limit(int(most * 1.2))
+    spark = docs.sparkSession
+    table = word_vectors(docs, text_col)
+    h = F.xxhash64(F.lit(13), F.col(id_col))
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("__label")).where(F.col(id_col).isNotNull() & F.col("__label").isin(0, 1))
+    known = known.where(where).groupBy(id_col).agg(F.min("__label").alias("__label")).orderBy(h, id_col).limit(most)
+    known = known.select(F.col(id_col).alias("__of"), "__label", h.alias("__place"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
-    rows = texts.join(F.broadcast(known), F.col("__id") == F.col("__of")).select("__label", "__text", "__id").collect()  # bounded by the sample
-    rows = sorted((r["__id"], r["__label"], r["__text"]) for r in rows)
-    return train(word_vectors(docs, text_col), [(q, t) for _, q, t in rows])
+    rows = texts.join(F.broadcast(known), F.col("__id") == F.col("__of"))  # ``most`` rows
+    nth = F.row_number().over(W.partitionBy("__id").orderBy(F.xxhash64("__text"), F.xxhash64(F.lit(1), "__text")))
+    rows = rows.withColumn("__nth", nth).where("__nth = 1").select("__place", "__label", "__text")
+    found = rows.mapInArrow(_pooled(spark.sparkContext.broadcast(table)), "place bigint, label int, x array<double>").collect()
+    return train(table, [(r["label"], np.array(r["x"])) for r in sorted(found, key=lambda r: (r["place"], r["label"], r["x"]))])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` (all by default) of each row of ``docs``, and score and predicted (1 from a score of 0.3), from the whole text alone. A null text counts as empty. Result columns replace columns with their names."""
+    """The columns ``keep`` (all by default) of each row of ``docs``, and score and predicted (1 from a score of 0.3), from the whole text alone.
+
+    A null text counts as empty; an empty one has a score as any other. Very long texts are pooled slice by slice, whole.
+    Rows that repeat come back as often; an empty table gives an empty one. Result columns replace columns with their names.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]

@@ -1,9 +1,13 @@
 """Token counts of a unigram model, by dynamic programming over a trie of pre-tokens.
 
-Pre-tokens are runs of characters other than ASCII white space, with the word mark before them. Each distinct pre-token is
-inserted in a trie; the best score and token count of a node (the forward pass of the Viterbi search) need only the
-nodes above it, so they are computed once for all pre-tokens that share the prefix. The count at a pre-token's last node
-is its number of tokens.
+Pre-tokens are runs of characters other than ASCII white space, with the word mark before them. Each distinct pre-token of
+a worker's rows is inserted in a trie; the best score and token count of a node (the forward pass of the Viterbi search)
+need only the nodes above it, so they are computed once for all pre-tokens that share the prefix. The count at a
+pre-token's last node is its number of tokens. Pre-tokens of LONG characters or more, as in runs without white space, are
+walked with a window as long as the longest piece, whatever their length.
+
+Scores: the vocabularies at hand hold merges in order of rank and no probabilities, and tokenizers aren't trained here, so
+pieces follow Zipf's law, the piece of rank r with a probability in proportion to 1 / (r + 2).
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from .common import bound_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes and cached pre-tokens a worker holds before it starts anew; results don't depend on it.
-MOST_NODES, MOST_WORDS = 400_000, 200_000
+#: Nodes of the trie, and bytes of cached pre-tokens, that a worker holds before it starts anew; characters from which on a
+#: pre-token is walked by itself, outside the trie. Results don't depend on them.
+MOST_NODES, MOST_BYTES, LONG = 400_000, 8 << 20, 256
 
 
 def load_scores(path: str = VOCABULARY) -> dict[str, float]:
@@ -50,6 +55,8 @@ class TrieCounter:
     def count(self, word: str) -> int:
         """Tokens on the best path; of equal scores the path with the shorter last piece. An unknown character takes as many tokens as it has UTF-8 bytes."""
         text = MARK + word
+        if len(text) >= LONG:
+            return self._walk(text)
         if len(self.best) > MOST_NODES:
             self.clear()
         node, path = 0, [0]
@@ -75,14 +82,38 @@ class TrieCounter:
         return tokens[node]
 
 
+    def _walk(self, text: str) -> int:
+        """The same forward pass, holding only as many steps as the longest piece reaches back."""
+        back = max(self.longest.values(), default=1)
+        best, tokens = [0.0], [0]
+        for i, char in enumerate(text):
+            score, n = -math.inf, 0
+            for size in range(1, min(self.longest.get(char, 1), i + 1) + 1):
+                s = self.scores.get(text[i + 1 - size : i + 1])
+                if s is not None and best[-size] + s > score:
+                    score, n = best[-size] + s, tokens[-size] + 1
+            if score == -math.inf:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                score, n = best[-1] + self.unknown * size, tokens[-1] + size
+            best.append(score)
+            tokens.append(n)
+            if len(best) > 4 * back + 1024:
+                del best[: -back - 1], tokens[: -back - 1]
+        return tokens[-1]
+
+
 class _Counts(dict):
     def __init__(self, trie: TrieCounter):
-        self.trie = trie
+        self.trie, self.size = trie, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        n = self[word] = self.trie.count(word.decode("utf-8", "replace"))
+        n = self.trie.count(word.decode("utf-8", "replace"))
+        if len(word) < LONG:
+            self.size += len(word) + 64
+            if self.size > MOST_BYTES:
+                self.clear()
+                self.size = 0
+            self[word] = n
         return n
 
 
@@ -104,8 +135,10 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, keep: list[str] | None
     """The columns ``keep`` (all by default) of each row of ``docs``, and n_words and n_tokens of its whole text.
 
     The vocabulary at ``path`` is read on the driver and travels with the tasks (its size is the file's). A null or
-    empty text has no tokens. Result columns replace columns with their names. Nothing is shuffled: a worker's trie and
-    cache are bounded and begin anew when full.
+    empty text has no tokens. Very long texts, and runs without white space, are counted whole. Of equal scores the
+    shorter last piece counts. Rows that repeat come back as often; an empty table gives an empty one. Result columns
+    replace columns with their names. Nothing is shuffled: a worker's trie and cache are bounded, by nodes and by bytes,
+    and begin anew when full.
     """
     spark = docs.sparkSession
     bound_batches(spark)
