@@ -120,12 +120,14 @@ def pooled(table: np.ndarray, column: pa.Array) -> np.ndarray:
         out[first + rows, :width] = np.add.reduceat(table[words], at, axis=0, dtype=np.float64) / counts
         out[first + rows, width : 2 * width] = np.add.reduceat(table[shapes], at, axis=0, dtype=np.float64) / counts
         out[first + rows, 2 * width] = 0
-        pair = mix64((words[1:] * BUCKETS + words[:-1]).astype(np.uint64) * np.uint64(1 << 32) + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[1:].astype(np.uint64)) if len(words) > 1 else np.zeros(0, np.uint64)
-        if len(pair):
-            text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[1:]
+        text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        inside = text[1:] == text[:-1]
+        if inside.any():
+            owner = text[1:][inside]
+            pair = mix64((words[1:] * BUCKETS + words[:-1])[inside].astype(np.uint64) * np.uint64(1 << 32) + owner.astype(np.uint64))
             _, where = np.unique(pair, return_index=True)
-            fresh = np.bincount(text[where], minlength=len(firsts) - 1)
-            out[first + rows, 2 * width + 1] = 1 - fresh[rows] / np.maximum(1, np.bincount(text, minlength=len(firsts) - 1)[rows])
+            fresh, pairs = (np.bincount(x, minlength=len(firsts) - 1)[rows] for x in (owner[where], owner))
+            out[first + rows, 2 * width + 1] = np.where(pairs > 0, 1 - fresh / np.maximum(1, pairs), 0)
     return out
 
 
