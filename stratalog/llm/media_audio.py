@@ -73,8 +73,12 @@ class Audio:
         return sum(f.samples for f in self.frames)
 
     @property
-    def seconds(self) -> Fraction:
-        """Exact: samples are counted by rate and divided once."""
+    def seconds(self) -> float:
+        return float(self.duration)
+
+    @property
+    def duration(self) -> Fraction:
+        """Exact seconds: samples are counted by rate and divided once."""
         by_rate: Counter = Counter()
         for f in self.frames:
             by_rate[f.rate] += f.samples
@@ -347,7 +351,7 @@ def _probed(batches):
         for raw in batch.column(2).to_pylist():
             audio = parse(raw or b"")
             p = audio.payload
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), describe(audio), audio.samples, audio.frames[0].rate if audio.frames else 0, float(audio.seconds), sum(f.crc_ok is False for f in audio.frames), [f.at for f in audio.frames]))
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), describe(audio), audio.samples, audio.frames[0].rate if audio.frames else 0, audio.seconds, sum(f.crc_ok is False for f in audio.frames), [f.at for f in audio.frames]))
         names = [c.split()[0] for c in PROBED.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", *names])

@@ -178,9 +178,9 @@ def test_tags_and_tables():
 
 def test_durations_are_exact():
     audio = media_audio.Audio([media_audio.Frame(0, 1, 1, 3, 320, 32000, 1, 1152, False)] * 3)
-    assert audio.seconds == Fraction(3 * 1152, 32000) and float(audio.seconds) == 3 * 1152 / 32000
+    assert audio.duration == Fraction(3 * 1152, 32000) and audio.seconds == 3 * 1152 / 32000
     audio.frames.append(media_audio.Frame(0, 1, 1, 3, 320, 44100, 1, 1152, False))
-    assert audio.seconds == Fraction(3456, 32000) + Fraction(1152, 44100)
+    assert audio.duration == Fraction(3456, 32000) + Fraction(1152, 44100)
 
 
 def test_op6_by_hand(spark):
