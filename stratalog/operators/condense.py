@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.clock import fmt_ts
-from ..functions.dialect import starts_within, strip
+from ..functions.clock import fmt_ts, strip_timestamps
+from ..functions.dialect import ratio_text, starts_within, strip
 from .folds import drop_repeated_heads
 from .signals import has_code, has_formula, has_tech_word, has_trap, is_noise
 
@@ -76,10 +76,24 @@ def condense(segments: DataFrame, captions: bool = False) -> tuple[DataFrame, Da
     else:
         raw = raw.withColumn("dedup_chars", F.col("raw_chars"))
     stats = raw.join(clean, "video_id", "left").na.fill(0)
-    stats = stats.withColumn("dedup_removed", F.col("raw_chars") - F.col("dedup_chars"))
+    stats = stats.withColumns({"dedup_removed": F.col("raw_chars") - F.col("dedup_chars"), "compression_ratio": ratio_text(F.greatest(F.lit(0), F.col("raw_chars") - F.col("clean_chars")), F.col("raw_chars"))})
     return rows, found, stats
 
 
+def condense_selected(segments: DataFrame, ids: list[int] | None, chunk_len: float, captions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``condense`` of the segments that start in chosen chunks (None: all). The choice lies below: runs and repeated heads see only what was chosen, so the result is no part of the whole one's."""
+    return condense(segments if ids is None else segments.where(F.floor(F.col("start") / chunk_len).isin(*ids) if ids else F.lit(False)), captions)
+
+
+def evidence_stats(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(video_id, orig_chars, evidence_chars, evidence_reduction) of condensed rows and their evidence: characters without stamps, and the share that went."""
+    n = F.sum(F.length(F.replace(strip_timestamps(F.col("text")), F.lit("\n"), F.lit("")))).alias("n")
+    before = rows.where("kind = 'line'").groupBy("video_id").agg(n).withColumnRenamed("n", "orig_chars")
+    after = kept.groupBy("video_id").agg(n).withColumnRenamed("n", "evidence_chars")
+    out = before.join(after, "video_id", "left").na.fill(0)
+    return out.withColumn("evidence_reduction", ratio_text(F.greatest(F.lit(0), F.col("orig_chars") - F.col("evidence_chars")), F.col("orig_chars")))
+
+
 def render(rows: DataFrame) -> DataFrame:
     """Condensed rows as lines; only a sink needs them."""
     fold = F.concat(F.lit("["), fmt_ts(F.col("t_from")), F.lit(" - "), fmt_ts(F.col("t_to")), F.lit(" 闲聊互动/休息闲谈，已自动折叠]"))

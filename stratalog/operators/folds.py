@@ -66,6 +66,17 @@ def drop_overlaps(segments: DataFrame, share: float = 0.7, strict: bool = False)
     return _fold(segments.select("video_id", "seq", "start", "end", "text"), ["start", "seq"], step)
 
 
+def fresh_text(before: str, text: str | None, window: int | None = None) -> str:
+    """What a text adds to the one before it: without the longest head that is the other's tail, of 3 characters at least. The step of the fold, in batches and streams alike."""
+    text = (text or "").strip()
+    most = min(window if window is not None else 8 if _CJK.search(before) else 24, len(before), len(text))
+    tail = before[len(before) - most :]
+    for n in range(most, 2, -1):
+        if tail[most - n :] == text[:n]:
+            return text[n:].strip()
+    return text
+
+
 def drop_repeated_heads(segments: DataFrame, window: int | None = None) -> DataFrame:
     """Captions (video_id, seq, start, text) without the head that repeats the tail of the last kept text.
 
@@ -73,14 +84,7 @@ def drop_repeated_heads(segments: DataFrame, window: int | None = None) -> DataF
     """
 
     def step(kept, row):
-        text = (row["text"] or "").strip()
-        if text and kept is not None:
-            before = kept["text"]
-            most = window if window is not None else 8 if _CJK.search(before) else 24
-            same = next((n for n in range(min(most, len(before), len(text)), 2, -1) if before.endswith(text[:n])), 0)
-            text = text[same:].strip() if same else text
-        if not text:
-            return None, kept
-        return kept, {**row, "text": text}
+        text = fresh_text(kept["text"] if kept is not None else "", row["text"], window)
+        return (kept, {**row, "text": text}) if text else (None, kept)
 
     return _fold(segments.select("video_id", "seq", "start", "text"), ["seq"], step)

@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import newlines
-from .quotes import check_anchors
-from .vault import dangling, link_targets
+from .quotes import anchors, with_anchor_codes
+from .vault import dangling, targets_of
 
+#: Patterns of the rules, weights and bound of the score, fixed values.
 SECTION = r"(?is)(?:##(?U:\s+)[^\n]*?(?:闭环自测|自测练习|Active Recall|Post-test)[^\n]*?\n)(.*?)(?=\n##(?U:\s+)|\z)"
 QUESTION = r"(?U)(?:^|\n)\s*(?:#{1,6}\s*)?(?:\d+[.、]|\bQ\d+[:：]|题\s*\d+[:：]|第\s*[一二三四五\d]+\s*题[:：])\s*[^\n]+"
 ANSWER = r"(?i)(?:> \[!(?:TIP|NOTE|SUCCESS|QUESTION|EXAMPLE|INFO)\]-?|<details>|<!--(?U:\s*)details(?U:\s*)-->|参考答案|答案[:：])"
 PROVENANCE = r"(?U)(\[🎥\s*原片\]|\[📎\s*补充推导\]|\[⚠️\s*教学解释\]|🎥\s*来源(?:原片)?|>\s*🎥\s*来源)"
 WEIGHTS = (("format", 0.20), ("teaching", 0.20), ("trace", 0.20), ("code", 0.15), ("wikilink", 0.15), ("anchor", 0.10))
 PASS_SCORE = 0.70
+FRONT_MATTER, FENCE, MATH = r"(?s)\A---\r?\n.*?\r?\n---\r?\n", r"(?m)^(?U:\s*)```", r"\$\$"
+CHART, CHART_TYPE = r"(?s)```mermaid(?U:\s*)\n(.*?)\n```", r"(?U)\b(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram)\b"
+NESTED = (r"\[\[[^\]]*\[\[", r"\]\][^\[]*\]\]")
+GOAL, MODULE_GOAL, MODULE = r"(?U)🎯\s*\*\*全篇通关目标\*\*", r"(?U)🎯\s*学完你能", r"(?mU)^##\s+模块"
+TIME_ANCHOR = r"(\[\d{1,2}:\d{2}(?::\d{2})?[^\]]*\]|[?&]t=\d+)"
+COMPLEXITY = r"(时间复杂度|空间复杂度|O\([0-9A-Za-z\s\^*+\-\\,.]*\))"
+CODE_BLOCK = r"(?s)```(?:c|cpp|python|java|go|rust)(?U:\s*)\n.*?\n```"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -26,24 +34,24 @@ def features(notes: DataFrame) -> DataFrame:
     rows = notes.select("note_id", newlines(F.col("value")).alias("value")).withColumn("section", F.regexp_extract("value", SECTION, 1))
     v = F.col("value")
     asked = F.regexp_replace(F.regexp_replace("section", r"(?s)```.*?```|`[^`\n]+`", ""), r"(?is)<details(?:(?U:\s+)[^>]*)?>.*?</details>", "")
-    charts = F.regexp_extract_all(v, F.lit(r"(?s)```mermaid(?U:\s*)\n(.*?)\n```"), 1)
+    charts = F.regexp_extract_all(v, F.lit(CHART), 1)
     return rows.withColumns({
-        "has_frontmatter": v.rlike(r"(?s)\A---\r?\n.*?\r?\n---\r?\n"),
-        "fences": _count(v, r"(?m)^(?U:\s*)```"),
-        "math_marks": _count(v, r"\$\$"),
+        "has_frontmatter": v.rlike(FRONT_MATTER),
+        "fences": _count(v, FENCE),
+        "math_marks": _count(v, MATH),
         "mermaid_count": F.size(charts).cast("long"),
-        "mermaid_bad": F.size(F.filter(charts, lambda c: ~c.rlike(r"(?U)\b(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram)\b"))).cast("long"),
-        "nested_links": v.rlike(r"\[\[[^\]]*\[\[") | v.rlike(r"\]\][^\[]*\]\]"),
-        "has_goal": v.rlike(r"(?U)🎯\s*\*\*全篇通关目标\*\*"),
-        "module_goals": _count(v, r"(?U)🎯\s*学完你能"),
-        "modules": _count(v, r"(?mU)^##\s+模块"),
+        "mermaid_bad": F.size(F.filter(charts, lambda c: ~c.rlike(CHART_TYPE))).cast("long"),
+        "nested_links": v.rlike(NESTED[0]) | v.rlike(NESTED[1]),
+        "has_goal": v.rlike(GOAL),
+        "module_goals": _count(v, MODULE_GOAL),
+        "modules": _count(v, MODULE),
         "has_recall": v.rlike(SECTION),
         "questions": _count(asked, QUESTION),
         "answers": _count(F.col("section"), ANSWER),
-        "has_time_anchor": v.rlike(r"(\[\d{1,2}:\d{2}(?::\d{2})?[^\]]*\]|[?&]t=\d+)"),
+        "has_time_anchor": v.rlike(TIME_ANCHOR),
         "provenance_tags": _count(v, PROVENANCE),
-        "has_complexity": v.rlike(r"(时间复杂度|空间复杂度|O\([0-9A-Za-z\s\^*+\-\\,.]*\))"),
-        "code_blocks": _count(v, r"(?s)```(?:c|cpp|python|java|go|rust)(?U:\s*)\n.*?\n```"),
+        "has_complexity": v.rlike(COMPLEXITY),
+        "code_blocks": _count(v, CODE_BLOCK),
     }).drop("section")
 
 
@@ -51,18 +59,17 @@ def validate(notes: DataFrame, entries: DataFrame | None = None, archives: DataF
     """A row for each of notes (note_id, value): passed, overall (unrounded), six scores, error and warning codes, counts.
 
     Scores look at error codes, never at messages. Links are checked where ``entries`` of a collection are given,
-    quotations where ``archives`` have a row for the note.
+    quotations where ``archives`` have a row for the note; without either, a note is judged in its row and nothing is joined.
     """
-    rows = features(notes)
-    anchors = check_anchors(rows.select("note_id", "value"), archives).select("note_id", "anchor_count", F.col("errors").alias("anchor_errors"), F.col("warnings").alias("anchor_warnings"))
-    links = link_targets(rows).groupBy("note_id").agg(F.count(F.lit(1)).alias("wikilinks"), F.count_distinct("target").alias("targets"))
-    rows = rows.join(anchors, "note_id").join(links, "note_id", "left")
+    rows = with_anchor_codes(features(notes), archives)
+    targets = targets_of(F.col("value"))
+    rows = rows.withColumns({"wikilinks": F.size(targets).cast("long"), "targets": F.size(F.array_distinct(targets)).cast("long")})
     if entries is None:
         rows = rows.withColumn("dangling", F.lit(0).cast("long"))
     else:
         lost = dangling(rows, entries).groupBy("note_id").agg(F.count_distinct("target").alias("dangling"))
         rows = rows.join(lost, "note_id", "left")
-    rows = rows.na.fill(0, ["wikilinks", "targets", "dangling"])
+    rows = rows.na.fill(0, ["dangling"])
     no_complexity = (F.col("code_blocks") > 0) & ~F.col("has_complexity")
     weak_recall = F.col("has_recall") & ((F.col("questions") < 3) | (F.col("answers") < F.col("questions")))
     errors = F.array_compact(F.array(F.when(~F.col("has_frontmatter"), "no_frontmatter"), F.when(F.col("fences") % 2 != 0, "open_fence"), F.when(F.col("math_marks") % 2 != 0, "open_math"), F.when(F.col("nested_links"), "nested_links")))
@@ -126,3 +133,22 @@ def check_audits(audits: DataFrame) -> DataFrame:
     keys = F.array_compact(F.array(*[F.when(F.col(f"a.{k}").isNull(), f"missing:{k}") for k in ("video_id", "candidates", "final_anchors")]))
     reasons = F.transform(F.col("a.candidates"), lambda c: F.when(F.coalesce(c["kept"], F.lit(False)), F.array_compact(F.array(*[F.when(blank(c["reason"][d]), f"reason:{d}") for d in ("irreplaceable", "non_derivable", "memorable")]))).otherwise(F.array_compact(F.array(F.when(blank(c["reason_failed"]), "reason_failed")))))
     return rows.select("audit_id", F.concat(keys, F.coalesce(F.flatten(reasons), F.array().cast("array<string>"))).alias("issues"))
+
+
+#: Reasons that a template gives until someone writes better ones, fixed texts.
+TEMPLATE_REASONS = {
+    "irreplaceable": "名师独家比喻，改写为抽象术语后损失记忆抓手",
+    "non_derivable": "直觉心智模型，正文严密推导尚未涵盖该通俗生活实体",
+    "memorable": "形象直观，一周后仍可作为快速唤醒词",
+}
+
+
+def audit_templates(notes: DataFrame, video_id: str = "BV_TODO", source_title: str = "TODO") -> DataFrame:
+    """(note_id, value): a JSON audit for each of notes (note_id, value) that keeps every complete anchor, in order. The time it was made is left to the sink."""
+    reasons = F.struct(*[F.lit(text).alias(name) for name, text in TEMPLATE_REASONS.items()])
+    candidate = F.struct("quote", F.concat("ts_start", F.lit("-"), "ts_end").alias("timestamp"), "up_name", F.lit("analogy").alias("kind"), F.lit(True).alias("kept"), reasons.alias("reason"))
+    listed = anchors(notes).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("ord", candidate.alias("c")))).alias("a"))
+    rows = notes.select("note_id").join(listed, "note_id", "left")
+    found = F.coalesce(F.transform("a", lambda x: x["c"]), F.array())
+    record = F.struct(F.lit(video_id).alias("video_id"), F.lit(source_title).alias("source_title"), found.alias("candidates"), F.transform(found, lambda c: c["quote"]).alias("final_anchors"))
+    return rows.select("note_id", F.to_json(record).alias("value"))

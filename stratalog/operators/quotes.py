@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from ..functions.dialect import fold, strip
 from ..functions.text import bigrams, characters, normalize_tokens
 from .timeline import cues_near
 
+#: Patterns of anchors and cues, and limits of the checks, fixed values.
 MIC = "[🎙🎤]\ufe0f?"
 ANCHOR = rf'>[ \t]*\[!quote\][ \t]*{MIC}[ \t]*原片教学锚点[（(]([^\n）)]+)[）)][ \t]*\n>[ \t]*["“]([^"”\n]+)["”][ \t]*\n>[ \t]*——[ \t]*\[([0-9]{{1,3}}:[0-9]{{2}}(?::[0-9]{{2}})?)[ \t]*-[ \t]*([0-9]{{1,3}}:[0-9]{{2}}(?::[0-9]{{2}})?)\]'
 MARKER, MENTION = rf"(?m)^>[ \t]*\[!quote\][ \t]*{MIC}[ \t]*原片教学锚点", r"(?m)^>.*原片教学锚点"
@@ -56,16 +58,26 @@ def recall(cues: DataFrame, windows: DataFrame, margin: float = 25) -> DataFrame
 
 
 def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool) -> bool:
+    """Whether any window's ratio reaches the threshold. Windows that hold too few of the needle's characters can't, and are passed over."""
     if needle is None or hay is None or len(needle) < 4:
         return False
     n = len(needle)
     width = n if strict else n + 15
-    matcher = difflib.SequenceMatcher(None, autojunk=True)
-    matcher.set_seq1(needle)
-    for at in range(0, max(1, len(hay) - n + 1), max(1, n // 5)):
-        matcher.set_seq2(hay[at : at + width])
-        if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-            return True
+    starts = range(0, max(1, len(hay) - n + 1), max(1, n // 5))
+    wanted = Counter(needle)
+    inside: Counter = Counter()
+    lo = hi = 0
+    ratio = difflib.SequenceMatcher(None, autojunk=True)
+    ratio.set_seq1(needle)
+    for at in starts:
+        inside.update(hay[hi : at + width])
+        inside.subtract(hay[lo:at])
+        lo, hi = at, max(hi, min(len(hay), at + width))
+        common = sum(min(k, inside[c]) for c, k in wanted.items())
+        if 2.0 * common / (n + hi - lo) >= threshold:
+            ratio.set_seq2(hay[lo:hi])
+            if ratio.ratio() >= threshold:
+                return True
     return False
 
 
@@ -100,38 +112,57 @@ def parse_cues(archives: DataFrame) -> DataFrame:
     return rows.select("archive_id", "source_no", "cue_no", ts_to_sec(F.col("c.a")).cast("double").alias("s"), ts_to_sec(F.col("c.b")).cast("double").alias("e"), F.col("c.text").alias("text")).where("s is not null and e is not null")
 
 
+def provenance(notes: DataFrame, archives: DataFrame) -> DataFrame:
+    """(note_id, has_archive, unsupported): of notes with anchors, whether there is an archive text, and which anchors (by number) it doesn't hold literally, nearly, or by recall near their times."""
+    s, e = ts_to_sec(F.col("ts_start")), ts_to_sec(F.col("ts_end"))
+    rows = anchors(notes).withColumns({"s": s, "e": e, "window_id": F.col("ord")})
+    plain = archives.select(F.col("archive_id").alias("note_id"), F.regexp_replace("value", r"\[(?U:\s*)\d{1,2}:\d{2}(?::\d{2})?(?:(?U:\s*)-->(?U:\s*)\d{1,2}:\d{2}(?::\d{2})?)?(?U:\s*)\]", "").alias("plain"))
+    rows = rows.join(plain, "note_id", "left").withColumn("literal", literal_match(F.col("quote"), F.col("plain")))
+    open_ = rows.where("not literal and s is not null and e is not null").select(F.col("note_id").alias("archive_id"), "window_id", F.col("s").cast("double").alias("s0"), F.col("e").cast("double").alias("e0"), "quote")
+    near = recall(parse_cues(archives), open_).select(F.col("archive_id").alias("note_id"), "window_id", (F.col("n_hit") / F.col("n_quote") >= RECALL).alias("near"))
+    fuzzy = rows.where("not literal").select("note_id", "window_id", fuzzy_match(F.col("quote"), F.col("plain")).alias("fuzzy"))
+    rows = rows.join(near, ["note_id", "window_id"], "left").join(fuzzy, ["note_id", "window_id"], "left")
+    ok = F.coalesce("literal", F.lit(False)) | F.coalesce("near", F.lit(False)) | F.coalesce("fuzzy", F.lit(False))
+    return rows.groupBy("note_id").agg(F.bool_or(F.coalesce(F.col("plain") != "", F.lit(False))).alias("has_archive"), F.collect_list(F.when(~ok, F.col("ord"))).alias("unsupported"))
+
+
+def with_anchor_codes(notes: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """``notes`` (note_id, value, …) with anchor_count, anchor_errors and anchor_warnings, codes sorted. Without ``archives`` all is read in the row, and nothing is joined."""
+    found = F.transform(F.arrays_zip(*[F.regexp_extract_all("value", F.lit(ANCHOR), i).alias(c) for i, c in enumerate(("up_name", "quote", "ts_start", "ts_end"), 1)]), lambda a: F.struct(strip(a["up_name"]).alias("up_name"), strip(a["quote"]).alias("quote"), ts_to_sec(a["ts_start"]).alias("s"), ts_to_sec(a["ts_end"]).alias("e")))
+    rows = notes.withColumns({"__found": found, "__markers": F.regexp_count("value", F.lit(MARKER)), "__mentions": F.regexp_count("value", F.lit(MENTION))})
+    if archives is None:
+        has, lost = F.lit(False), F.array().cast("array<int>")
+    else:
+        support = provenance(notes.select("note_id", "value"), archives).select(F.col("note_id").alias("__of"), "has_archive", "unsupported")
+        rows = rows.join(support, F.col("note_id") == F.col("__of"), "left")
+        has, lost = F.coalesce("has_archive", F.lit(False)), F.coalesce("unsupported", F.array().cast("array<int>"))
+    quotes = F.transform("__found", lambda a: a["quote"])
+
+    def errors(a, i):
+        some = a["quote"] != ""
+        return F.array_compact(F.array(
+            F.when(~some, "empty_quote"),
+            F.when(some & (F.length(a["quote"]) > MAX_QUOTE), "long_quote"),
+            F.when(some & (a["up_name"] == ""), "no_name"),
+            F.when(some & (F.array_position(quotes, a["quote"]) <= i), "duplicate"),
+            F.when(some & (a["s"].isNull() | a["e"].isNull()), "bad_time").when(some & (a["s"] > a["e"]), "reversed_time"),
+            F.when(some & has & F.array_contains(lost, i), "unsupported"),
+        ))
+
+    def warnings(a):
+        some = a["quote"] != ""
+        return F.array_compact(F.array(F.when(some & (F.contains(a["quote"], F.lit("…")) | F.contains(a["quote"], F.lit("..."))), "ellipsis"), F.when(some & ~has, "no_archive")))
+
+    n = F.size("__found")
+    base = F.array_compact(F.array(F.when(n > MAX_ANCHORS, "too_many"), F.when(F.col("__markers") != n, "incomplete"), F.when(F.col("__mentions") > F.col("__markers"), "format_drift")))
+    codes = {"anchor_count": n.cast("long"), "anchor_errors": F.array_sort(F.concat(base, F.flatten(F.transform("__found", errors)))), "anchor_warnings": F.array_sort(F.flatten(F.transform("__found", warnings)))}
+    return rows.select(*[F.col(c) for c in notes.columns], *[c.alias(name) for name, c in codes.items()])
+
+
 def check_anchors(notes: DataFrame, archives: DataFrame | None = None) -> DataFrame:
     """(note_id, anchor_count, errors, warnings), codes sorted, of notes (note_id, value); archives (archive_id = note_id, value) enable provenance.
 
     A note without a row in ``archives`` counts as without an archive.
     """
-    counts = notes.select("note_id", F.size(F.regexp_extract_all("value", F.lit(ANCHOR), 0)).alias("n"), F.regexp_count("value", F.lit(MARKER)).alias("markers"), F.regexp_count("value", F.lit(MENTION)).alias("mentions"))
-    base = F.array_compact(F.array(F.when(F.col("n") > MAX_ANCHORS, "too_many"), F.when(F.col("markers") != F.col("n"), "incomplete"), F.when(F.col("mentions") > F.col("markers"), "format_drift")))
-    found = anchors(notes)
-    seen = F.expr("row_number() over (partition by note_id, quote order by ord)")
-    s, e = ts_to_sec(F.col("ts_start")), ts_to_sec(F.col("ts_end"))
-    rows = found.withColumns({"nth": seen, "s": s, "e": e, "window_id": F.col("ord")})
-    if archives is None:
-        rows = rows.withColumns({"has": F.lit(False), "ok": F.lit(True)})
-    else:
-        plain = archives.select(F.col("archive_id").alias("note_id"), F.regexp_replace("value", r"\[(?U:\s*)\d{1,2}:\d{2}(?::\d{2})?(?:(?U:\s*)-->(?U:\s*)\d{1,2}:\d{2}(?::\d{2})?)?(?U:\s*)\]", "").alias("plain"))
-        rows = rows.join(plain, "note_id", "left").withColumn("literal", literal_match(F.col("quote"), F.col("plain")))
-        open_ = rows.where("not literal and s is not null and e is not null").select(F.col("note_id").alias("archive_id"), "window_id", F.col("s").cast("double").alias("s0"), F.col("e").cast("double").alias("e0"), "quote")
-        near = recall(parse_cues(archives), open_).select(F.col("archive_id").alias("note_id"), "window_id", (F.col("n_hit") / F.col("n_quote") >= RECALL).alias("near"))
-        fuzzy = rows.where("not literal").select("note_id", "window_id", fuzzy_match(F.col("quote"), F.col("plain")).alias("fuzzy"))
-        rows = rows.join(near, ["note_id", "window_id"], "left").join(fuzzy, ["note_id", "window_id"], "left")
-        rows = rows.withColumns({"has": F.col("plain").isNotNull() & (F.col("plain") != ""), "ok": F.coalesce("literal", F.lit(False)) | F.coalesce("near", F.lit(False)) | F.coalesce("fuzzy", F.lit(False))})
-    some = F.col("quote") != ""
-    errors = F.array_compact(F.array(
-        F.when(~some, "empty_quote"),
-        F.when(some & (F.length("quote") > MAX_QUOTE), "long_quote"),
-        F.when(some & (F.col("up_name") == ""), "no_name"),
-        F.when(some & (F.col("nth") > 1), "duplicate"),
-        F.when(some & (F.col("s").isNull() | F.col("e").isNull()), "bad_time").when(some & (F.col("s") > F.col("e")), "reversed_time"),
-        F.when(some & F.col("has") & ~F.col("ok"), "unsupported"),
-    ))
-    warnings = F.array_compact(F.array(F.when(some & (F.contains("quote", F.lit("…")) | F.contains("quote", F.lit("..."))), "ellipsis"), F.when(some & ~F.col("has"), "no_archive")))
-    each = rows.groupBy("note_id").agg(F.flatten(F.collect_list(errors)).alias("e2"), F.flatten(F.collect_list(warnings)).alias("w2"))
-    none = F.array().cast("array<string>")
-    out = counts.withColumn("e1", base).join(each, "note_id", "left")
-    return out.select("note_id", F.col("n").cast("long").alias("anchor_count"), F.array_sort(F.concat("e1", F.coalesce("e2", none))).alias("errors"), F.array_sort(F.coalesce("w2", none)).alias("warnings"))
+    rows = with_anchor_codes(notes.select("note_id", "value"), archives)
+    return rows.select("note_id", "anchor_count", F.col("anchor_errors").alias("errors"), F.col("anchor_warnings").alias("warnings"))

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.clock import fmt_ts, parse_ts
 from ..functions.dialect import strip
+from .folds import drop_overlaps
 from .signals import analyze
 
 
@@ -65,15 +66,38 @@ def chapters_from_description(media: DataFrame) -> DataFrame:
     return embedded.unionByName(found)
 
 
-def chunk_index(chunks: DataFrame, texts: DataFrame, chapters: DataFrame | None, chunk_len: float, status: str = "ready") -> DataFrame:
-    """Navigation rows: clock times, status, characters and signals of each chunk, chapter titles as hints where there are any."""
+def chunk_index(chunks: DataFrame, texts: DataFrame, chapters: DataFrame | None, chunk_len: float, status: str | Column = "ready") -> DataFrame:
+    """Navigation rows: clock times, status (a value for all, or an expression over chunks and texts), characters and signals of each chunk, chapter titles as hints where there are any."""
     rows = chunks.join(texts.select("video_id", "chunk_id", "text"), ["video_id", "chunk_id"], "left")
     if chapters is None:
         rows = rows.withColumn("titles", F.array().cast("array<string>"))
     else:
         rows = rows.join(chapter_overlaps(chunks, chapters, chunk_len).select("video_id", "chunk_id", "titles"), ["video_id", "chunk_id"], "left")
     rows = rows.withColumn("sig", analyze(F.col("text"), F.col("titles")))
-    return rows.select("video_id", "chunk_id", fmt_ts(F.col("t0")).alias("start"), fmt_ts(F.col("t1")).alias("end"), (F.col("t1") - F.col("t0")).alias("duration_s"), F.lit(status).alias("status"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "sig.*")
+    return rows.select("video_id", "chunk_id", fmt_ts(F.col("t0")).alias("start"), fmt_ts(F.col("t1")).alias("end"), (F.col("t1") - F.col("t0")).alias("duration_s"), (F.lit(status) if isinstance(status, str) else status).alias("status"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "sig.*")
+
+
+def chunk_index_from_results(chunks: DataFrame, results: DataFrame, chapters: DataFrame | None, chunk_len: float) -> DataFrame:
+    """As chunk_index, of stored results (video_id, chunk_id, seq, text): chunks that have any are ready, others keep the status of their manifest in ``chunks`` (unknown without one)."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    texts = results.groupBy("video_id", "chunk_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+    held = chunks if "status" in chunks.columns else chunks.withColumn("status", F.lit(None).cast("string"))
+    return chunk_index(held, texts, chapters, chunk_len, F.when(F.col("text").isNotNull(), "ready").otherwise(F.coalesce("status", F.lit("unknown"))))
+
+
+def empty_index(chunks: DataFrame) -> DataFrame:
+    """Navigation rows of chunks of which nothing is known: no signal, status pending."""
+    return chunk_index(chunks, chunks.select("video_id", "chunk_id", F.lit("").alias("text")), None, 1.0, status="pending")
+
+
+def index_envelopes(index: DataFrame, media: DataFrame, content_source: str, nav_level: str) -> DataFrame:
+    """(video_id, payload): a JSON record of each of media (video_id, title, duration) with all its navigation rows in order."""
+    fields = ["chunk_id", "start", "end", "duration_s", "status", "chars", "keywords", "topic_hints", "density", "has_code", "has_formula", "has_warning"]
+    row = F.struct(F.col("chunk_id").alias("id"), *fields[1:])
+    rows = index.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("chunk_index"))
+    rows = media.join(rows, "video_id", "left").withColumn("chunk_index", F.coalesce("chunk_index", F.array()))
+    record = F.struct("video_id", F.coalesce("title", F.lit("")).alias("title"), "duration", fmt_ts(F.col("duration")).alias("duration_str"), F.lit(content_source).alias("content_source"), F.lit(nav_level).alias("nav_level"), F.size("chunk_index").alias("chunk_count"), "chunk_index")
+    return rows.select("video_id", F.to_json(record).alias("payload"))
 
 
 def chunk_index_from_chapters(chunks: DataFrame, chapters: DataFrame, chunk_len: float) -> DataFrame:
@@ -113,6 +137,25 @@ def cues_near(cues: DataFrame, windows: DataFrame, margin: float = 25, bucket: f
     return c.join(w, ["archive_id", "b"]).where((F.col("s") <= F.col("w1")) & (F.col("e") >= F.col("w0")) & (F.col("b") == first)).drop("b", "w0", "w1")
 
 
+def select_chunks(chunks: DataFrame, ids: list[int] | None) -> DataFrame:
+    """Chunks (…, chunk_id) by number: all for None, none for an empty list."""
+    return chunks if ids is None else chunks.where(F.col("chunk_id").isin(*ids) if ids else F.lit(False))
+
+
+def finished_chunks(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Chunks that have a result, whatever their manifest says."""
+    return chunks.join(results.select("video_id", "chunk_id").distinct(), ["video_id", "chunk_id"], "left_semi")
+
+
+def merge_chunks(chunks: DataFrame, results: DataFrame, ids: list[int] | None = None) -> DataFrame:
+    """Segments (video_id, seq, start, end, text) of the chosen chunks, overlaps at their seams dropped; a chosen chunk without a result raises when the rows are read."""
+    chosen = select_chunks(chunks, ids)
+    rows = chosen.select("video_id", "chunk_id").join(results, ["video_id", "chunk_id"], "left")
+    name = F.format_string("chunk %s of %s has no result", F.col("chunk_id").cast("string"), F.col("video_id").cast("string"))
+    rows = rows.withColumn("seq", F.when(F.col("start").isNull(), F.raise_error(name).cast("bigint")).otherwise(F.col("seq")))
+    return drop_overlaps(rows)
+
+
 def missing_chunks(wanted: DataFrame, results: DataFrame) -> DataFrame:
     """Chunks without a result; a merge is complete when there are none."""
     return wanted.join(results.select("video_id", "chunk_id").distinct(), ["video_id", "chunk_id"], "left_anti")

@@ -45,6 +45,18 @@ def name_index(entries: DataFrame) -> DataFrame:
     return out.select("name", "candidates", F.element_at("candidates", 1).alias("alias"), (F.size("candidates") > 1).alias("conflict"))
 
 
+def name_targets(entries: DataFrame) -> DataFrame:
+    """(name, n_candidates, alias) as ``name_index``, without the candidates: counts and the first, which combine before they are shuffled."""
+    names = F.concat(F.array("stem", "rel_stem", "title"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = entries.select("rel_stem", F.explode(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))).alias("name"))
+    return rows.groupBy("name").agg(F.count_distinct("rel_stem").alias("n_candidates"), F.min_by("rel_stem", F.struct(F.split("rel_stem", "/"), "rel_stem")).alias("alias"))
+
+
+def scan_counts(plan: DataFrame) -> DataFrame:
+    """One row (reused, parsed, removed) of ``scan_plan``."""
+    return plan.agg(*[F.count_if(F.col("action") == action).alias(name) for action, name in (("reuse", "reused"), ("parse", "parsed"), ("remove", "removed"))])
+
+
 def scan_plan(files: DataFrame, before: DataFrame) -> DataFrame:
     """(rel, action) with action reuse, parse or remove, of file states (rel, mtime, size) now and before; only 'parse' rows need reading."""
     old = before.select(F.col("rel"), F.col("mtime").alias("m0"), F.col("size").alias("s0"), F.lit(True).alias("was"))
@@ -54,10 +66,10 @@ def scan_plan(files: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def resolve_names(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """(ord, term, n_candidates, target): one candidate is the target; none or several give none."""
-    found = terms.select("ord", "term").join(names.select(F.col("name").alias("term"), "candidates"), "term", "left")
-    n = F.coalesce(F.size("candidates"), F.lit(0))
-    return found.select("ord", "term", F.when(F.col("candidates").isNull(), 0).otherwise(n).cast("long").alias("n_candidates"), F.when(F.size("candidates") == 1, F.element_at("candidates", 1)).alias("target"))
+    """(ord, term, n_candidates, target) of ``terms`` and ``name_targets``: one candidate is the target; none or several give none."""
+    found = terms.select("ord", "term").join(names.select(F.col("name").alias("term"), "n_candidates", "alias"), "term", "left")
+    n = F.coalesce("n_candidates", F.lit(0))
+    return found.select("ord", "term", n.cast("long").alias("n_candidates"), F.when(n == 1, F.col("alias")).alias("target"))
 
 
 def known_targets(targets: DataFrame, entries: DataFrame) -> DataFrame:
@@ -68,10 +80,15 @@ def known_targets(targets: DataFrame, entries: DataFrame) -> DataFrame:
     return targets.withColumn("key", F.regexp_replace(clean, r"\.md\z", "")).join(keys, "key", "left_semi").drop("key")
 
 
+def targets_of(value: Column) -> Column:
+    """Targets of the wiki links of a text, in order, without display text, section or block."""
+    found = F.transform(F.regexp_extract_all(value, F.lit(r"\[\[([^\]\n]+)\]\]"), 1), lambda raw: strip(F.regexp_extract(raw, r"\A([^|#^]*)", 1)))
+    return F.filter(found, lambda t: t != "")
+
+
 def link_targets(notes: DataFrame) -> DataFrame:
-    """(note_id, target) of the wiki links in notes (note_id, value), without display text, section or block."""
-    rows = notes.select("note_id", F.explode(F.regexp_extract_all("value", F.lit(r"\[\[([^\]\n]+)\]\]"), 1)).alias("raw"))
-    return rows.select("note_id", strip(F.regexp_extract("raw", r"\A([^|#^]*)", 1)).alias("target")).where("target <> ''")
+    """(note_id, target) of the wiki links in notes (note_id, value)."""
+    return notes.select("note_id", F.explode(targets_of(F.col("value"))).alias("target"))
 
 
 def dangling(notes: DataFrame, entries: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def scan(spark: SparkSession, folder: str, index: str) -> int:
     return 0
 
 
-def inject(spark: SparkSession, source: str, terms: str, index: str, output: str, weak_links: str = "footer") -> int:
-    """Link all notes below ``source`` and write (note_id, value, linked, counts) to ``output`` as JSON. Without index, terms or notes: 2."""
+def inject(spark: SparkSession, source: str, terms: str, index: str, output: str, weak_links: str = "footer", audit: str | None = None) -> int:
+    """Link all notes below ``source`` and write (note_id, value, linked, counts) to ``output`` as JSON, and to ``audit`` what became of the terms of each. Without index, terms or notes: 2."""
     entries, found = load_index(spark, index), _notes(spark, source)
     if entries is None or found is None:
         return 2
@@ -73,14 +73,20 @@ def inject(spark: SparkSession, source: str, terms: str, index: str, output: str
             return 2
         raise
     plan = links.link_plan(listed, vault.name_index(entries), entries, weak_links)
-    links.inject(found.select(F.col("rel").alias("note_id"), "value"), plan, weak_links).write.mode("overwrite").json(output)
+    done = links.inject(found.select(F.col("rel").alias("note_id"), "value"), plan, weak_links)
+    done.select("note_id", "value", "linked", "n_strong", "n_weak", "n_footer").write.mode("overwrite").json(output)
+    if audit:
+        names = {"strong_links": "n_strong", "weak_links": "n_weak", "weak_footer": "n_footer", "linked_terms": "linked"}
+        lists = ["terms_input", "skipped_invalid", "skipped_not_in_text", "invalid_targets", "ambiguous_terms", "skipped_self_links"]
+        run = {"input": F.lit(source), "output": F.lit(output), "index_notes": F.lit(entries.count()), "weak_links_mode": F.lit(weak_links), "current_note": F.col("note_id")}
+        done.select(*[F.col(c).alias(name) for name, c in names.items()], *lists, *[c.alias(name) for name, c in run.items()]).write.mode("overwrite").json(audit)
     return 0
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="vault_jobs")
     parser.add_argument("job", choices=("scan", "inject", "all"))
-    for name in ("vault", "index", "input", "terms", "output"):
+    for name in ("vault", "index", "input", "terms", "output", "audit"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--weak-links", default="footer", choices=("footer", "body", "none"))
     args = parser.parse_args(argv)
@@ -91,7 +97,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("vault_jobs").getOrCreate()
     code = scan(spark, args.vault, args.index) if args.job in ("scan", "all") else 0
     if code == 0 and args.job in ("inject", "all"):
-        code = inject(spark, args.input, args.terms, args.index, args.output, args.weak_links)
+        code = inject(spark, args.input, args.terms, args.index, args.output, args.weak_links, args.audit)
     return code
 
 
