@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, lexicon, text
-from ..functions.dialect import strip
 from ..operators import condense, folds, gate, links, quotes, signals, timeline, vault
 from ..sources import captions, notes
 from ..streaming import incremental
@@ -65,10 +64,10 @@ def tl_2_chunk_texts(spark, sf_dir):
 @query(f"""WITH {t.SEG_DOC}, {TEXTS_SQL}, h AS (SELECT *, {HITS_SQL} AS hits FROM texts)
     SELECT video_id, chunk_id, array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i)[1:5], '|') AS keywords,
            array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i)[1:3], '|') AS topic_hints,
-           len(hits)::BIGINT AS n_hits, length(text)::BIGINT AS n_chars, {CODE_SQL} AS has_code, {FORMULA_SQL} AS has_formula, {TRAP_SQL} AS has_warning FROM h""")
+           len(hits)::BIGINT AS n_hits, length(text)::BIGINT AS n_chars, least(1.0, len(hits) / greatest(1.0, length(text) / 80.0::DOUBLE))::DOUBLE AS density, {CODE_SQL} AS has_code, {FORMULA_SQL} AS has_formula, {TRAP_SQL} AS has_warning FROM h""")
 def ag_1_signals(spark, sf_dir):
     rows = timeline.chunk_texts(t.seg_doc(spark, sf_dir), t.CHUNK).withColumn("s", signals.analyze(F.col("text")))
-    return rows.select("video_id", "chunk_id", F.array_join("s.keywords", "|").alias("keywords"), F.array_join("s.topic_hints", "|").alias("topic_hints"), "s.n_hits", "s.n_chars", "s.has_code", "s.has_formula", "s.has_warning")
+    return rows.select("video_id", "chunk_id", F.array_join("s.keywords", "|").alias("keywords"), F.array_join("s.topic_hints", "|").alias("topic_hints"), "s.n_hits", "s.n_chars", "s.density", "s.has_code", "s.has_formula", "s.has_warning")
 
 
 @query(f"""WITH {CHUNKS_SQL}, {t.SEG_DOC}, {TEXTS_SQL}, j AS (SELECT c.*, coalesce(x.text, '') AS text FROM chunks c LEFT JOIN texts x USING (video_id, chunk_id))
@@ -101,14 +100,6 @@ def wn_3_fold_idle(spark, sf_dir):
     return condense.condense(t.seg_doc(spark, sf_dir))[0].select("video_id", "seq", "kind", "t_from", "t_to", "n_lines", F.md5("text").alias("text_md5"))
 
 
-@query(f"""WITH {LINES_SQL} SELECT s.video_id, raw_chars, raw_chars AS dedup_chars, 0::BIGINT AS dedup_removed, coalesce(clean_chars, 0)::BIGINT AS clean_chars, coalesce(folds, 0) AS folds, coalesce(n, 0) AS traps_count
-    FROM (SELECT video_id, sum(length(trim(text)))::BIGINT AS raw_chars FROM seg GROUP BY video_id) s
-    LEFT JOIN (SELECT video_id, sum(length(text)) AS clean_chars, count(*) FILTER (kind = 'fold') AS folds FROM folded GROUP BY video_id) c USING (video_id)
-    LEFT JOIN (SELECT video_id, count(*) FILTER (trap) AS n FROM lines GROUP BY video_id) x USING (video_id)""")
-def cd_1_condense_stats(spark, sf_dir):
-    return condense.condense(t.seg_doc(spark, sf_dir))[2].select("video_id", "raw_chars", "dedup_chars", "dedup_removed", "clean_chars", "folds", "traps_count")
-
-
 @query(f"""WITH {LINES_SQL}, known AS (SELECT video_id, list(DISTINCT text) AS traps FROM lines WHERE trap GROUP BY video_id),
     j AS (SELECT f.video_id, f.seq, f.text, f.t_from, traps, printf('[%02d:%02d:%02d] ', t_from::BIGINT // 3600, t_from::BIGINT % 3600 // 60, t_from::BIGINT % 60) || f.text AS line FROM folded f LEFT JOIN known USING (video_id) WHERE kind = 'line')
     SELECT video_id, count(*) AS n_lines, sum(length(body))::BIGINT AS evidence_chars FROM (SELECT video_id, text AS body, traps, line AS text FROM j)
@@ -134,19 +125,35 @@ def tl_5_drop_overlaps(spark, sf_dir):
 _TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(13))"
 
 
-@query(f"""WITH RECURSIVE k AS (SELECT doc_id AS video_id, unnest(range(20)) AS seq, text AS whole FROM documents WHERE n_chars > 426),
-    c AS (SELECT video_id, seq, {_TRIM.format("substring(whole, seq * 20 + 1, 26)")} AS text FROM k),
-    f AS (SELECT video_id, -1::BIGINT AS seq, '' AS kept, '' AS text FROM c WHERE seq = 0
-        UNION ALL
-        SELECT video_id, seq, CASE WHEN cut = '' THEN kept ELSE cut END, cut FROM (
-            SELECT video_id, seq, kept, CASE WHEN n IS NULL THEN text ELSE {_TRIM.format("substring(text, n::BIGINT + 1)")} END AS cut FROM (
-                SELECT c.video_id, c.seq, f.kept, c.text, list_max(list_filter(range(3, 25), lambda i: i <= length(f.kept) AND i <= length(c.text) AND right(f.kept, i) = left(c.text, i))) AS n
-                FROM f JOIN c ON c.video_id = f.video_id AND c.seq = f.seq + 1)))
-    SELECT video_id, seq, text FROM f WHERE seq >= 0 AND text <> ''""")
+def _heads_sql(items: str) -> str:
+    """Relation ``folded`` (video_id, rows: list of seq and text) of a relation ``items`` (video_id, items: list of kept and out): each text without the head that repeats the last kept one."""
+    same = "list_max(list_filter(range(3, 25), lambda i: i <= length(a.kept) AND i <= length(x.kept) AND right(a.kept, i) = left(x.kept, i)))"
+    return f"""folded AS (SELECT video_id, list_reduce(list_prepend({{'kept': '', 'out': [{{'seq': -1::BIGINT, 'text': ''}}]}}, items), lambda a, x: list_transform([{_TRIM.format(f"substring(x.kept, coalesce({same}, 0) + 1)")}],
+        lambda cut: {{'kept': CASE WHEN cut = '' THEN a.kept ELSE cut END, 'out': CASE WHEN cut = '' THEN a.out ELSE list_append(a.out, {{'seq': x.out[1].seq, 'text': cut}}) END}})[1]).out AS rows FROM ({items}))"""
+
+
+_SLIDES = f"""SELECT video_id, list_transform(range(last + 1), lambda i: {{'kept': {_TRIM.format("substring(whole, i * 20 + 1, 26)")}, 'out': [{{'seq': i, 'text': ''}}]}}) AS items
+        FROM (SELECT doc_id AS video_id, coalesce(text, '') AS whole, greatest(0, ceil((length(coalesce(text, '')) - 26) / 20.0)::BIGINT) AS last FROM documents)"""
+
+
+@query(f"WITH {_heads_sql(_SLIDES)} SELECT video_id, u.seq AS seq, u.text AS text FROM (SELECT video_id, unnest(rows) AS u FROM folded) WHERE u.seq >= 0")
 def f_2_drop_repeated_heads(spark, sf_dir):
     return folds.drop_repeated_heads(t.seg_slide(spark, sf_dir)).select("video_id", "seq", "text")
 
 
+_LINES = f"""SELECT doc_id AS video_id, list_transform(string_split(text, chr(10)), lambda l, i: {{'kept': {_TRIM.format("l")}, 'out': [{{'seq': i - 1, 'text': ''}}]}}) AS items FROM documents"""
+HEADS_SQL = LINES_SQL.replace(t.SEG_DOC, f"{_heads_sql(_LINES)}, {t.SEG_DOC.replace('seg AS', 'raw AS')}, seg AS (SELECT video_id, u.seq AS seq, u.text AS text FROM (SELECT video_id, unnest(rows) AS u FROM folded) WHERE u.seq >= 0)").replace("folded AS (SELECT video_id, seq, CASE", "idle_rows AS (SELECT video_id, seq, CASE")
+
+
+@query(f"""WITH {HEADS_SQL} SELECT s.video_id, raw_chars, coalesce(dedup_chars, 0)::BIGINT AS dedup_chars, (raw_chars - coalesce(dedup_chars, 0))::BIGINT AS dedup_removed, coalesce(clean_chars, 0)::BIGINT AS clean_chars, coalesce(folds, 0) AS folds, coalesce(n, 0) AS traps_count
+    FROM (SELECT video_id, sum(length(trim(text)))::BIGINT AS raw_chars FROM raw GROUP BY video_id) s
+    LEFT JOIN (SELECT video_id, sum(length(text)) AS dedup_chars FROM seg GROUP BY video_id) d USING (video_id)
+    LEFT JOIN (SELECT video_id, sum(length(text)) AS clean_chars, count(*) FILTER (kind = 'fold') AS folds FROM idle_rows GROUP BY video_id) c USING (video_id)
+    LEFT JOIN (SELECT video_id, count(*) FILTER (trap) AS n FROM lines GROUP BY video_id) x USING (video_id)""")
+def cd_1_condense_stats(spark, sf_dir):
+    return condense.condense(t.seg_doc(spark, sf_dir), captions=True)[2].select("video_id", "raw_chars", "dedup_chars", "dedup_removed", "clean_chars", "folds", "traps_count")
+
+
 def _conv_lines(spark, sf_dir):
     ts = F.when(F.col("turn") % 3 == 0, clock.fmt_ts(F.col("turn") * 45))
     return t.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("ord"), ts.alias("ts"), "text")
@@ -239,10 +246,10 @@ def tl_14_cues_near(spark, sf_dir):
     SELECT video_id AS archive_id, window_id, len(q)::BIGINT AS n_quote, len(list_intersect(q, a))::BIGINT AS n_hit FROM g""")
 def jn_11_recall(spark, sf_dir):
     cues, windows = _cues(spark, sf_dir)
-    near = timeline.cues_near(cues, windows).where("cue_no <> window_id").select("archive_id", "source_no", "cue_no", "s", "e", "text", "window_id", "s0", "e0", "quote")
-    said = near.groupBy("archive_id", "window_id").agg(F.first("quote").alias("quote"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: x["text"]), " ").alias("said"))
-    q, a = text.bigrams(F.col("quote")), text.bigrams(F.col("said"))
-    return said.select("archive_id", "window_id", F.size(q).cast("long").alias("n_quote"), F.size(F.array_intersect(q, a)).cast("long").alias("n_hit")).where("n_quote > 0")
+    # A line is no evidence for itself: each window has an archive of its own, with the neighbours' cues alone.
+    own = F.struct("archive_id", "window_id")
+    beside = cues.withColumn("window_id", F.explode(F.array(F.col("cue_no") - 1, F.col("cue_no") + 1))).withColumn("archive_id", own).drop("window_id")
+    return quotes.recall(beside, windows.withColumn("archive_id", own)).select("archive_id.archive_id", "window_id", "n_quote", "n_hit")
 
 
 @query(f"SELECT doc_id, item_id AS quote_id FROM (SELECT doc_id, {FOLD_SQL.format('text')} AS hay FROM documents) d JOIN (SELECT item_id, {FOLD_SQL.format('text')} AS needle FROM benchmark) q ON needle <> '' AND contains(hay, needle)")
@@ -268,7 +275,7 @@ def _terms(spark, sf_dir):
 @query(f"""WITH {NAMES_SQL}, terms AS (SELECT p_partkey AS ord, unnest([p_name || p_partkey, p_type, 'missing' || p_partkey]) AS term FROM part)
     SELECT ord, term, coalesce(n, 0)::BIGINT AS n_candidates, CASE WHEN n = 1 THEN alias END AS target FROM terms LEFT JOIN idx ON name = term""")
 def jn_6_resolve_names(spark, sf_dir):
-    return vault.resolve_names(_terms(spark, sf_dir), vault.name_index(t.vault(spark, sf_dir)))
+    return vault.resolve_names(_terms(spark, sf_dir), vault.name_targets(t.vault(spark, sf_dir)))
 
 
 @query(f"""WITH {t.VAULT}, keys AS (SELECT DISTINCT lower(unnest([stem, rel_stem, title, alias])) AS k FROM vault), x AS (SELECT unnest([upper(p_name) || '.md', p_brand || '\\' || p_partkey || '\\' || p_name, 'no' || p_partkey]) AS target FROM part)
@@ -318,9 +325,10 @@ def fn_1_to_3_clock(spark, sf_dir):
     return rows.select("o_orderkey", "clock", clock.parse_ts(F.col("clock")).alias("lenient"), clock.ts_to_sec(F.col("clock")).alias("strict"), clock.parse_ts(F.substring_index("clock", ":", -2)).alias("short"))
 
 
-@query(r"SELECT doc_id, md5(text) AS plain_md5 FROM documents")
+@query(r"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(left(l, 7) || ltrim(substring(l, 8), chr(32) || chr(9) || chr(10) || chr(13)), chr(32) || chr(9) || chr(10) || chr(13))), lambda l: l <> ''), chr(10))) AS plain_md5 FROM documents""")
 def fn_4_strip_timestamps(spark, sf_dir):
-    stamped = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("[00:01] "), x, F.lit(" [00:02 - 01:00:03 tag]"))), "\n")
+    """Stamps before, within and after each line, and lines of stamps alone."""
+    stamped = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("[00:01] "), F.substring(x, 1, 7), F.lit("[1:02:03]"), F.substring(x, 8, 1 << 30), F.lit(" [00:02 - 01:00:03 tag]\n[00:09]\n \t"))), "\n")
     return t.table(spark, sf_dir, "documents").select("doc_id", F.md5(clock.strip_timestamps(stamped)).alias("plain_md5"))
 
 
@@ -363,11 +371,12 @@ def fn_11_valid_terms(spark, sf_dir):
 
 
 @query(f"""WITH {NAMES_SQL}, terms AS (SELECT p_partkey AS ord, unnest([p_name || p_partkey, p_type, 'concept' || p_partkey]) AS term FROM part)
-    SELECT ord, term, CASE WHEN NOT regexp_matches(term, '^[\\p{{L}}\\p{{N}}_\\-./+]+(\\s+[\\p{{L}}\\p{{N}}_\\-./+]+)*$') THEN 'invalid' WHEN n = 1 THEN 'strong' WHEN n > 1 THEN 'ambiguous' ELSE 'concept' END AS kind FROM terms LEFT JOIN idx ON name = term""")
+    SELECT ord, term, CASE WHEN NOT regexp_matches(term, '^[\\p{{L}}\\p{{N}}_\\-./+]+(\\s+[\\p{{L}}\\p{{N}}_\\-./+]+)*$') THEN 'invalid' WHEN n = 1 THEN 'strong' WHEN n > 1 THEN 'ambiguous' ELSE 'concept' END AS kind,
+           CASE WHEN n = 1 THEN alias WHEN n IS NULL THEN term END AS target, CASE WHEN n > 1 THEN n END::INTEGER AS n_candidates FROM terms LEFT JOIN idx ON name = term""")
 def lk_3_link_plan(spark, sf_dir):
     p = t.table(spark, sf_dir, "part")
     terms = p.select(F.col("p_partkey").alias("ord"), F.explode(F.array(F.concat("p_name", F.col("p_partkey").cast("string")), F.col("p_type"), F.concat(F.lit("concept"), F.col("p_partkey").cast("string")))).alias("term")).withColumns({"type": F.lit("concept"), "target": F.lit(None).cast("string")})
-    return links.link_plan(terms, vault.name_index(t.vault(spark, sf_dir)), t.vault(spark, sf_dir)).select("ord", "term", "kind")
+    return links.link_plan(terms, vault.name_index(t.vault(spark, sf_dir)), t.vault(spark, sf_dir)).select("ord", "term", "kind", "target", F.size("candidates").alias("n_candidates"))
 
 
 @query()
@@ -385,17 +394,24 @@ def _doc_notes(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.concat(head, "text", tail).alias("value"))
 
 
-@query("""SELECT doc_id::VARCHAR AS note_id, doc_id % 2 = 0 AS has_frontmatter, (CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS fences, doc_id % 3 = 2 AS has_time_anchor,
-    (CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS provenance_tags, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS code_blocks FROM documents""")
+@query(r"""WITH x AS (SELECT *, len(regexp_extract_all(text, '\$\$'))::BIGINT AS marks, regexp_matches(text, '\[\[[^\]]*\[\[') OR regexp_matches(text, '\]\][^\[]*\]\]') AS nested,
+        regexp_matches(text, '\[\d{1,2}:\d{2}(:\d{2})?[^\]]*\]|[?&]t=\d+') AS timed, regexp_matches(text, '时间复杂度|空间复杂度|O\([0-9A-Za-z\s^*+\-\\,.]*\)') AS complex,
+        len(regexp_extract_all(text, '(^|\n)[ \t]*```'))::BIGINT AS own_fences FROM documents)
+    SELECT doc_id::VARCHAR AS note_id, doc_id % 2 = 0 AS has_frontmatter, own_fences + (CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END)::BIGINT AS fences, marks AS math_marks, 0::BIGINT AS mermaid_count, nested AS nested_links,
+    contains(text, '🎯') AS has_goal, len(regexp_extract_all(text, '🎯\s*学完你能'))::BIGINT AS module_goals, len(regexp_extract_all(text, '(^|\n)##\s+模块'))::BIGINT AS modules, contains(text, '闭环自测') OR contains(lower(text), 'active recall') AS has_recall,
+    timed OR doc_id % 3 = 2 AS has_time_anchor, (CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS provenance_tags, complex OR doc_id % 3 = 0 AS has_complexity, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS code_blocks FROM x""")
 def gate_1_to_8_features(spark, sf_dir):
-    return gate.features(_doc_notes(spark, sf_dir)).select("note_id", "has_frontmatter", "fences", "has_time_anchor", "provenance_tags", "code_blocks")
+    return gate.features(_doc_notes(spark, sf_dir)).select("note_id", "has_frontmatter", "fences", "math_marks", "mermaid_count", "nested_links", "has_goal", "module_goals", "modules", "has_recall", "has_time_anchor", "provenance_tags", "has_complexity", "code_blocks")
 
 
-@query(r"""WITH x AS (SELECT doc_id, doc_id % 2 = 1 AS bare, doc_id % 3 = 1 AS fence, len(regexp_extract_all(text, '\$\$')) % 2 = 1 AS math FROM documents),
+GATE_SQL = r"""WITH x AS (SELECT doc_id, doc_id % 2 = 1 AS bare, doc_id % 3 = 1 AS fence, len(regexp_extract_all(text, '\$\$')) % 2 = 1 AS math FROM documents),
     s AS (SELECT *, greatest(0, 100 - 40 * (fence::INT + math::INT)) AS format, CASE WHEN doc_id % 3 = 2 THEN 100 ELSE 20 END AS trace, CASE WHEN fence THEN 0 ELSE 100 END AS code FROM x)
     SELECT doc_id::VARCHAR AS note_id, NOT bare AND NOT fence AND NOT math AND 20 * format + 20 * 55 + 20 * trace + 15 * code + 25 * 100 >= 6950 AS passed,
            format::BIGINT AS format, 55::BIGINT AS teaching, trace::BIGINT AS trace, code::BIGINT AS code,
-           concat_ws(',', CASE WHEN bare THEN 'no_frontmatter' END, CASE WHEN fence THEN 'open_fence' END, CASE WHEN math THEN 'open_math' END) AS errors FROM s""")
+           concat_ws(',', CASE WHEN bare THEN 'no_frontmatter' END, CASE WHEN fence THEN 'open_fence' END, CASE WHEN math THEN 'open_math' END) AS errors FROM s"""
+
+
+@query(GATE_SQL)
 def gate_9_scores(spark, sf_dir):
     def hundred(c):
         return F.round(F.col(c) * 100).cast("long").alias(c)
@@ -409,6 +425,7 @@ def st_1_windows(spark, sf_dir):
     return incremental.windowed(rows, 600).select("video_id", F.date_format("t0", "yyyy-MM-dd HH:mm:ss").alias("t0"), "n", "chars")
 
 
-@query("SELECT bool_and(text IS NOT NULL AND trim(text) <> '') AS passed, count(*) AS n, count(*) FILTER (n_chars > 1000) AS n_long FROM documents")
+@query(f"SELECT bool_and(passed) AS passed, count(*) AS n, count(*) FILTER (NOT passed) AS n_failed FROM ({GATE_SQL})")
 def src_15_batch_gate(spark, sf_dir):
-    return t.table(spark, sf_dir, "documents").agg(F.bool_and(F.col("text").isNotNull() & (strip(F.col("text")) != "")).alias("passed"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("n_long"))
+    """The gate over a collection: whether every note passed."""
+    return gate.validate(_doc_notes(spark, sf_dir)).agg(F.bool_and("passed").alias("passed"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("passed")).alias("n_failed"))
