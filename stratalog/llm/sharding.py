@@ -14,6 +14,8 @@ from .common import materialize
 
 #: Rows that a part should hold at least, and bounds of the number of parts (the matrix has parts x shards entries).
 PART_ROWS, LEAST_PARTS, MOST_PARTS = 1_000_000, 16, 4096
+#: Bytes of text that a part should hold at most, where texts travel along.
+PART_BYTES = 64 << 20
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -80,7 +82,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_i
 
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.struct(F.lit(0).alias("__"), *[F.col(c) for c in keep]).alias("__kept"))
-    parts = max(LEAST_PARTS, min(MOST_PARTS, math.ceil(docs.count() / PART_ROWS)))
+    n, held_bytes = base.agg(F.count(F.lit(1)), F.sum("size")).first()
+    # Texts that travel along count too, so that a part stays a small one.
+    parts = max(LEAST_PARTS, min(MOST_PARTS, max(math.ceil(n / PART_ROWS), math.ceil((held_bytes or 0) / PART_BYTES) if text_col in keep else 0)))
     part = F.pmod(mixed(0), F.lit(parts)).cast("int")
     found = {r["part"]: r["count"] for r in base.groupBy(part.alias("part")).count().toLocalIterator()}
     matrix = communication_matrix([found.get(p, 0) for p in range(parts)], shards, seed)
