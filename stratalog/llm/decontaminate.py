@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_slices, materialize, mix64, run_hashes, token_bounds
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
-#: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
+#: Bytes of benchmark text whose fingerprints travel with the tasks; those of a larger benchmark are joined by shuffle.
 BLOCK_BYTES = 16 << 20
-#: Passes after which the state is written, so that one stage never holds more blocks.
-PASSES_A_STAGE = 4
+#: Words as the JVM finds them, before letters are folded.
+JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +64,11 @@ def winnow(grams: np.ndarray, width: int) -> np.ndarray:
     return np.unique(at)
 
 
+def kind_of(n: int) -> tuple[int, int, int]:
+    """(words of a gram, grams of a window, words of a span) for an item of ``n`` words."""
+    return (GRAM_WORDS, WINDOW_WORDS - GRAM_WORDS + 1, WINDOW_WORDS) if n >= WINDOW_WORDS else (n, 1, n)
+
+
 class Block:
     """Fingerprints of some benchmark items, by gram length and window width."""
 
@@ -80,7 +85,7 @@ class Block:
             self.items.append(item)
             self.words.append([whole[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
             self.hashes.append(hashes)
-            k, width, least = (GRAM_WORDS, WINDOW_WORDS - GRAM_WORDS + 1, WINDOW_WORDS) if n >= WINDOW_WORDS else (n, 1, n)
+            k, width, least = kind_of(n)
             grams = gram_hashes(hashes, k)
             found[k, width, least].extend((int(grams[p]), i, int(p)) for p in winnow(grams, width))
         self.prints = {}
@@ -127,38 +132,102 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _pass(block, keep: list[str], text_at: int):
-    names = [*keep, "__n_words", "__spans", "__items"]
+def _search(block, names: list[str]):
+    """Over batches (…, text): the other columns, and spans and items of each text."""
 
     def run(batches):
         own = block.value
         for batch in batches:
-            counts, spans, items = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for first, last, raw, offsets in byte_slices(batch.column(text_at)):
+            spans, items = [[]] * batch.num_rows, [[]] * batch.num_rows
+            for first, last, raw, offsets in byte_slices(batch.column(batch.num_columns - 1)):
                 data, starts, ends, hashes, at = words_of(raw, offsets)
                 for row in range(first, last):
                     lo, hi = at[row - first], at[row - first + 1]
-                    counts.append(int(hi - lo))
                     if hi > lo and (found := own.spans(data, starts[lo:hi], ends[lo:hi], hashes[lo:hi]))[1]:
-                        before = spans[row]
-                        spans[row] = _merged([*found[0], *zip(before[::2], before[1::2])])
-                        items[row] = [*items[row], *(own.items[i] for i in found[1])]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names)
+                        spans[row], items[row] = _merged(found[0]), [own.items[i] for i in found[1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__spans", "__items"])
+
+    return run
+
+
+def _fingerprinted(kinds: list[tuple[int, int, int]] | None):
+    """Over batches (key, text): (key, hash) of the winnowed grams of each text, of all ``kinds`` or of its own; one row an equal hash."""
+
+    def run(batches):
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), []
+            for first, last, raw, offsets in byte_slices(batch.column(1)):
+                _, _, _, hashes, at = words_of(raw, offsets)
+                for row in range(first, last):
+                    words = hashes[at[row - first] : at[row - first + 1]]
+                    for k, width, least in kinds if kinds is not None else [kind_of(len(words))] * bool(len(words)):
+                        if len(words) >= least:
+                            grams = gram_hashes(words, k)
+                            out.append((row, np.unique(mix64(grams[winnow(grams, width)] ^ np.uint64(least)))))
+                    if sum(len(h) for _, h in out) > 1 << 18:
+                        yield _prints(keys, out)
+                        out = []
+            yield _prints(keys, out)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """The benchmark's rows in blocks of bounded bytes, one block at a time on the driver."""
-    held, size = [], 0
-    for row in benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        held.append((row[0] if row[0] is not None else "", row[1]))
-        size += len(row[1])
-        if size >= BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+def _prints(keys: list[bytes], found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    owner = np.repeat([row for row, _ in found], [len(h) for _, h in found]) if found else np.zeros(0, np.int64)
+    hashes = np.concatenate([h for _, h in found]).view(np.int64) if found else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(owner, pa.int64())), pa.array(hashes)], ["key", "h"])
+
+
+def _extended(batches):
+    """Over rows (key, kind, item, text) sorted by them, a text before its items: (key, spans, items) of each text with a hit."""
+    now, text, spans, items = None, None, [], []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.binary()), pa.array([_merged(spans)], pa.list_(pa.int64())), pa.array([items], pa.list_(pa.string()))], ["key", "__spans", "__items"])
+
+    for batch in batches:
+        for key, kind, item, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != now:
+                if items:
+                    yield out()
+                now, text, spans, items = key, None, [], []
+            if kind == 0:
+                if text is None:
+                    whole = np.frombuffer(raw.encode("utf-8", "surrogatepass"), np.uint8)
+                    text = words_of(whole, np.array([0, len(whole)]))[:4]
+            elif text is not None and (found := Block([(item, raw)]).spans(*text))[1]:
+                spans += found[0]
+                items.append(item)
+                if len(spans) > 4096:
+                    merged = _merged(spans)
+                    spans = list(zip(merged[::2], merged[1::2]))
+    if items:
+        yield out()
+
+
+def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows`` (…, __text) with __spans and __items of ``items`` (item, text) of any number, by joins.
+
+    Texts and items become winnowed fingerprints, which meet in a join on their hashes; that gives pairs of a text and an
+    item that share one. Only texts with such a pair are shipped, once each, with the items to extend the hits over. All
+    sides of joins are written tables or plain shuffles, so that Spark splits what a common passage makes large.
+    """
+    digest = F.unhex(F.md5(F.col("text")))
+    texts = rows.select(F.col("__text").alias("text")).where("text is not null").select(digest.alias("key"), "text")
+    named = items.select(F.unhex(F.md5(F.concat(F.lit("item:"), "item", F.lit(":"), "text"))).alias("key"), "item", "text").dropDuplicates(["key"])
+    named = materialize(named, "items")
+    lengths = named.select(F.least(F.regexp_count("text", F.lit(JVM_WORD)), F.lit(WINDOW_WORDS)).alias("n")).where("n > 0").distinct()
+    kinds = sorted(kind_of(r["n"]) for r in lengths.collect())  # WINDOW_WORDS rows at most
+    wanted = materialize(named.select("key", "text").mapInArrow(_fingerprinted(None), "key binary, h bigint").select(F.col("key").alias("item_key"), "h"), "item-prints")
+    held = materialize(texts.mapInArrow(_fingerprinted(kinds), "key binary, h bigint").distinct(), "prints")
+    pairs = materialize(held.join(wanted.hint("merge"), "h").select("key", "item_key").distinct(), "pairs")
+    asked = texts.join(pairs.select("key").distinct().hint("merge"), "key", "left_semi").select("key", F.lit(0).alias("kind"), F.lit("").alias("item"), "text").dropDuplicates(["key"])
+    over = pairs.join(named.withColumnRenamed("key", "item_key"), "item_key").select("key", F.lit(1).alias("kind"), "item", "text")
+    found = asked.unionByName(over).repartition("key").sortWithinPartitions("key", "kind", "item").mapInArrow(_extended, "key binary, __spans array<bigint>, __items array<string>")
+    found = materialize(found.withColumnRenamed("key", "__found"), "hits")
+    out = rows.withColumn("__key", F.unhex(F.md5(F.col("__text")))).join(found.hint("merge"), F.col("__key") == F.col("__found"), "left")
+    empty = F.array()
+    return out.withColumns({"__spans": F.coalesce("__spans", empty.cast("array<bigint>")), "__items": F.coalesce("__items", empty.cast("array<string>"))}).drop("__key", "__found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -168,27 +237,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     of 10 words, or all its words if they are fewer; a document's word is hit if it lies in an occurrence of a window.
     hit_spans are [from, to) pairs of word positions, flat, in order and disjoint. A null text, of a document or an item,
     has no words; an item without words has no window; items that repeat an id count once; a null id counts as empty.
-    Result columns replace columns of ``docs`` that have their names. An empty table on either side gives no hit.
+    Texts that repeat have equal results, very long ones are searched whole. Result columns replace columns of ``docs``
+    that have their names. An empty table on either side gives no hit.
 
-    Documents are read once and nothing is shuffled: the benchmark's fingerprints travel with the tasks, in blocks of at
-    most BLOCK_BYTES of text, however large the benchmark is; each block is another pass over the same rows.
+    The benchmark's size is measured. Up to BLOCK_BYTES of text, its fingerprints travel with the tasks: documents are read
+    once and nothing is shuffled. Beyond, fingerprints of both sides meet in a shuffle join, see ``_joined``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "items"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    state = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<bigint>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
-    blocks = _blocks(benchmark, item_col, item_text)
-    block, passes = next(blocks), 0
-    while block is not None:
-        following = next(blocks, None)
-        columns = [*kept, "__text"] if following is not None else kept
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name in columns), "__n_words bigint", "__spans array<bigint>", "__items array<string>"])
-        state = state.mapInArrow(_pass(spark.sparkContext.broadcast(Block(block)), columns, state.columns.index("__text")), schema)
-        passes += 1
-        if following is not None and passes % PASSES_A_STAGE == 0:
-            state = materialize(state, "passes")
-        block = following
+    text = F.col(text_col).cast("string")
+    rows = docs.select(*[F.col(c) for c in kept], F.coalesce(F.regexp_count(text, F.lit(JVM_WORD)), F.lit(0)).cast("long").alias("__n_words"), text.alias("__text"))
+    listed = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
+    if (listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BLOCK_BYTES:
+        block = spark.sparkContext.broadcast(Block([(r["item"], r["text"]) for r in listed.collect()]))
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__spans array<bigint>, __items array<string>"])
+        state = rows.mapInArrow(_search(block, [*kept, "__n_words"]), schema)
+    else:
+        state = _joined(rows, listed)
     items = F.array_sort(F.array_distinct("__items"))
     ends = F.filter("__spans", lambda _, i: i % 2 == 1)
     begins = F.filter("__spans", lambda _, i: i % 2 == 0)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import language_id, license_scan, line_dedup, media_audio, mixing, quality, queries, sharding, token_counts
+from stratalog.llm import decontaminate, language_id, license_scan, line_dedup, media_audio, mixing, quality, queries, sharding, token_counts
 from stratalog.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,21 @@ def test_op1_odd_rows(odd):
     assert {r.lang_pred for r in alone} == {"und"} and {r.key for r in alone} == {"clash"}
 
 
+def test_op3_joined_as_in_one_block(spark, odd, monkeypatch):
+    """A benchmark beyond a block, with a prefix that many items share, gives what a small one gives."""
+    want = sorted(map(tuple, queries.op3_decontaminate(spark, SF).collect()))
+    shared = "answer the question below in one word and nothing else please now"
+    items = spark.createDataFrame([(i, f"{shared} {i} one two three {'x' * (i % 3)}") for i in range(40)] + [(i, "one two") for i in (90, 91)] + [(None, "other word"), (99, None), (98, "")], "item_id int, text string")
+    docs = spark.createDataFrame([(i, f"before {shared} {i} after") for i in range(30)] + [(50, None), (51, "")], "doc_id int, text string").unionByName(odd.select(F.col("doc_id").cast("int").alias("doc_id"), "text"))
+    small = sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    assert sorted(map(tuple, queries.op3_decontaminate(spark, SF).collect())) == want
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()) == small
+    assert max(len(x[3]) for x in small) == 40 and sum(x[3] == ["90", "91"] for x in small) == 2 and sum(x[3] == [""] for x in small) == 1
+    clash = decontaminate.decontaminate(odd, items, keep=["doc_id", "n_words", "key", "h"]).columns
+    assert clash[:3] == ["doc_id", "key", "h"] and decontaminate.decontaminate(odd.limit(0), items).collect() == [] and {r.n_items for r in decontaminate.decontaminate(odd, items.limit(0)).collect()} == {0}
+
+
 def plain_audio(raw):
     """(payload, frame offsets, samples) of a stream as the writer makes it, read header by header."""
     size = sum((b & 127) << s for b, s in zip(raw[6:10], (21, 14, 7, 0)))
