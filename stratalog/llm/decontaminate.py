@@ -133,19 +133,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def _search(block, names: list[str]):
-    """Over batches (…, text): the other columns, and spans and items of each text."""
+    """Over batches (…, text): the other columns, and number of words, spans and items of each text."""
 
     def run(batches):
         own = block.value
         for batch in batches:
-            spans, items = [[]] * batch.num_rows, [[]] * batch.num_rows
+            counts, spans, items = np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows, [[]] * batch.num_rows
             for first, last, raw, offsets in byte_slices(batch.column(batch.num_columns - 1)):
                 data, starts, ends, hashes, at = words_of(raw, offsets)
+                counts[first:last] = np.diff(at)
                 for row in range(first, last):
                     lo, hi = at[row - first], at[row - first + 1]
                     if hi > lo and (found := own.spans(data, starts[lo:hi], ends[lo:hi], hashes[lo:hi]))[1]:
                         spans[row], items[row] = _merged(found[0]), [own.items[i] for i in found[1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__spans", "__items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__n_words", "__spans", "__items"])
 
     return run
 
@@ -248,14 +249,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "items"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
     text = F.col(text_col).cast("string")
-    rows = docs.select(*[F.col(c) for c in kept], F.coalesce(F.regexp_count(text, F.lit(JVM_WORD)), F.lit(0)).cast("long").alias("__n_words"), text.alias("__text"))
+    rows = docs.select(*[F.col(c) for c in kept], text.alias("__text"))
     listed = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
     if (listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BLOCK_BYTES:
         block = spark.sparkContext.broadcast(Block([(r["item"], r["text"]) for r in listed.collect()]))
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__spans array<bigint>, __items array<string>"])
-        state = rows.mapInArrow(_search(block, [*kept, "__n_words"]), schema)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__n_words bigint, __spans array<bigint>, __items array<string>"])
+        state = rows.mapInArrow(_search(block, kept), schema)
     else:
-        state = _joined(rows, listed)
+        state = _joined(rows.withColumn("__n_words", F.coalesce(F.regexp_count("__text", F.lit(JVM_WORD)), F.lit(0)).cast("long")), listed)
     items = F.array_sort(F.array_distinct("__items"))
     ends = F.filter("__spans", lambda _, i: i % 2 == 1)
     begins = F.filter("__spans", lambda _, i: i % 2 == 0)
