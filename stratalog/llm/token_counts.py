@@ -25,7 +25,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Nodes of the trie, and bytes of cached pre-tokens, that a worker holds before it starts anew; characters from which on a
 #: pre-token is walked by itself, outside the trie. Results don't depend on them.
-MOST_NODES, MOST_BYTES, LONG = 400_000, 8 << 20, 256
+MOST_NODES, MOST_BYTES, LONG = 600_000, 32 << 20, 256
 
 
 def load_scores(path: str = VOCABULARY) -> dict[str, float]:
@@ -41,12 +41,14 @@ class TrieCounter:
     """Counts of pre-tokens; ``visits`` counts the forward steps taken."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
-        longest: dict[str, int] = {}
+        # Every ending of a piece, with the piece's score where it is one: where no piece ends so, no longer one does.
+        self.endings: dict[str, float | None] = {}
         for piece in scores:
-            longest[piece[-1]] = max(longest.get(piece[-1], 1), len(piece))
-        self.longest, self.visits = longest, 0
+            for size in range(1, len(piece)):
+                self.endings.setdefault(piece[-size:], None)
+        self.endings.update(scores)
+        self.back, self.visits = max(map(len, scores), default=1), 0
         self.clear()
 
     def clear(self) -> None:
@@ -60,17 +62,21 @@ class TrieCounter:
         if len(self.best) > MOST_NODES:
             self.clear()
         node, path = 0, [0]
-        children, best, tokens = self.children, self.best, self.tokens
+        children, best, tokens, endings = self.children, self.best, self.tokens, self.endings
         for i, char in enumerate(text):
             key = node * 0x110000 + ord(char)
             at = children.get(key)
             if at is None:
                 self.visits += 1
                 score, n = -math.inf, 0
-                for size in range(1, min(self.longest.get(char, 1), i + 1) + 1):
-                    s = self.scores.get(text[i + 1 - size : i + 1])
-                    if s is not None and best[path[i + 1 - size]] + s > score:
-                        score, n = best[path[i + 1 - size]] + s, tokens[path[i + 1 - size]] + 1
+                for start in range(i, -1, -1):
+                    s = endings.get(text[start : i + 1], 1.0)
+                    if s is not None:
+                        if s > 0:  # no piece ends so; scores are negative
+                            break
+                        before = path[start]
+                        if best[before] + s > score:
+                            score, n = best[before] + s, tokens[before] + 1
                 if score == -math.inf:
                     size = len(char.encode("utf-8", "surrogatepass"))
                     score, n = best[path[i]] + self.unknown * size, tokens[path[i]] + size
@@ -84,14 +90,16 @@ class TrieCounter:
 
     def _walk(self, text: str) -> int:
         """The same forward pass, holding only as many steps as the longest piece reaches back."""
-        back = max(self.longest.values(), default=1)
-        best, tokens = [0.0], [0]
+        back, endings, best, tokens = self.back, self.endings, [0.0], [0]
         for i, char in enumerate(text):
             score, n = -math.inf, 0
-            for size in range(1, min(self.longest.get(char, 1), i + 1) + 1):
-                s = self.scores.get(text[i + 1 - size : i + 1])
-                if s is not None and best[-size] + s > score:
-                    score, n = best[-size] + s, tokens[-size] + 1
+            for size in range(1, i + 2):
+                s = endings.get(text[i + 1 - size : i + 1], 1.0)
+                if s is not None:
+                    if s > 0:
+                        break
+                    if best[-size] + s > score:
+                        score, n = best[-size] + s, tokens[-size] + 1
             if score == -math.inf:
                 size = len(char.encode("utf-8", "surrogatepass"))
                 score, n = best[-1] + self.unknown * size, tokens[-1] + size
