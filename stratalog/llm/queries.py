@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, media_audio, mixing, quality, sharding, simhash_golay, token_counts
+from . import decontaminate, hard_negatives, language_id, license_scan, line_dedup, media_audio, mixing, phrases, pii, quality, sharding, simhash_golay, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontaminate, op4_media_audio, op5_simhash, op6_quality, op7_license_scan, op8_mixing, op9_token_counts, op10_sharding)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.quantize(rows))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    base = F.sha2(pii.digest(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256")
+    return found.select("doc_id", *map(pii.count_of, pii.KINDS), base, pii.digest(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontaminate, op4_media_audio, op5_simhash, op6_quality, op7_license_scan, op8_mixing, op9_token_counts, op10_sharding, op11_hard_negatives, op12_phrases, op13_pii)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,4 +118,34 @@ ORACLE_SQL = {
         j AS (SELECT b.*, source_size, target, times, target - times * source_size AS rest FROM base b JOIN k ON b.source IS NOT DISTINCT FROM k.source),
         u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j)
         SELECT doc_id, size, source_size, target, size * (times + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS taken FROM u""",
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS "rank",
+               s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) <= 10""",
+    "op12_phrases": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM g WHERE k > 1 AND f >= 10),
+        parts AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, p FROM c),
+        scored AS (
+            SELECT x.lang, x.k, x.phrase, x.a, cut, l.f AS l, r.f AS r, ((1000000::HUGEINT * x.a * x.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM parts x JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(x.p[1 : cut], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(x.p[cut + 1 : x.k], ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        longer AS (SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+        cover AS (SELECT lang, phrase, max(a) AS over FROM longer GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN cover v ON v.lang = b.lang AND v.phrase = b.phrase WHERE b.k = 3 OR v.over IS NULL OR 100 * v.over < 50 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank", phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
