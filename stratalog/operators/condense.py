@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.clock import fmt_ts, strip_timestamps
 from ..functions.dialect import ratio_text, starts_within, strip
+from ..storage import checkpointed
 from .folds import drop_repeated_heads
 from .signals import has_code, has_formula, has_tech_word, has_trap, is_noise
+from .substrings import within
 
 SENTENCE = r"([^，。！？；…\n]+)([，。！？；…\n]*)"
 
@@ -64,7 +66,7 @@ def fold_idle(lines: DataFrame, seconds: float = 90, least: int = 3) -> DataFram
 
 def condense(segments: DataFrame, captions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments (video_id, seq, start, text) to (condensed rows, trap rows, statistics a video). Select chunks before, never after: folds see their neighbours."""
-    kept = drop_repeated_heads(segments) if captions else segments
+    kept = checkpointed(drop_repeated_heads(segments)) if captions else segments  # read twice, folded once
     # One exchange, before the parsing: lines, runs and statistics are all within a video and need no other.
     parsed = sentences(kept.repartition("video_id"))
     rows, found = fold_idle(clean_lines(parsed)), traps(parsed)
@@ -103,7 +105,9 @@ def render(rows: DataFrame) -> DataFrame:
 def evidence(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Condensed lines with a technical word, code, a formula or a trap, or whose text is, or is in, a trap's sentence. Flags see the line as rendered."""
     lines = rows.where("kind = 'line'").select("video_id", "seq", "t_from", "text").withColumn("line", F.concat(F.lit("["), fmt_ts(F.col("t_from")), F.lit("] "), F.col("text")))
-    known = found.groupBy("video_id").agg(F.collect_set("text").alias("traps"))
-    inside = F.exists(F.coalesce("traps", F.array().cast("array<string>")), lambda t: F.contains(t, F.col("text")))
-    keep = has_tech_word(F.col("line")) | has_code(F.col("line")) | has_formula(F.col("line")) | has_trap(F.col("line")) | inside
-    return lines.join(known, "video_id", "left").where(keep).select("video_id", "seq", "t_from", "text")
+    flagged = has_tech_word(F.col("line")) | has_code(F.col("line")) | has_formula(F.col("line")) | has_trap(F.col("line"))
+    # Written once, as lines are asked, counted and returned; numbers stay with their rows.
+    lines = checkpointed(lines.select("video_id", "seq", "t_from", "text", flagged.alias("flagged"), F.monotonically_increasing_id().alias("id")))
+    inside = within(lines.where(~F.col("flagged")), found, ["video_id"])
+    kept = lines.where("flagged").unionByName(lines.where(~F.col("flagged")).join(inside, "id", "left_semi").select(*lines.columns))
+    return kept.select("video_id", "seq", "t_from", "text")

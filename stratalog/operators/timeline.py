@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import fmt_ts, parse_ts
 from ..functions.dialect import strip
 from .folds import drop_overlaps
+from .intervals import overlapping
 from .signals import analyze
 
 
@@ -34,11 +35,11 @@ def chunk_texts(segments: DataFrame, chunk_len: float) -> DataFrame:
 def chapter_overlaps(chunks: DataFrame, chapters: DataFrame, chunk_len: float) -> DataFrame:
     """(video_id, chunk_id, titles in chapter order) for start < t1 and end > t0, every chunk kept.
 
-    Chapters are spread over the chunk ids they cover, so the join is on (video_id, chunk_id) with the interval test left as a filter.
+    Chapters and chunks meet on dyadic nodes of slots of ``chunk_len``, so that a chapter over very many chunks is dealt a
+    number of times that grows with its logarithm.
     """
-    last = F.greatest(F.ceil(F.col("end") / chunk_len) - 1, F.floor(F.col("start") / chunk_len)).cast("int")
-    spread = chapters.where("end > start").withColumn("chunk_id", F.explode(F.sequence(F.floor(F.col("start") / chunk_len).cast("int"), last)))
-    hit = chunks.join(spread, ["video_id", "chunk_id"]).where((F.col("start") < F.col("t1")) & (F.col("end") > F.col("t0")))
+    spans = chapters.where("end > start").select("video_id", "ord", "title", "start", "end")
+    hit = overlapping(chunks.select("video_id", "chunk_id", "t0", "t1"), ("t0", "t1"), spans, ("start", "end"), ["video_id"], chunk_len).where((F.col("start") < F.col("t1")) & (F.col("end") > F.col("t0")))
     titles = hit.groupBy("video_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("titles"))
     return chunks.join(titles, ["video_id", "chunk_id"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
 
@@ -128,13 +129,10 @@ def scout_windows(chunks: DataFrame, seconds: float = 20.0, back: float = 25.0)
 def cues_near(cues: DataFrame, windows: DataFrame, margin: float = 25, bucket: float = 60) -> DataFrame:
     """Cues (archive_id, source_no, s, e, text) that touch [max(0, s0 - margin), e0 + margin] of windows (archive_id, window_id, s0, e0), both ends included.
 
-    Both sides are spread over time buckets for an equi-join; a pair counts in the first bucket they share, so it comes once.
+    They meet on dyadic nodes of slots of ``bucket`` seconds; each pair comes once.
     """
     w = windows.withColumns({"w0": F.greatest(F.lit(0.0), F.col("s0") - margin), "w1": F.col("e0") + margin})
-    w = w.withColumn("b", F.explode(F.sequence(F.floor(F.col("w0") / bucket), F.floor(F.col("w1") / bucket))))
-    c = cues.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor(F.greatest("s", "e") / bucket))))
-    first = F.greatest(F.floor(F.col("w0") / bucket), F.floor(F.col("s") / bucket))
-    return c.join(w, ["archive_id", "b"]).where((F.col("s") <= F.col("w1")) & (F.col("e") >= F.col("w0")) & (F.col("b") == first)).drop("b", "w0", "w1")
+    return overlapping(cues, ("s", "e"), w, ("w0", "w1"), ["archive_id"], bucket).drop("w0", "w1")
 
 
 def select_chunks(chunks: DataFrame, ids: list[int] | None) -> DataFrame:

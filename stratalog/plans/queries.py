@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, lexicon, text
-from ..operators import condense, folds, gate, links, quotes, signals, timeline, vault
+from ..operators import condense, folds, gate, intervals, links, quotes, signals, timeline, vault
 from ..sources import captions, notes
 from ..streaming import incremental
 from . import tables as t
@@ -235,6 +235,15 @@ def _cues(spark, sf_dir):
     return cues, windows
 
 
+@query(f"""WITH {t.SEG_EVT}, i AS (SELECT video_id, seq, s, s + 20 * d AS e FROM evt)
+    SELECT a.video_id, a.seq, count(*) AS n_meets, min(b.seq) AS least_seq FROM i a JOIN i b ON a.video_id = b.video_id AND a.s <= b.e AND b.s <= a.e AND a.seq <> b.seq GROUP BY ALL""")
+def jn_4_overlapping_events(spark, sf_dir):
+    rows = t.seg_evt(spark, sf_dir).withColumn("end", F.col("start") + (F.col("end") - F.col("start")) * 20)
+    left, right = rows.select("video_id", "seq", "start", "end"), rows.select("video_id", F.col("seq").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"))
+    pairs = intervals.overlapping(left, ("start", "end"), right, ("s", "e"), ["video_id"], t.SLICE / 60).where("seq <> other")
+    return pairs.groupBy("video_id", "seq").agg(F.count(F.lit(1)).alias("n_meets"), F.min("other").alias("least_seq"))
+
+
 @query(f"WITH {CUES_SQL} SELECT video_id AS archive_id, window_id, seq AS cue_no FROM near")
 def tl_14_cues_near(spark, sf_dir):
     cues, windows = _cues(spark, sf_dir)
