@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_slices, discard, materialize, token_bounds
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
-SLICE_TEXT = 8 << 20
+SLICE_TEXT = 16 << 20
 #: A local name is slice << CODE_BITS | code, with slice = partition << COUNT_BITS | number; a slice of more occurrences takes several numbers.
 CODE_BITS, COUNT_BITS = 25, 14
 #: Bytes that end a piece, and those that part words within one.
@@ -32,18 +32,22 @@ _LOWER[65:91] += 32
 _KIND = np.ones(256, np.uint8)
 _KIND[list(ENDS)], _KIND[list(BLANKS)] = 2, 0
 _FIRST = "slice bigint, code int, lang string, word string, n bigint, stream binary"
-_NEXT = "slice bigint, code int, a bigint, b bigint, n bigint, stream binary"
 
 LOCAL_NAME = f"shiftleft(slice, {CODE_BITS}) | code"
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    return len(codes).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(codes, np.int32).tobytes(), codec="zstd", asbytes=True)
+def _pack(numbers: np.ndarray, kind=np.int32) -> bytes:
+    """Integers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers, kind).view(np.uint8).reshape(len(numbers), np.dtype(kind).itemsize).T
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b"")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+def _unpack(data: bytes, kind=np.int32) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
 
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,44 +110,60 @@ def _words(batches):
         yield from flush(held)
 
 
-_NEXT_ARROW = pa.schema([("slice", pa.int64()), ("code", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("stream", pa.binary())])
+_PAIRS = "slice bigint, stream binary, ids binary, pairs binary, n binary"
+_PAIRS_ARROW = pa.schema([("slice", pa.int64()), *((c, pa.binary()) for c in ("stream", "ids", "pairs", "n"))])
 
 
 def _paired(last: bool):
-    """A slice's stream and the names of its frequent codes to pairs of adjacent names, and their stream unless this is the last level."""
+    """A slice's stream and the names of its frequent codes to one row: the distinct pairs of adjacent names with their counts, in a block, and unless this is the last level the stream of pairs."""
 
     def run(streams: pa.Table, named: pa.Table) -> pa.Table:
         if not streams.num_rows or not named.num_rows:
-            return _NEXT_ARROW.empty_table()
-        name = streams.column("slice")[0].as_py()
+            return _PAIRS_ARROW.empty_table()
         stream = _unpack(streams.column("stream")[0].as_py())
-        codes = named.column("code").to_numpy()
+        codes, ids = named.column("code").to_numpy(), named.column("id").to_numpy()
+        order = np.argsort(ids)
+        codes, ids = codes[order], ids[order]
         local = np.full(max(int(stream.max(initial=-1)), int(codes.max())) + 2, -1, np.int64)  # the last one stands for a break
         local[codes] = np.arange(len(codes))
         held = local[stream]
         both = (held[:-1] >= 0) & (held[1:] >= 0)
-        keys, pairs, n = _numbered(held[:-1][both] * len(codes) + held[1:][both])
-        ids = named.column("id").to_numpy()
-        k = len(keys)
-        rows = pa.Table.from_arrays([pa.array(np.full(k, name)), pa.array(np.arange(k, dtype=np.int32)), pa.array(ids[keys // len(codes)]), pa.array(ids[keys % len(codes)]), pa.array(n), pa.nulls(k, pa.binary())], schema=_NEXT_ARROW)
-        if last or not k:
-            return rows
-        out = np.full(len(both), -1, np.int32)
-        out[both] = pairs
-        out = out[both | np.concatenate(([False], both[:-1]))]  # a gap of any length is one break
-        return pa.concat_tables([rows, pa.Table.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_pack(out)], pa.binary())], schema=_NEXT_ARROW)])
+        keys, pairs, n = np.unique(held[:-1][both] * len(codes) + held[1:][both], return_inverse=True, return_counts=True)
+        if not len(keys):
+            return _PAIRS_ARROW.empty_table()
+        out = np.zeros(0, np.int32)
+        if not last:
+            out = np.full(len(both), -1, np.int32)
+            out[both] = pairs
+            out = out[both | np.concatenate(([False], both[:-1]))]  # a gap of any length is one break
+        cells = [_pack(out), _pack(np.diff(ids, prepend=0), np.int64), _pack(np.diff(keys, prepend=0), np.int64), _pack(n)]
+        return pa.Table.from_arrays([streams.column("slice").combine_chunks().slice(0, 1), *(pa.array([c], pa.binary()) for c in cells)], schema=_PAIRS_ARROW)
 
     return run
 
 
-def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """(key…, slice, code, id, f) of the codes whose key has a count of ``least`` over all slices; id is the least of a key's local names.
+def _expanded(batches):
+    """Rows (slice, ids, pairs, n) to a row (slice, code, a, b, n) a pair; a pair's code is its place."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, keys, n = np.cumsum(_unpack(row["ids"], np.int64)), np.cumsum(_unpack(row["pairs"], np.int64)), _unpack(row["n"])
+            for at in range(0, len(keys), 1 << 20):
+                part = keys[at : at + (1 << 20)]
+                columns = (np.full(len(part), row["slice"]), np.arange(at, at + len(part), dtype=np.int32), ids[part // len(ids)], ids[part % len(ids)], n[at : at + len(part)].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slice", "code", "a", "b", "n"])
+
+
+def _frequent(rows: DataFrame, key: list[str], least: int, last: bool) -> DataFrame:
+    """(key…, slice, code, id, f, own) of the codes whose key has a count of ``least`` over all slices; id is the least of a key's local names, and the row that has it is the key's own.
 
-    One exchange: a key has one row a slice at most.
+    One exchange: a key has one row a slice at most. The key and its count stand in its own row only; others are the way
+    back to their slices, which the last level doesn't need.
     """
     by = W.partitionBy(*key)
-    counted = rows.where("code is not null").withColumns({"f": F.sum("n").over(by), "id": F.min(F.expr(LOCAL_NAME)).over(by)})
-    return counted.where(F.col("f") >= least).select(*key, "slice", "code", "id", "f")
+    counted = rows.withColumns({"f": F.sum("n").over(by), "name": F.expr(LOCAL_NAME)}).where(F.col("f") >= least).withColumn("id", F.min("name").over(by))
+    own = F.col("name") == F.col("id")
+    out = counted.select(*[F.when(own, F.col(c)).alias(c) for c in [*key, "f"]], "slice", "code", "id", own.alias("own"))
+    return out.where("own") if last else out
 
 
 def _cuts(k: int):
@@ -174,9 +194,10 @@ def mine_phrases(docs: DataFrame, most_words: int = 3, least: int = 10, top: int
     totals = materialize(level.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found, names, tables = [], None, []
     for k in range(1, most_words + 1):
+        rows = level.where("code is not null").drop("stream") if k == 1 else level.select("slice", "ids", "pairs", "n").mapInArrow(_expanded, "slice bigint, code int, a bigint, b bigint, n bigint")
         # One exchange counts and names; the names of k-grams and the way back to the slices are both read from what it wrote.
-        named = materialize(_frequent(level, ["lang", "word"] if k == 1 else ["a", "b"], least), f"named{k}")
-        own = named.where(F.expr(LOCAL_NAME) == F.col("id"))
+        named = materialize(_frequent(rows, ["lang", "word"] if k == 1 else ["a", "b"], least, k == most_words), f"named{k}")
+        own = named.where("own")
         if k == 1:
             names = materialize(own.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array("f").alias("pre"), F.array("f").alias("suf"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "names1")
         else:
@@ -191,8 +212,8 @@ def mine_phrases(docs: DataFrame, most_words: int = 3, least: int = 10, top: int
                 found.append((k - 1, before, names))
         tables.append(names)
         if k < most_words:
-            streams = level.where("code is null").select("slice", "stream")
-            pairs = streams.groupBy("slice").cogroup(named.select("slice", "code", "id").groupBy("slice")).applyInArrow(_paired(k + 1 == most_words), _NEXT)
+            streams = (level.where("code is null") if k == 1 else level).select("slice", "stream")
+            pairs = streams.groupBy("slice").cogroup(named.select("slice", "code", "id").groupBy("slice")).applyInArrow(_paired(k + 1 == most_words), _PAIRS)
             spent, level = level, materialize(pairs, f"phrases{k + 1}")
             discard(spent, named)
         else:
