@@ -112,13 +112,8 @@ def head_islands(segments: DataFrame, window: int | None = None) -> DataFrame:
     return _numbered(dealt, ["seq"], begins)
 
 
-def drop_overlaps(segments: DataFrame, share: float = 0.7, strict: bool = False) -> DataFrame:
-    """Segments (video_id, seq, start, end, text) without repeats at the seams of slices.
-
-    A segment that overlaps the last kept one by more than ``share`` of the shorter replaces it if either text contains
-    the other or its own is longer, and is dropped otherwise. With ``strict``, only the longer text replaces. A segment
-    without a start or an end overlaps nothing. A video of over KEY_ROWS segments is folded by ``overlap_islands``.
-    """
+def overlap_step(share: float = 0.7, strict: bool = False):
+    """The step of the overlap fold, in batches and streams alike: (kept row, next row) to (row that is done, kept row)."""
 
     def step(kept, row):
         if kept is None:
@@ -133,7 +128,17 @@ def drop_overlaps(segments: DataFrame, share: float = 0.7, strict: bool = False)
                 return None, (row if better else kept)
         return kept, row
 
-    return _split_fold(segments.select("video_id", "seq", "start", "end", "text"), ["start", "seq"], step, overlap_islands)
+    return step
+
+
+def drop_overlaps(segments: DataFrame, share: float = 0.7, strict: bool = False) -> DataFrame:
+    """Segments (video_id, seq, start, end, text) without repeats at the seams of slices.
+
+    A segment that overlaps the last kept one by more than ``share`` of the shorter replaces it if either text contains
+    the other or its own is longer, and is dropped otherwise. With ``strict``, only the longer text replaces. A segment
+    without a start or an end overlaps nothing. A video of over KEY_ROWS segments is folded by ``overlap_islands``.
+    """
+    return _split_fold(segments.select("video_id", "seq", "start", "end", "text"), ["start", "seq"], overlap_step(share, strict), overlap_islands)
 
 
 def fresh_text(before: str, text: str | None, window: int | None = None) -> str:
