@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ CUE = r"\[(\d{1,2}:\d{2}(?::\d{2})?)(?U:\s*)-->(?U:\s*)(\d{1,2}:\d{2}(?::\d{2})?
 MAX_ANCHORS, MAX_QUOTE, FUZZY, RECALL = 6, 100, 0.78, 0.55
 #: Greatest length of the blocks on which containment candidates meet.
 PIECE = 24
+#: Quotes that one pass over the texts looks for, and classes of pairs of characters in its filter.
+BLOCK_QUOTES, PAIR_CLASSES = 2000, 1 << 16
 
 
 def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -43,7 +48,7 @@ def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFra
     pieces = texts.join(F.broadcast(lengths), F.length("hay") >= width).select("doc_id", "len", F.explode(F.array_distinct(F.transform(blocks, lambda x: F.xxhash64(x)))).alias("h"))
     found = pieces.join(asked, ["len", "h"]).select("doc_id", "quote_id").distinct()
     sure = found.join(q.select("quote_id", "needle"), "quote_id").join(texts, "doc_id").where(F.contains("hay", F.col("needle")))
-    return sure.select("doc_id", "quote_id")
+    return sure.select("doc_id", "quote_id").distinct()  # ids that repeat on either side meet once
 
 
 def recall(cues: DataFrame, windows: DataFrame, margin: float = 25) -> DataFrame:
@@ -57,19 +62,46 @@ def recall(cues: DataFrame, windows: DataFrame, margin: float = 25) -> DataFrame
     return rows.groupBy("archive_id", "window_id").agg(F.max("n_quote").cast("long").alias("n_quote"), F.max("n_hit").cast("long").alias("n_hit"))
 
 
-def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool) -> bool:
-    """Whether any window's ratio reaches the threshold. Windows that hold too few of the needle's characters can't, and are passed over."""
+def _pairs(text: str) -> np.ndarray:
+    """The class of each pair of neighbouring characters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (codes[:-1] * 31 + codes[1:]) % PAIR_CLASSES
+
+
+def _candidates(needle: str, hay: str, hay_pairs: np.ndarray, threshold: float, width: int) -> list[int]:
+    """Starts of the windows that hold enough of the needle's pairs of characters to reach the threshold.
+
+    A ratio t of n and w characters needs m >= t(n + w)/2 of them in matching blocks. Between two blocks at least one
+    character of either text is left over, so there are at most 1 + n + w - 2m blocks, and a block of k characters has k - 1
+    pairs of the needle's: m - (1 + n + w - 2m) = 3m - n - w - 1 pairs of the window at least. Pairs that merely share a class
+    only add to the count, so no window is lost.
+    """
+    n = len(needle)
+    starts = np.arange(0, max(1, len(hay) - n + 1), max(1, n // 5))
+    ends = np.minimum(starts + width, len(hay))
+    need = (1.5 * threshold - 1) * (n + ends - starts) - 1
+    known = np.zeros(PAIR_CLASSES, bool)
+    known[_pairs(needle)] = True
+    upto = np.concatenate(([0], np.cumsum(known[hay_pairs])))
+    held = upto[np.maximum(ends - 1, starts).clip(0, len(upto) - 1)] - upto[starts.clip(0, len(upto) - 1)]
+    return starts[held >= need - 1e-9].tolist()
+
+
+def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool, hay_pairs: np.ndarray | None = None) -> bool:
+    """Whether any window's ratio reaches the threshold. Windows that hold too few of the needle's characters, or pairs of them, can't, and are passed over."""
     if needle is None or hay is None or len(needle) < 4:
         return False
     n = len(needle)
     width = n if strict else n + 15
-    starts = range(0, max(1, len(hay) - n + 1), max(1, n // 5))
+    starts = _candidates(needle, hay, _pairs(hay) if hay_pairs is None else hay_pairs, threshold, width)
     wanted = Counter(needle)
     inside: Counter = Counter()
     lo = hi = 0
     ratio = difflib.SequenceMatcher(None, autojunk=True)
     ratio.set_seq1(needle)
     for at in starts:
+        if at >= hi:
+            inside, lo, hi = Counter(), at, at
         inside.update(hay[hi : at + width])
         inside.subtract(hay[lo:at])
         lo, hi = at, max(hi, min(len(hay), at + width))
@@ -91,6 +123,40 @@ def fuzzy_match(needle: Column, hay: Column, threshold: float = FUZZY, strict: b
     return run(normalize_tokens(needle), normalize_tokens(hay))
 
 
+def fuzzy_join(quotes: DataFrame, docs: DataFrame, threshold: float = FUZZY, strict: bool = False, block: int = BLOCK_QUOTES) -> DataFrame:
+    """(doc_id, quote_id) of all quotes (quote_id, quote) that ``fuzzy_match`` texts (doc_id, text), each pair of ids once.
+
+    Quotes are cut in blocks of ``block`` by hash; a block travels with the tasks, and the texts are read once a block where
+    they lie. In a text, a running count of the pairs of characters that a quote has tells in numpy which windows can reach
+    the threshold (``_candidates``, which loses none); only those are matched. Quotes of fewer than four characters, and
+    null ones, match nothing.
+    """
+    spark = docs.sparkSession
+    asked = quotes.select("quote_id", normalize_tokens(F.col("quote")).alias("needle")).where(F.length("needle") >= 4).distinct()
+    texts = docs.select("doc_id", normalize_tokens(F.col("text")).alias("hay")).where("hay <> ''")
+    kind = quotes.schema["quote_id"].dataType.simpleString()
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quote_id {kind}"
+    blocks = -(-asked.count() // block)
+    parts = [spark.createDataFrame([], schema)]
+    for b in range(blocks):
+        held = spark.sparkContext.broadcast([(r["quote_id"], r["needle"]) for r in asked.where(F.pmod(F.xxhash64("quote_id", "needle"), F.lit(blocks)) == b).collect()])
+
+        def run(batches, held=held):
+            for batch in batches:
+                rows, found = [], []
+                for i, hay in enumerate(batch.column(1).to_pylist()):
+                    pairs = _pairs(hay)
+                    for quote_id, needle in held.value:
+                        if _fuzzy(needle, hay, threshold, strict, pairs):
+                            rows.append(i)
+                            found.append(quote_id)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], ["doc_id", "quote_id"])
+
+        id_type = asked.select("quote_id").limit(0).toArrow().schema[0].type
+        parts.append(texts.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def literal_match(needle: Column, hay: Column, strict: bool = False) -> Column:
     """Folded or normalised containment. A quote without letters or digits is in every text, unless ``strict``."""
     found = F.contains(fold(hay), fold(needle)) | F.contains(normalize_tokens(hay), normalize_tokens(needle))

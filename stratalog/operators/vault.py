@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dialect import strip
+from ..storage import checkpointed
 
 HEAD = 4000
 
@@ -52,6 +54,23 @@ def name_targets(entries: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.count_distinct("rel_stem").alias("n_candidates"), F.min_by("rel_stem", F.struct(F.split("rel_stem", "/"), "rel_stem")).alias("alias"))
 
 
+def name_candidates(entries: DataFrame) -> DataFrame:
+    """(name, ordinal, rel_stem): the candidates of ``name_index`` as rows, numbered from 1 in order of path parts.
+
+    Names are dealt in ranges with their paths, and numbers within ranges are set off by the ranges' counts, so a name that
+    very many notes share lies in as many tasks as it fills. The first one is the alias, the last one's number the count.
+    """
+    names = F.concat(F.array("stem", "rel_stem", "title"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = entries.select("rel_stem", F.explode(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))).alias("name")).distinct()
+    order = ["parts", "rel_stem"]
+    dealt = rows.withColumn("parts", F.split("rel_stem", "/")).repartitionByRange("name", *order)
+    dealt = checkpointed(dealt.withColumn("range", F.spark_partition_id()))
+    earlier = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy("name", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    own = F.row_number().over(W.partitionBy("name", "range").orderBy(*order))
+    return dealt.withColumn("own", own).join(sums, ["name", "range"]).select("name", (F.col("before") + F.col("own")).alias("ordinal"), "rel_stem")
+
+
 def scan_counts(plan: DataFrame) -> DataFrame:
     """One row (reused, parsed, removed) of ``scan_plan``."""
     return plan.agg(*[F.count_if(F.col("action") == action).alias(name) for action, name in (("reuse", "reused"), ("parse", "parsed"), ("remove", "removed"))])

@@ -276,6 +276,25 @@ def ag_4_name_index(spark, sf_dir):
     return vault.name_index(t.vault(spark, sf_dir)).select("name", F.size("candidates").cast("long").alias("n_candidates"), "alias", "conflict")
 
 
+@query(f"WITH {NAMES_SQL} SELECT name, row_number() OVER (PARTITION BY name ORDER BY a, b, stem) AS ordinal, rel_stem FROM names")
+def ag_4_name_candidates(spark, sf_dir):
+    return vault.name_candidates(t.vault(spark, sf_dir))
+
+
+def _edited(text):
+    """Text with every eleventh character written otherwise."""
+    return F.regexp_replace(text, "(?s)(.{10}).", "$1x")
+
+
+def jn_10_fuzzy_quotes(spark, sf_dir):
+    """The first words of all benchmark items, edited, in whole documents. Matching blocks aren't expressible in SQL."""
+    asked = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), _edited(F.substring("text", 1, 100)).alias("quote"))
+    return quotes.fuzzy_join(asked, t.table(spark, sf_dir, "documents"))
+
+
+query()(jn_10_fuzzy_quotes)
+
+
 def _terms(spark, sf_dir):
     p = t.table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("ord"), F.explode(F.array(F.concat("p_name", F.col("p_partkey").cast("string")), F.col("p_type"), F.concat(F.lit("missing"), F.col("p_partkey").cast("string")))).alias("term"))
