@@ -13,7 +13,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stratalog.operators import condense, folds, links, timeline
-from stratalog.plans import fixtures, queries, vault_jobs
+from stratalog.plans import cases as fixtures
+from stratalog.plans import queries, vault_jobs
 from stratalog.sources import media, notes
 from stratalog.streaming import incremental
 
@@ -39,8 +40,19 @@ def test_against_sql(spark, name):
     assert sorted(map(_rounded, rows.select(cols).collect()), key=repr) == sorted(map(_rounded, want), key=repr) and want
 
 
-def test_every_fixture_has_sql():
+@pytest.mark.parametrize("name", fixtures.ALONE)
+def test_cases_without_a_table(spark, name):
+    sql, f = fixtures.ALONE[name]
+    rows = f(spark, SF)
+    cols = sorted(rows.columns)
+    want = duckdb.connect().sql(f"SELECT {', '.join(f'{chr(34)}{c}{chr(34)}' for c in cols)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, rows.select(cols).collect()), key=repr) == sorted(want, key=repr) and want and name not in queries.QUERIES
+
+
+def test_every_case_has_sql_and_grows_with_the_table(spark):
     assert len(OWN) > 50 and set(OWN) <= queries.ORACLE_SQL.keys()
+    words = {r.text for r in fixtures.made(spark, SF, [("v", "§ ¤")], "video_id string, text string").collect()}
+    assert len(words) == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 def _step_by_step(text, plan):
