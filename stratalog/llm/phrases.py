@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_slices, discard, materialize, token_bounds
 
 #: Bytes of text in a slice; a longer text is a slice of its own.
-SLICE_TEXT = 16 << 20
+SLICE_TEXT = 8 << 20
 #: A local name is slice << CODE_BITS | code, with slice = partition << COUNT_BITS | number; a slice of more occurrences takes several numbers.
 CODE_BITS, COUNT_BITS = 25, 14
 #: Bytes that end a piece, and those that part words within one.
@@ -67,7 +67,7 @@ def _encoded(langs: pa.Array, data: np.ndarray, offsets: np.ndarray):
     if not len(starts):
         return None
     doc = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(kind == 2)[starts]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     fresh = np.concatenate(([False], (doc[1:] != doc[:-1]) | (piece[1:] != piece[:-1])))
     at = np.concatenate(([0], np.cumsum(ends - starts)))
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(_LOWER[data[inside]])).dictionary_encode()
