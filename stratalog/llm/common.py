@@ -28,6 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+class scratch:  # noqa: N801  used as a function
+    """``with scratch() as s``: tables that operators write inside are deleted at the end, but those that ``s.keep`` names."""
+
+    _open: list[scratch] = []
+
+    def __enter__(self) -> scratch:
+        self.tables: list[DataFrame] = []
+        scratch._open.append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.tables = [x for x in self.tables if x is not table]
+        return table
+
+    def __exit__(self, *_) -> None:
+        scratch._open.remove(self)
+        discard(*self.tables)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive any executor."""
     spark = df.sparkSession
@@ -35,6 +54,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized = path
+    if scratch._open:
+        scratch._open[-1].tables.append(out)
     return out
 
 
