@@ -145,14 +145,17 @@ def _placed(words: list[bytes], lo: int, hi: int, own: list[bytes], need: Counte
     """(aligned words, first, end) of the notice in words[lo:hi] at the place that most words vote for, or None.
 
     A word votes for the place where the template would begin. A place is aligned by itself and with room for
-    insertions; of these, the alignment with the most words for its span is taken. Places of long templates that lie
+    insertions; of these, the alignment with the most words for its span is taken. Of places with equal votes the one
+    nearest to the middle comes first, so that what is left on its two sides halves, and many copies of a notice take a
+    number of recounts that grows with the logarithm of theirs. Places of long templates that lie
     within a 32nd of their length share the room, so the first of them stands for all.
     """
     if sum((Counter(w for w in words[lo:hi] if w in need) & need).values()) < least:
         return None
     unit, tried = max(1, len(own) // 32), set()
     votes = Counter(i - j for i in range(lo, hi) for j in at.get(words[i], ()))
-    for place, _ in votes.most_common():
+    middle = (lo + hi - len(own)) // 2
+    for place, _ in sorted(votes.items(), key=lambda x: (-x[1], abs(x[0] - middle), x[0])):
         if place // unit in tried:
             continue
         tried.add(place // unit)
@@ -255,7 +258,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = MIN_COVERAGE, keep
 
     places holds each place of each template with a coverage of at least ``least``, by first word and name; those of
     different templates may overlap, as with licenses that differ by a word. license is the template with the largest coverage, if that is at least ``least``, else null with coverage 0. Texts
-    are taken whole; a null text has no words. Templates without words are left out. A template is aligned only where
+    are taken whole; a null text has no words. Rows that repeat come back as often as they come in; an empty table gives an
+    empty one. Templates without words are left out. A template is aligned only where
     enough of its words occur at all, which coverage implies. Result columns replace columns with their names.
     """
     bound_batches(docs.sparkSession)

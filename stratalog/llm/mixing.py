@@ -127,7 +127,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and any other columns), each as often as the mix takes it. Only sizes and hashes are shuffled; texts stay where they are."""
+    """The rows of ``docs`` (doc_id, text, source and any other columns), each as often as the mix takes it. Only sizes and hashes are shuffled; texts stay where they are.
+
+    A document without words, null and empty ones too, is never taken. Rows that repeat an id in a source are taken together,
+    each as often. Columns come back as they were, whatever their names. An empty table gives an empty one.
+    """
     sources, n = source_limits(materialize(_base(docs, "doc_id", "text", "source", seed), "sizes"), weights, most)
     limits = sources.select(F.col("source").alias("__of"), F.struct("times", "prefix").alias("__limit"))
     rows = docs.join(F.broadcast(limits) if n <= BROADCAST_SOURCES else limits, F.col("source").cast("string").eqNullSafe(F.col("__of")))
