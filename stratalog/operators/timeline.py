@@ -92,14 +92,14 @@ def empty_index(chunks: DataFrame) -> DataFrame:
     return chunk_index(chunks, chunks.select("video_id", "chunk_id", F.lit("").alias("text")), None, 1.0, status="pending")
 
 
-def index_envelopes(index: DataFrame, media: DataFrame, content_source: str, nav_level: str) -> DataFrame:
+def index_envelopes(index: DataFrame, media: DataFrame, content_source: str | Column, nav_level: str) -> DataFrame:
     """(video_id, payload): a JSON record of each of media (video_id, title, duration) with all its navigation rows in order, lengths with one decimal and densities with two."""
     fields = ["chunk_id", "start", "end", "duration_s", "status", "chars", "keywords", "topic_hints", "density", "has_code", "has_formula", "has_warning"]
     row = F.struct(F.col("chunk_id").alias("id"), *fields[1:])
     index = index.withColumns({"duration_s": F.bround("duration_s", 1), "density": py_round2(F.col("density"))})
     rows = index.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("chunk_index"))
     rows = media.join(rows, "video_id", "left").withColumn("chunk_index", F.coalesce("chunk_index", F.array()))
-    record = F.struct("video_id", F.coalesce("title", F.lit("")).alias("title"), "duration", fmt_ts(F.col("duration")).alias("duration_str"), F.lit(content_source).alias("content_source"), F.lit(nav_level).alias("nav_level"), F.size("chunk_index").alias("chunk_count"), "chunk_index")
+    record = F.struct("video_id", F.coalesce("title", F.lit("")).alias("title"), "duration", fmt_ts(F.col("duration")).alias("duration_str"), (F.lit(content_source) if isinstance(content_source, str) else content_source).alias("content_source"), F.lit(nav_level).alias("nav_level"), F.size("chunk_index").alias("chunk_count"), "chunk_index")
     return rows.select("video_id", F.to_json(record).alias("payload"))
 
 

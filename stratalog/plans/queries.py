@@ -11,6 +11,7 @@ from ..functions import clock, lexicon, text
 from ..operators import condense, folds, gate, intervals, links, quotes, signals, timeline, vault
 from ..sources import captions, notes
 from ..streaming import incremental
+from . import navigation
 from . import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,6 +417,30 @@ def lk_6_inject(spark, sf_dir):
     return out.select("note_id", F.length("value").alias("n_chars"), F.array_join("linked", ",").alias("linked"), "n_strong", "n_weak", "n_footer")
 
 
+@query(r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS lines, doc_id % 5 AS kind, regexp_matches(text, '\S') AS said FROM documents WHERE text IS NOT NULL),
+    v AS (SELECT doc_id AS video_id, CASE WHEN kind = 0 AND said THEN 0 WHEN kind = 1 THEN 1 WHEN kind = 2 THEN 2 ELSE 3 END AS level, lines, (30 * len(lines) + 119) // 120 AS n FROM x)
+    SELECT video_id, ['L0-subtitle', 'L0-manifest', 'L0-A (chapters)', 'L0-B (audio scout)'][level + 1] AS nav_level, ['subtitle:own', 'whisper', 'chapters', 'whisper_scout'][level + 1] AS content_source, n::BIGINT AS chunk_count,
+           (CASE level WHEN 0 THEN list_sum(list_transform(lines, lambda l: length(l))) WHEN 1 THEN length(lines[1]) WHEN 2 THEN n * length('of ' || video_id) ELSE list_sum(list_transform(range(n), lambda i: length('heard ' || i))) END)::BIGINT AS chars,
+           CASE level WHEN 0 THEN n WHEN 1 THEN 1 ELSE 0 END::BIGINT AS ready, CASE level WHEN 1 THEN 'pending' WHEN 2 THEN 'meta_indexed' WHEN 3 THEN 'scouted' ELSE 'ready' END AS status FROM v""")
+def tl_13_navigation(spark, sf_dir):
+    """Records of documents as videos: a fifth each has captions, stored results, a chapter, and two fifths nothing, so that they are listened to."""
+    rows = t.seg_doc(spark, sf_dir)
+    kind = F.pmod("video_id", F.lit(5))
+    media = t.durations(spark, sf_dir).withColumn("title", F.lit(None).cast("string"))
+    chapters = media.where(kind == 2).select("video_id", F.lit(0).alias("ord"), F.lit(0.0).alias("start"), F.col("duration").alias("end"), F.concat(F.lit("of "), F.col("video_id").cast("string")).alias("title"))
+    manifests = timeline.plan_chunks(media.where(kind == 1), t.CHUNK).withColumn("status", F.lit("pending"))
+    results = rows.where((kind == 1) & (F.col("seq") == 0)).select("video_id", F.lit(0).alias("chunk_id"), "seq", "text")
+
+    def hear(batches):
+        for batch in batches:
+            yield batch.assign(text="heard " + batch["chunk_id"].astype(str))[["video_id", "chunk_id", "text"]]
+
+    out = navigation.navigate(media, t.CHUNK, rows.where(kind == 0).withColumn("lang", F.lit("own")), manifests, results, chapters, hear)
+    j = F.from_json("payload", "chunk_count bigint, chunk_index array<struct<chars: bigint, status: string>>")
+    out = out.select("video_id", "nav_level", "content_source", j.alias("j"))
+    return out.select("video_id", "nav_level", "content_source", "j.chunk_count", F.aggregate("j.chunk_index", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("chars"), F.size(F.filter("j.chunk_index", lambda x: x["status"] == "ready")).cast("long").alias("ready"), F.when((F.col("nav_level") == "L0-manifest"), "pending").otherwise(F.element_at("j.chunk_index", -1)["status"]).alias("status"))
+
+
 def _doc_notes(spark, sf_dir):
     head = F.when(F.col("doc_id") % 2 == 0, F.lit("---\ntitle: x\n---\n")).otherwise("")
     tail = F.when(F.col("doc_id") % 3 == 0, F.lit("\n```python\nx\n```\nO(n)")).when(F.col("doc_id") % 3 == 1, F.lit("\n```c\nx")).otherwise(F.lit("\n[05:20] 🎥 来源"))

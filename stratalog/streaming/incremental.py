@@ -66,15 +66,13 @@ def keep_new_heads(captions: DataFrame, window: int | None = None) -> DataFrame:
     """The repeated-head fold over a stream of captions (video_id, seq, start, text) that comes in order of seq a video; state is the last kept text."""
 
     def step(key, batches, state):
-        last = state.get[0] if state.exists else ""
-        for batch in batches:
-            out = []
-            for row in batch.sort_values("seq").itertuples():
-                text = fresh_text(last, row.text, window)
-                if text:
-                    last = text
-                    out.append((row.video_id, row.seq, row.start, text))
-            yield pd.DataFrame(out, columns=["video_id", "seq", "start", "text"])
+        last, out = state.get[0] if state.exists else "", []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():  # a video's captions of one trigger
+            text = fresh_text(last, row.text, window)
+            if text:
+                last = text
+                out.append((row.video_id, row.seq, row.start, text))
         state.update((last,))
+        yield pd.DataFrame(out, columns=["video_id", "seq", "start", "text"])
 
     return captions.groupBy("video_id").applyInPandasWithState(step, captions.select("video_id", "seq", "start", "text").schema, "last string", "append", GroupStateTimeout.NoTimeout)
