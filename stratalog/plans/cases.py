@@ -338,13 +338,13 @@ def pr_11_visible(spark, sf_dir):
     return made(spark, sf_dir, PATHS, "rel string").where(vault.visible(F.col("rel")))
 
 
-PAYLOADS = [("v", "raw§", "dry", "ev", "plain"), ("w", None, "d2", None, "p2")]
+PAYLOADS = [("v", "raw", "dry§", "ev", "plain"), ("w", None, "d2", None, "p2")]
 PAYLOAD = "video_id string, content string, content_dehydrated string, content_evidence string, content_plain string"
 
 
 @query(listed("video_id string, kind string, payload string", [
-    ("v", "archive", '{"video_id":"¤/v","content":"raw§","content_dehydrated":"dry","content_plain":"plain"}'), ("w", "archive", '{"video_id":"¤/w","content_dehydrated":"d2","content_plain":"p2"}'),
-    ("v", "llm", '{"video_id":"¤/v","content_dehydrated":"dry"}'), ("w", "llm", '{"video_id":"¤/w","content_dehydrated":"d2"}'),
+    ("v", "archive", '{"video_id":"¤/v","content":"raw","content_dehydrated":"dry§","content_plain":"plain"}'), ("w", "archive", '{"video_id":"¤/w","content_dehydrated":"d2","content_plain":"p2"}'),
+    ("v", "llm", '{"video_id":"¤/v","content_dehydrated":"dry§"}'), ("w", "llm", '{"video_id":"¤/w","content_dehydrated":"d2"}'),
     ("v", "evidence", '{"video_id":"¤/v","content_dehydrated":"ev","content_evidence":"ev"}'), ("w", "evidence", '{"video_id":"¤/w"}'),
 ]))
 def pr_12_payloads(spark, sf_dir):

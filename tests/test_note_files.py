@@ -43,9 +43,9 @@ def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
 def test_payloads_have_a_text_file_a_video(spark, tmp_path):
     rows = spark.createDataFrame([("v", "c", "d1\nd2", "e", "p"), ("w", "c", "d3", "e3", "p")], "video_id string, content string, content_dehydrated string, content_evidence string, content_plain string")
     notes.write_payloads(rows, str(tmp_path / "x.json"))
-    assert _files(str(tmp_path / "x_txt")) == {"v.txt": "d1\nd2", "w.txt": "d3"}
+    assert _files(str(tmp_path / "x_text")) == {"v.txt": "d1\nd2", "w.txt": "d3"}
     notes.write_payloads(rows, str(tmp_path / "x.json"), evidence=True)
-    assert _files(str(tmp_path / "x_txt")) == {"v.txt": "e", "w.txt": "e3"}
+    assert _files(str(tmp_path / "x_text")) == {"v.txt": "e", "w.txt": "e3"}
 
 
 def _index(spark, index):
