@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -26,7 +25,7 @@ MAX_ANCHORS, MAX_QUOTE, FUZZY, RECALL = 6, 100, 0.78, 0.55
 #: Greatest length of the blocks on which containment candidates meet.
 PIECE = 24
 #: Quotes that one pass over the texts looks for, and classes of pairs of characters in its filter.
-BLOCK_QUOTES, PAIR_CLASSES = 2000, 1 << 16
+BLOCK_QUOTES, PAIR_CLASSES = 2000, 1 << 14
 
 
 def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -68,49 +67,75 @@ def _pairs(text: str) -> np.ndarray:
     return (codes[:-1] * 31 + codes[1:]) % PAIR_CLASSES
 
 
-def _candidates(needle: str, hay: str, hay_pairs: np.ndarray, threshold: float, width: int) -> list[int]:
-    """Starts of the windows that hold enough of the needle's pairs of characters to reach the threshold.
-
-    A ratio t of n and w characters needs m >= t(n + w)/2 of them in matching blocks. Between two blocks at least one
-    character of either text is left over, so there are at most 1 + n + w - 2m blocks, and a block of k characters has k - 1
-    pairs of the needle's: m - (1 + n + w - 2m) = 3m - n - w - 1 pairs of the window at least. Pairs that merely share a class
-    only add to the count, so no window is lost.
-    """
-    n = len(needle)
-    starts = np.arange(0, max(1, len(hay) - n + 1), max(1, n // 5))
-    ends = np.minimum(starts + width, len(hay))
-    need = (1.5 * threshold - 1) * (n + ends - starts) - 1
-    known = np.zeros(PAIR_CLASSES, bool)
-    known[_pairs(needle)] = True
-    upto = np.concatenate(([0], np.cumsum(known[hay_pairs])))
-    held = upto[np.maximum(ends - 1, starts).clip(0, len(upto) - 1)] - upto[starts.clip(0, len(upto) - 1)]
-    return starts[held >= need - 1e-9].tolist()
-
-
-def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool, hay_pairs: np.ndarray | None = None) -> bool:
-    """Whether any window's ratio reaches the threshold. Windows that hold too few of the needle's characters, or pairs of them, can't, and are passed over."""
-    if needle is None or hay is None or len(needle) < 4:
+class _Needle:
+    """A normalised quote and what its filters look up."""
+
+    def __init__(self, text: str):
+        self.text, pairs = text, _pairs(text)
+        classes, self.times = np.unique(pairs, return_counts=True)
+        self.place = np.full(PAIR_CLASSES, -1, np.int32)
+        self.place[classes] = np.arange(len(classes))
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def common(self, window: str) -> int:
+        """Length of the longest common subsequence, by the bits of one integer."""
+        n = len(self.text)
+        whole = (1 << n) - 1
+        v = whole
+        for c in window:
+            if m := self.masks.get(c):
+                u = v & m
+                v = ((v + u) | (v - u)) & whole
+        return n - v.bit_count()
+
+    def candidates(self, hay: str, hay_pairs: np.ndarray, threshold: float, width: int) -> list[int]:
+        """Starts of the windows that hold enough of the needle's pairs of characters to reach the threshold.
+
+        A ratio t of n and w characters needs m >= t(n + w)/2 of them in matching blocks. Between two blocks at least one
+        character of either text is left over, so there are at most 1 + n + w - 2m blocks, and a block of k characters has
+        k - 1 pairs of the needle's: m - (1 + n + w - 2m) = 3m - n - w - 1 pairs common to both at least, each as often as it
+        stands in either. Pairs that merely share a class only add to the count, so no window is lost.
+        """
+        n = len(self.text)
+        starts = np.arange(0, max(1, len(hay) - n + 1), max(1, n // 5))
+        ends = np.minimum(starts + width, len(hay))
+        need = (1.5 * threshold - 1) * (n + ends - starts) - 1 - 1e-9
+        places = self.place[hay_pairs]
+        upto = np.concatenate(([0], np.cumsum(places >= 0)))
+        last = np.maximum(ends - 1, starts).clip(0, len(upto) - 1)
+        some = np.flatnonzero(upto[last] - upto[starts.clip(0, len(upto) - 1)] >= need)
+        kept = []
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            lengths = np.maximum(ends[part] - 1 - starts[part], 0)
+            row = np.repeat(np.arange(len(part)), lengths)
+            where = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[part], lengths)
+            found = places[where]
+            held = np.bincount(row[found >= 0] * len(self.times) + found[found >= 0], minlength=len(part) * len(self.times)).reshape(len(part), -1)
+            kept += starts[part[np.minimum(held, self.times).sum(1) >= need[part]]].tolist()
+        return kept
+
+    def near(self, hay: str, threshold: float, strict: bool, hay_pairs: np.ndarray | None = None) -> bool:
+        """Whether any window's ratio reaches the threshold. Matching blocks are a common subsequence, so its length bounds theirs."""
+        n = len(self.text)
+        if n < 4:
+            return False
+        width = n if strict else n + 15
+        ratio = difflib.SequenceMatcher(None, autojunk=True)
+        ratio.set_seq1(self.text)
+        for at in self.candidates(hay, _pairs(hay) if hay_pairs is None else hay_pairs, threshold, width):
+            window = hay[at : at + width]
+            if 2.0 * self.common(window) / (n + len(window)) >= threshold:
+                ratio.set_seq2(window)
+                if ratio.ratio() >= threshold:
+                    return True
         return False
-    n = len(needle)
-    width = n if strict else n + 15
-    starts = _candidates(needle, hay, _pairs(hay) if hay_pairs is None else hay_pairs, threshold, width)
-    wanted = Counter(needle)
-    inside: Counter = Counter()
-    lo = hi = 0
-    ratio = difflib.SequenceMatcher(None, autojunk=True)
-    ratio.set_seq1(needle)
-    for at in starts:
-        if at >= hi:
-            inside, lo, hi = Counter(), at, at
-        inside.update(hay[hi : at + width])
-        inside.subtract(hay[lo:at])
-        lo, hi = at, max(hi, min(len(hay), at + width))
-        common = sum(min(k, inside[c]) for c, k in wanted.items())
-        if 2.0 * common / (n + hi - lo) >= threshold:
-            ratio.set_seq2(hay[lo:hi])
-            if ratio.ratio() >= threshold:
-                return True
-    return False
+
+
+def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool) -> bool:
+    return needle is not None and hay is not None and _Needle(needle).near(hay, threshold, strict)
 
 
 def fuzzy_match(needle: Column, hay: Column, threshold: float = FUZZY, strict: bool = False) -> Column:
@@ -128,7 +153,7 @@ def fuzzy_join(quotes: DataFrame, docs: DataFrame, threshold: float = FUZZY, str
 
     Quotes are cut in blocks of ``block`` by hash; a block travels with the tasks, and the texts are read once a block where
     they lie. In a text, a running count of the pairs of characters that a quote has tells in numpy which windows can reach
-    the threshold (``_candidates``, which loses none); only those are matched. Quotes of fewer than four characters, and
+    the threshold (``_Needle.candidates``, which loses none); only those are matched. Quotes of fewer than four characters, and
     null ones, match nothing.
     """
     spark = docs.sparkSession
@@ -136,18 +161,21 @@ def fuzzy_join(quotes: DataFrame, docs: DataFrame, threshold: float = FUZZY, str
     texts = docs.select("doc_id", normalize_tokens(F.col("text")).alias("hay")).where("hay <> ''")
     kind = quotes.schema["quote_id"].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quote_id {kind}"
+    if texts.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few files: the work is in the matching, not in the bytes
+        texts = texts.repartition(spark.sparkContext.defaultParallelism)
     blocks = -(-asked.count() // block)
     parts = [spark.createDataFrame([], schema)]
     for b in range(blocks):
         held = spark.sparkContext.broadcast([(r["quote_id"], r["needle"]) for r in asked.where(F.pmod(F.xxhash64("quote_id", "needle"), F.lit(blocks)) == b).collect()])
 
         def run(batches, held=held):
+            needles = [(quote_id, _Needle(needle)) for quote_id, needle in held.value]
             for batch in batches:
                 rows, found = [], []
                 for i, hay in enumerate(batch.column(1).to_pylist()):
                     pairs = _pairs(hay)
-                    for quote_id, needle in held.value:
-                        if _fuzzy(needle, hay, threshold, strict, pairs):
+                    for quote_id, needle in needles:
+                        if needle.near(hay, threshold, strict, pairs):
                             rows.append(i)
                             found.append(quote_id)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], ["doc_id", "quote_id"])
