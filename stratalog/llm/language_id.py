@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_slices, fold
 
 GRAMS, BUCKET_BITS, DIM = (2, 3, 4), 16, 16
-#: Bounds of the labelled sample: languages, the most frequent ones, and documents over all of them, by hash.
-MOST_LANGS, SAMPLE_DOCS = 100, 600
+#: Bounds of the labelled sample, by hash: documents over all languages, and what each language has in any case, however many there are.
+SAMPLE_DOCS, LEAST_DOCS = 600, 6
+#: Steps of training a language, where that is more than all should have.
+LANG_STEPS = 300
+#: Logits that are held at a time.
+LOGITS = 1 << 21
 #: Bytes of the pieces that a sampled text is cut in, in turn; texts of more than MOST_PIECES of them have proportionally longer ones.
 PIECES, MOST_PIECES = (24, 60, 200, 600), 64
 #: Share of accepted texts that may be wrong.
@@ -24,13 +29,18 @@ UNKNOWN = "und"
 
 @dataclass
 class Model:
-    """``table`` is the embeddings times the output weights, so that a text's logits are the mean of its subwords' rows."""
+    """A text's logits are the mean of its subwords' rows of ``table``, times ``out`` if there is one, plus ``bias``.
+
+    ``table`` is the embeddings times the output weights for up to DIM languages; for more it is the embeddings alone, so
+    that it doesn't grow with the languages, and ``out`` holds the weights.
+    """
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    out: np.ndarray | None = None
 
 
 def _classes() -> np.ndarray:
@@ -93,20 +103,21 @@ def piece_features(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int = 7, steps: int = 9000, rate: float = 0.5) -> Model:
-    """Fit on (lang, pieces of a text) rows by stochastic gradient descent, a piece a step and at least ``steps`` of them.
+    """Fit on (lang, pieces of a text) rows by stochastic gradient descent, a piece a step, at least ``steps`` of them and LANG_STEPS a language.
 
-    Every fifth text, whole, is kept out: those set the temperature, and the least score at which no more than
+    Every fifth text of each language, whole, is kept out: those set the temperature, and the least score at which no more than
     TARGET_ERROR of the texts above it are wrong. Texts below that score are to be rejected.
     """
     rng = np.random.default_rng(seed)
     langs = sorted({lang for lang, _ in rows}, key=str.encode)
     known, n_langs = {lang: i for i, lang in enumerate(langs)}, len({lang for lang, _ in rows})
-    use, held = [], []
+    use, held, nth = [], [], Counter()
     for i, (lang, pieces) in enumerate(rows):
-        (held if i % 5 == 4 else use).extend([(i, known[lang], ids.astype(np.int64), counts.astype(np.float32)) for ids, counts in pieces if len(ids)])
+        nth[lang] += 1
+        (use if nth[lang] % 5 else held).extend([(i, known[lang], ids.astype(np.int64), counts.astype(np.float32)) for ids, counts in pieces if len(ids)])
     embed = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, n_langs), np.float32), np.zeros(n_langs, np.float32)
-    epochs = -(-steps // len(use)) if use else 0
+    epochs = -(-max(steps, LANG_STEPS * n_langs) // len(use)) if use else 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(use)):
@@ -121,17 +132,17 @@ def train(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int
             out -= step * np.outer(x, p)
             bias -= step * 0.1 * p
             embed[ids] -= np.outer(share * step, grad)
-    table = embed @ out
+    table, weights = (embed @ out, None) if n_langs <= DIM else (embed, out)
     temperature, reject = 1.0, 0.0
     if held:
         texts = sorted({i for i, *_ in held})
         at = {i: k for k, i in enumerate(texts)}
-        sums, totals, truth = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        sums, totals, truth = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for i, label, ids, counts in held:
             sums[at[i]] += counts @ table[ids]
             totals[at[i]] += counts.sum()
             truth[at[i]] = label
-        logits = sums / totals[:, None] + bias
+        logits = (sums if weights is None else sums @ weights) / totals[:, None] + bias
 
         # A right answer counts as (n + 1) / (n + 2) and not as certain, so that few errors don't make scores extreme.
         want = np.full(logits.shape, 1 / (len(texts) + 2) / max(1, n_langs - 1))
@@ -147,7 +158,7 @@ def train(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         reject = rejection_threshold(p.max(1), p.argmax(1) == truth)
-    return Model(langs, table.astype(np.float32), bias, temperature, reject)
+    return Model(langs, table.astype(np.float32), bias, temperature, reject, weights)
 
 
 def rejection_threshold(scores: np.ndarray, right: np.ndarray, error: float = TARGET_ERROR) -> float:
@@ -167,22 +178,23 @@ def _features(batches):
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, where, most: int = SAMPLE_DOCS) -> list[tuple[str, list]]:
-    """(lang, pieces) of at most ``most`` documents in all, as many of each of the MOST_LANGS most frequent languages; the least by a hash of id and text over the whole table.
+    """(lang, pieces) of ``most`` documents at most, as many of each language, and of LEAST_DOCS a language where there are more languages than that allows; the least by a hash of id and text over the whole table.
 
-    Texts become bucket counts where they lie; what comes to the driver is bounded by ``most`` * MOST_PIECES * 2**BUCKET_BITS
-    entries of four bytes, and in practice by the sample's length.
+    Every language that a text has is learned. Their number is the model's width, so what comes to the driver is bounded by
+    the model: a count a language, and texts as bucket counts, made where they lie, of the greater of ``most`` and
+    LEAST_DOCS a language times MOST_PIECES * 2**BUCKET_BITS entries of four bytes, in practice by the sample's length.
     """
     text, label = F.col(text_col).cast("string"), F.col(label_col).cast("string")
     rows = docs.where(where & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(label.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy(label.alias("lang")).count().collect()
     if not counts:
         return []
-    each = max(1, most // len(counts))
-    # A threshold of the hash lets about 1.2 * each rows of a language through to the exact choice.
-    below = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.2 * max(each, 50) / r["count"]) * (1 << 30)))]), label)
+    each = max(LEAST_DOCS, most // len(counts))
+    # A threshold of the hash lets about 1.2 * each rows of a language through to the exact choice. A row a language is less than the model, which travels too.
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.2 * max(each, 50) / r["count"]) * (1 << 30))) for r in counts], "lang string, below long")
     h = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), text), F.lit(1 << 30))
-    rows = rows.where(label.isin(*[r["lang"] for r in counts]) & (h < below)).select(label.alias("lang"), h.alias("h"), F.xxhash64(F.lit(12), F.col(id_col), text).alias("tie"), text.alias("text"))
-    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "tie"))).where(F.col("nth") <= each)
+    rows = rows.select(label.alias("lang"), h.alias("h"), F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(limits), "lang").where(F.col("h") < F.col("below"))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64(F.lit(12), F.col("id"), F.col("text"))))).where(F.col("nth") <= each)
     found = rows.select("lang", "nth", "text").mapInArrow(_features, "lang string, nth int, piece int, ids binary, counts binary").collect()
     out: dict = {}
     for r in sorted(found, key=lambda r: (r["nth"], r["lang"].encode(), r["piece"])):
@@ -193,22 +205,26 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
 def _predict(shared, n_keep: int, names: list[str]):
     def run(batches):
         model: Model = shared.value
-        n_langs = len(model.langs)
         for batch in batches:
             n = batch.num_rows
-            logits, counts = np.zeros((n, n_langs), np.float64), np.zeros(n, np.int64)
+            sums, counts = np.zeros((n, model.table.shape[1]), np.float64), np.zeros(n, np.int64)
             for first, last, data, offsets in byte_slices(batch.column(n_keep)):
                 for buckets, owner in subwords(data, offsets):
                     if len(owner):
                         at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                         rows = owner[at] + first
-                        logits[rows] += np.add.reduceat(model.table[buckets], at, axis=0, dtype=np.float64)
+                        sums[rows] += np.add.reduceat(model.table[buckets], at, axis=0, dtype=np.float64)
                         counts[rows] += np.diff(np.concatenate((at, [len(owner)])))
-            z = (logits / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            best = p.argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array([model.langs[i] for i in best], pa.string()), pa.array(p.max(1))], names)
+            best, score = np.zeros(n, np.int64), np.zeros(n)
+            step = max(1, LOGITS // len(model.langs))
+            for at in range(0, n, step):
+                part = slice(at, at + step)
+                logits = sums[part] if model.out is None else sums[part] @ model.out
+                z = (logits / np.maximum(counts[part], 1)[:, None] + model.bias) / model.temperature
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                best[part], score[part] = p.argmax(1), p.max(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array([model.langs[i] for i in best], pa.string()), pa.array(score)], names)
 
     return run
 
