@@ -7,8 +7,6 @@ are then extended word by word on both sides and checked on the words themselves
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +15,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_slices, materialize, mix64, run_hashes, token_bounds
 
 WINDOW_WORDS, GRAM_WORDS = 10, 5
-#: Bytes of benchmark text whose fingerprints travel with the tasks; those of a larger benchmark are joined by shuffle.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a block of benchmark items that travels with the tasks, by its arrays; fingerprints of a larger benchmark are joined by shuffle.
+BLOCK_BYTES = 64 << 20
+#: Bytes that a block's arrays have at most for each word, beside its text, and for each item.
+WORD_BYTES, ITEM_BYTES = 32, 128
+#: Places of one fingerprint from which they are checked together.
+MANY_PLACES = 8
 #: Words as the JVM finds them, before letters are folded.
 JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -70,53 +72,77 @@ def kind_of(n: int) -> tuple[int, int, int]:
 
 
 class Block:
-    """Fingerprints of some benchmark items, by gram length and window width."""
+    """Fingerprints of some benchmark items, by gram length and window width, and their words, all as arrays.
+
+    Words are numbered over all items; ``first`` has each item's first word. Of each kind, ``prints`` has the fingerprints
+    in order and the words they begin at.
+    """
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.items, self.words, self.hashes = [], [], []
-        found: dict = defaultdict(list)
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            data, starts, ends, hashes, _ = words_of(raw, np.array([0, len(raw)]))
-            n = len(starts)
-            if not n:
-                continue
-            i, whole = len(self.items), data.tobytes()
-            self.items.append(item)
-            self.words.append([whole[s:e] for s, e in zip(starts.tolist(), ends.tolist())])
-            self.hashes.append(hashes)
-            k, width, least = kind_of(n)
-            grams = gram_hashes(hashes, k)
-            found[k, width, least].extend((int(grams[p]), i, int(p)) for p in winnow(grams, width))
+        self.names = [item for item, _ in items]
+        found, first, n_bytes, n_words = [], [np.zeros(1, np.int64)], 0, 0
+        for _, _, raw, offsets in byte_slices(pa.array([text for _, text in items], pa.string())):
+            data, starts, ends, hashes, at = words_of(raw, offsets)
+            found.append((data, starts + n_bytes, ends + n_bytes, hashes))
+            first.append(at[1:] + n_words)
+            n_bytes, n_words = n_bytes + len(data), n_words + len(starts)
+        self.data, self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.uint64))
+        self.first = np.concatenate(first)
+        rows: dict = {}
+        for i in np.flatnonzero(np.diff(self.first)).tolist():
+            lo, hi = self.first[i], self.first[i + 1]
+            k, width, least = kind_of(int(hi - lo))
+            grams = gram_hashes(self.hashes[lo:hi], k)
+            picked = winnow(grams, width)
+            rows.setdefault((k, width, least), []).append((grams[picked], picked + lo))
         self.prints = {}
-        for kind, rows in found.items():
-            by: dict = defaultdict(list)
-            for h, i, p in rows:
-                by[h].append((i, p))
-            self.prints[kind] = (np.array(sorted(by), np.uint64), dict(by))
+        for kind, some in rows.items():
+            grams, places = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(grams, kind="stable")
+            self.prints[kind] = grams[order], places[order]
+
+    def n_bytes(self) -> int:
+        """Bytes of the arrays."""
+        return sum(x.nbytes for x in (self.data, self.starts, self.ends, self.hashes, self.first, *(a for pair in self.prints.values() for a in pair)))
+
+    def _long(self, hashes: np.ndarray, p: int, places: np.ndarray, least: int) -> np.ndarray:
+        """Of ``places`` where the item's words equal those around ``p``, those with ``least`` words in a row, as far as hashes tell."""
+        item = np.searchsorted(self.first, places, "right") - 1
+        lo, hi, n = self.first[item], self.first[item + 1], np.zeros(len(places), np.int64)
+        for steps in (range(least), range(-1, -least, -1)):
+            same = np.ones(len(places), bool)
+            for d in steps:
+                if not 0 <= p + d < len(hashes):
+                    break
+                same &= (places + d >= lo) & (places + d < hi)
+                same[same] = self.hashes[places[same] + d] == hashes[p + d]
+                n += same
+        return places[n >= least]
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Of one text: the word spans that windows of items cover, and the items with windows there."""
-        spans, items, done = [], set(), {}
+        spans, items, done, n = [], set(), {}, len(hashes)
         for (k, width, least), (known, where) in self.prints.items():
             grams = gram_hashes(hashes, k)
-            if not len(grams) or len(hashes) < least:
+            if not len(grams) or n < least:
                 continue
             picked = winnow(grams, width)
-            at = np.minimum(np.searchsorted(known, grams[picked]), len(known) - 1)
-            for p in picked[known[at] == grams[picked]].tolist():
-                for i, q in where[int(grams[p])]:
+            from_, to = np.searchsorted(known, grams[picked], "left"), np.searchsorted(known, grams[picked], "right")
+            hit = np.flatnonzero(to > from_)
+            for p, lo, hi in zip(picked[hit].tolist(), from_[hit].tolist(), to[hit].tolist()):
+                places = where[lo:hi] if hi - lo < MANY_PLACES else self._long(hashes, p, where[lo:hi], least)
+                for q, i in zip(places.tolist(), (np.searchsorted(self.first, places, "right") - 1).tolist()):
                     if done.get((i, p - q), -1) > p:
                         continue
+                    begin, end = self.first[i], self.first[i + 1]
                     a, b = p, q
-                    own, n = self.hashes[i], len(hashes)
-                    while a and b and hashes[a - 1] == own[b - 1]:
+                    while a and b > begin and hashes[a - 1] == self.hashes[b - 1]:
                         a, b = a - 1, b - 1
                     e, f = p, q
-                    while e < n and f < len(own) and hashes[e] == own[f]:
+                    while e < n and f < end and hashes[e] == self.hashes[f]:
                         e, f = e + 1, f + 1
                     done[i, p - q] = max(e, p + 1)
-                    if e - a >= least and all(data[starts[a + x] : ends[a + x]].tobytes() == self.words[i][b + x] for x in range(e - a)):
+                    if e - a >= least and all(data[starts[a + x] : ends[a + x]].tobytes() == self.data[self.starts[b + x] : self.ends[b + x]].tobytes() for x in range(e - a)):
                         spans.append((a, e))
                         items.add(i)
         return spans, items
@@ -145,14 +171,14 @@ def _search(block, names: list[str]):
                 for row in range(first, last):
                     lo, hi = at[row - first], at[row - first + 1]
                     if hi > lo and (found := own.spans(data, starts[lo:hi], ends[lo:hi], hashes[lo:hi]))[1]:
-                        spans[row], items[row] = _merged(found[0]), [own.items[i] for i in found[1]]
+                        spans[row], items[row] = _merged(found[0]), [own.names[i] for i in found[1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "__n_words", "__spans", "__items"])
 
     return run
 
 
-def _fingerprinted(kinds: list[tuple[int, int, int]] | None):
-    """Over batches (key, text): (key, hash) of the winnowed grams of each text, of all ``kinds`` or of its own; one row an equal hash."""
+def _fingerprinted(kinds: list[tuple[int, int, int]] | None, spans: bool = False):
+    """Over batches (key, text): (key, hash) of the winnowed grams of each text, or of all its ``spans`` of the length that counts, of all ``kinds`` or of its own; one row an equal hash."""
 
     def run(batches):
         for batch in batches:
@@ -163,8 +189,8 @@ def _fingerprinted(kinds: list[tuple[int, int, int]] | None):
                     words = hashes[at[row - first] : at[row - first + 1]]
                     for k, width, least in kinds if kinds is not None else [kind_of(len(words))] * bool(len(words)):
                         if len(words) >= least:
-                            grams = gram_hashes(words, k)
-                            out.append((row, np.unique(mix64(grams[winnow(grams, width)] ^ np.uint64(least)))))
+                            grams = gram_hashes(words, least if spans else k)
+                            out.append((row, np.unique(mix64((grams if spans else grams[winnow(grams, width)]) ^ np.uint64(least)))))
                     if sum(len(h) for _, h in out) > 1 << 18:
                         yield _prints(keys, out)
                         out = []
@@ -209,9 +235,11 @@ def _extended(batches):
 def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     """``rows`` (…, __text) with __spans and __items of ``items`` (item, text) of any number, by joins.
 
-    Texts and items become winnowed fingerprints, which meet in a join on their hashes; that gives pairs of a text and an
-    item that share one. Only texts with such a pair are shipped, once each, with the items to extend the hits over. All
-    sides of joins are written tables or plain shuffles, so that Spark splits what a common passage makes large.
+    Texts and items become winnowed fingerprints; a semi-join on their hashes tells which texts have one of any item's.
+    Those texts alone are asked further: hashes of their spans of the length that counts meet those of items, so pairs of a
+    text and an item are formed only where a span is shared, not where a common gram is. Texts with such a pair are shipped,
+    once each, with the items to extend the hits over. All sides of joins are written tables or plain shuffles, so that
+    Spark splits what a common passage makes large.
     """
     digest = F.unhex(F.md5(F.col("text")))
     texts = rows.select(F.col("__text").alias("text")).where("text is not null").select(digest.alias("key"), "text")
@@ -219,10 +247,14 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     named = materialize(named, "items")
     lengths = named.select(F.least(F.regexp_count("text", F.lit(JVM_WORD)), F.lit(WINDOW_WORDS)).alias("n")).where("n > 0").distinct()
     kinds = sorted(kind_of(r["n"]) for r in lengths.collect())  # WINDOW_WORDS rows at most
-    wanted = materialize(named.select("key", "text").mapInArrow(_fingerprinted(None), "key binary, h bigint").select(F.col("key").alias("item_key"), "h"), "item-prints")
+    wanted = materialize(named.select("key", "text").mapInArrow(_fingerprinted(None), "key binary, h bigint").select("h").distinct(), "item-prints")
     held = materialize(texts.mapInArrow(_fingerprinted(kinds), "key binary, h bigint").distinct(), "prints")
+    near = materialize(held.join(wanted.hint("merge"), "h", "left_semi").select("key").distinct(), "near")
+    near = materialize(texts.join(near.hint("merge"), "key", "left_semi").dropDuplicates(["key"]), "near-texts")
+    wanted = materialize(named.select("key", "text").mapInArrow(_fingerprinted(None, True), "key binary, h bigint").withColumnRenamed("key", "item_key"), "item-spans")
+    held = materialize(near.mapInArrow(_fingerprinted(kinds, True), "key binary, h bigint"), "spans")
     pairs = materialize(held.join(wanted.hint("merge"), "h").select("key", "item_key").distinct(), "pairs")
-    asked = texts.join(pairs.select("key").distinct().hint("merge"), "key", "left_semi").select("key", F.lit(0).alias("kind"), F.lit("").alias("item"), "text").dropDuplicates(["key"])
+    asked = near.join(pairs.select("key").distinct().hint("merge"), "key", "left_semi").select("key", F.lit(0).alias("kind"), F.lit("").alias("item"), "text")
     over = pairs.join(named.withColumnRenamed("key", "item_key"), "item_key").select("key", F.lit(1).alias("kind"), "item", "text")
     found = asked.unionByName(over).repartition("key").sortWithinPartitions("key", "kind", "item").mapInArrow(_extended, "key binary, __spans array<bigint>, __items array<string>")
     found = materialize(found.withColumnRenamed("key", "__found"), "hits")
@@ -241,8 +273,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     Texts that repeat have equal results, very long ones are searched whole. Result columns replace columns of ``docs``
     that have their names. An empty table on either side gives no hit.
 
-    The benchmark's size is measured. Up to BLOCK_BYTES of text, its fingerprints travel with the tasks: documents are read
-    once and nothing is shuffled. Beyond, fingerprints of both sides meet in a shuffle join, see ``_joined``.
+    The benchmark's size is measured, as what a worker would hold of it. Up to BLOCK_BYTES, its fingerprints travel with the
+    tasks: documents are read once and nothing is shuffled. Beyond, fingerprints of both sides meet in a shuffle join, see
+    ``_joined``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -251,7 +284,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     text = F.col(text_col).cast("string")
     rows = docs.select(*[F.col(c) for c in kept], text.alias("__text"))
     listed = benchmark.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text"))
-    if (listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BLOCK_BYTES:
+    size = F.octet_length("item") + ITEM_BYTES + F.octet_length("text") + WORD_BYTES * F.regexp_count("text", F.lit(JVM_WORD))
+    if (listed.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BLOCK_BYTES:
         block = spark.sparkContext.broadcast(Block([(r["item"], r["text"]) for r in listed.collect()]))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "__n_words bigint, __spans array<bigint>, __items array<string>"])
         state = rows.mapInArrow(_search(block, kept), schema)
