@@ -48,7 +48,7 @@ def test_odd_rows_and_empty_tables(spark, docs, name):
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = queries.QUERIES[name](spark, SF)
     cols = sorted(rows.columns)
