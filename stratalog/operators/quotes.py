@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,30 +25,70 @@ CUE = r"\[(\d{1,2}:\d{2}(?::\d{2})?)(?U:\s*)-->(?U:\s*)(\d{1,2}:\d{2}(?::\d{2})?
 MAX_ANCHORS, MAX_QUOTE, FUZZY, RECALL = 6, 100, 0.78, 0.55
 #: Greatest length of the blocks on which containment candidates meet.
 PIECE = 24
+#: Bytes of quotes, and for each of them, of which an automaton travels with the tasks; a node, one a character at most, takes some forty.
+AUTOMATON_BYTES, QUOTE_BYTES = 1 << 20, 64
 #: Quotes that one pass over the texts looks for, and classes of pairs of characters in its filter.
 BLOCK_QUOTES, PAIR_CLASSES = 2000, 1 << 14
 
 
 def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFrame:
-    """(doc_id, quote_id) of folded quotes that are substrings of folded texts. Empty folds match nothing.
+    """(doc_id, quote_id) of folded quotes that are substrings of folded texts, each pair once. Empty folds match nothing.
+
+    The quotes' size is measured. Up to AUTOMATON_BYTES, an automaton of them passes over each text where it lies, and only
+    pairs are shuffled. Beyond, texts and quotes meet on blocks, see ``_on_blocks``.
+    """
+    q = quotes.select("quote_id", fold(F.col("quote")).alias("needle")).where("needle <> ''")
+    texts = docs.select("doc_id", fold(F.col("text")).alias("hay")).where("hay <> ''")
+    size = q.agg(F.sum((F.octet_length("needle") + QUOTE_BYTES).cast("long"))).first()[0] or 0
+    found = _by_automaton(q, texts) if size <= AUTOMATON_BYTES else _on_blocks(q, texts, piece)
+    return found.distinct()  # ids that repeat on either side meet once
+
+
+def _by_automaton(q: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, quote_id) of quotes (quote_id, needle), few enough to travel with the tasks, and texts (doc_id, hay)."""
+    held = q.toArrow()
+    ids, needles = held.column("quote_id").combine_chunks(), held.column("needle").to_pylist()
+    shared = q.sparkSession.sparkContext.broadcast((ids, needles))
+
+    def run(batches):
+        ids, needles = shared.value
+        own: dict[str, list[int]] = {}
+        for i, needle in enumerate(needles):
+            own.setdefault(needle, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for needle, places in own.items():
+            automaton.add_word(needle, places)
+        if own:
+            automaton.make_automaton()
+        for batch in batches if own else ():
+            rows, found = [], []
+            for i, hay in enumerate(batch.column(1).to_pylist()):
+                hit = sorted({k for _, places in automaton.iter(hay) for k in places})
+                rows += [i] * len(hit)
+                found += hit
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), ids.take(pa.array(found, pa.int64()))], ["doc_id", "quote_id"])
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, quote_id {q.schema['quote_id'].dataType.simpleString()}")
+
+
+def _on_blocks(q: DataFrame, texts: DataFrame, piece: int) -> DataFrame:
+    """(doc_id, quote_id) of quotes (quote_id, needle) and texts (doc_id, hay), by a join.
 
     Texts are cut in blocks of ``piece`` characters from their start. A quote of 2 * piece - 1 characters or more covers
     a whole block wherever it lies, at one of its first ``piece`` offsets: texts emit their blocks, quotes the pieces at
     those offsets, and the join is an equi-join of hashes; ``contains`` verifies. Shorter quotes meet on shorter blocks.
     """
-    q = quotes.select("quote_id", fold(F.col("quote")).alias("needle")).where("needle <> ''")
     q = q.withColumn("len", F.least(F.floor((F.length("needle") + 1) / 2).cast("int"), F.lit(piece)))
     width = F.col("len")
     # The characters are bound as a lambda's variable, so that they are split once, not for every offset.
     starts = F.transform(F.array(characters(F.substring("needle", 1, 2 * piece - 1))), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), width), lambda i: F.xxhash64(F.array_join(F.slice(c, i, width), "")))))
     asked = q.select("quote_id", "len", F.explode(F.get(starts, F.lit(0))).alias("h"))
-    texts = docs.select("doc_id", fold(F.col("text")).alias("hay")).where("hay <> ''")
     lengths = q.select("len").distinct()  # at most ``piece`` lengths
     blocks = F.regexp_extract_all("hay", F.concat(F.lit("(?s).{"), width.cast("string"), F.lit("}")), F.lit(0))
     pieces = texts.join(F.broadcast(lengths), F.length("hay") >= width).select("doc_id", "len", F.explode(F.array_distinct(F.transform(blocks, lambda x: F.xxhash64(x)))).alias("h"))
     found = pieces.join(asked, ["len", "h"]).select("doc_id", "quote_id").distinct()
     sure = found.join(q.select("quote_id", "needle"), "quote_id").join(texts, "doc_id").where(F.contains("hay", F.col("needle")))
-    return sure.select("doc_id", "quote_id").distinct()  # ids that repeat on either side meet once
+    return sure.select("doc_id", "quote_id")
 
 
 def recall(cues: DataFrame, windows: DataFrame, margin: float = 25) -> DataFrame:

@@ -86,3 +86,20 @@ def test_candidates_of_a_name_that_a_third_of_notes_share(spark):
         assert {k: sorted(v) for k, v in got.items()} == want and len(want["shared"]) >= part.count() // 3
     finally:
         spark.conf.unset(conf)
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_contained_by_automaton_and_by_blocks(spark, monkeypatch, bound):
+    """Equal and nested quotes, ids that repeat, empty and null texts; both ways against ``in``."""
+    monkeypatch.setattr(quotes, "AUTOMATON_BYTES", bound)
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abAé 你,") for _ in range(n))
+    asked = [(i, make(r.randint(0, 8))) for i in range(40)] + [(i, make(70)) for i in range(40, 44)] + [(3, "a b"), (90, None), (91, "AB"), (92, "a-b"), (93, " ,")]
+    rows = [(i, make(r.randint(0, 60))) for i in range(60)] + [(i, make(9) + asked[40 + i % 4][1] + "b") for i in range(60, 68)] + [(5, "xx ab"), (5, "xx ab"), (80, None), (81, "")]
+    plain = lambda x: "".join(c for c in x or "" if c.isalnum()).lower()
+    got = quotes.contained(spark.createDataFrame(asked, "quote_id int, quote string"), spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {(d, q) for d, text in rows for q, quote in asked if plain(quote) and plain(quote) in plain(text)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(q >= 40 for _, q in want)
+    for some in (got.schema, quotes.contained(spark.createDataFrame([], "quote_id int, quote string"), spark.createDataFrame(rows, "doc_id long, text string")).schema):
+        assert [f.dataType.simpleString() for f in some] == ["bigint", "int"]
+    assert quotes.contained(spark.createDataFrame([], "quote_id int, quote string"), spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
