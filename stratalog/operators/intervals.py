@@ -1,9 +1,10 @@
-"""Joins of points and intervals on dyadic nodes.
+"""Joins of points and intervals, on dyadic nodes where a key has many rows.
 
 Time is cut in buckets, and buckets in a binary tree of nodes (level, number). An interval is the disjoint union of at
 most two nodes a level, its canonical cover; a point lies in one node of each level. So a point meets an interval in at
 most one node, and the join is an equi-join: an interval is dealt at most 2 log2(buckets) times however long it is, a
-point once a level that any cover has, and no pair comes twice.
+point once a level that any cover has, and no pair comes twice. Rows of a key with few rows are not dealt: all its pairs
+are compared where the key lies.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pairs compared for each row of a key, on average, up to which its rows meet on the key alone.
+PAIRS_A_ROW = 256
+
 
 def cover(low: Column, high: Column) -> Column:
     """Array of structs (level, node): the canonical cover of the buckets ``low`` to ``high``, both included; empty if high < low."""
@@ -51,15 +55,28 @@ def points_in(points: DataFrame, at: str, intervals: DataFrame, bounds: tuple[st
     return asked.join(dealt, [*keys, "__at"]).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__at")
 
 
+def _on_nodes(left: DataFrame, left_bounds: tuple[str, str], right: DataFrame, right_bounds: tuple[str, str], keys: list[str], unit: float) -> DataFrame:
+    """As ``overlapping``, on dyadic nodes. Of two intervals that overlap, one starts within the other: either the left one's start lies in the right one, or the right one's lies in the left one behind its start. Both are joins of points and intervals."""
+    (s0, e0), (s1, e1) = left_bounds, right_bounds
+    meet = (F.col(s0) <= F.col(e1)) & (F.col(s1) <= F.col(e0))
+    inside = points_in(left, s0, right, right_bounds, keys, unit).where(meet)
+    behind = points_in(right, s1, left, left_bounds, keys, unit).where(meet & (F.col(s1) > F.col(s0)))
+    return inside.unionByName(behind)
+
+
 def overlapping(left: DataFrame, left_bounds: tuple[str, str], right: DataFrame, right_bounds: tuple[str, str], keys: list[str], unit: float) -> DataFrame:
     """Pairs of rows of equal ``keys`` with left start <= right end and right start <= left end, each pair once.
 
-    Of two intervals that overlap, one starts within the other: either the left one's start lies in the right one, or the
-    right one's lies in the left one behind its start. Both are joins of points and intervals. As ``points_in`` for names and nulls.
+    The rows of each key are counted. Keys with at most PAIRS_A_ROW pairs a row are joined as they are, so that no row is
+    repeated; the others meet on dyadic nodes, see ``_on_nodes``. As ``points_in`` for names and nulls.
     """
     (s0, e0), (s1, e1) = left_bounds, right_bounds
-    meet = (F.col(s0) <= F.col(e1)) & (F.col(s1) <= F.col(e0))
-    inside = points_in(left, s0, right, right_bounds, keys, unit).where(meet)
-    behind = points_in(right, s1, left, left_bounds, keys, unit).where(meet & (F.col(s1) > F.col(s0)))
     columns = [*keys, *(c for c in left.columns if c not in keys), *(c for c in right.columns if c not in keys)]
-    return inside.select(*columns).unionByName(behind.select(*columns))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys)
+    many = counts.where(F.col("__n").cast("double") * F.col("__m") > (F.col("__n") + F.col("__m")) * float(PAIRS_A_ROW)).select(*keys)
+    meet = (F.col(s0) <= F.col(e1)) & (F.col(s1) <= F.col(e0))
+    if many.isEmpty():
+        return left.join(right, keys).where(meet).select(*columns)
+    few = left.join(many, keys, "left_anti").join(right, keys).where(meet)
+    dealt = _on_nodes(left.join(many, keys, "left_semi"), left_bounds, right.join(many, keys, "left_semi"), right_bounds, keys, unit)
+    return few.select(*columns).unionByName(dealt.select(*columns))
