@@ -70,3 +70,13 @@ def test_rows_of_small_keys_are_not_dealt(spark):
         want = sorted((x[1], y[1]) for own in by.values() for x in own for y in own if x[2] <= y[3] and y[2] <= x[3])
         assert sorted((x.i, x.j) for x in got.collect()) == want
     assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chapters_of_usual_videos_meet_their_chunks_without_dealing(spark):
+    """Chunks and chapters of a video are few, so no chunk is repeated for each level of a long chapter's cover."""
+    chunks = timeline.plan_chunks(spark.createDataFrame([("v", 100.0), ("w", 35.0)], "video_id string, duration double"), 10.0)
+    chapters = [("v", 0, 0.0, 100.0, "all"), ("v", 1, 15.0, 30.0, "mid"), ("w", 0, 5.0, 5.0, "empty"), ("w", 1, 30.0, 99.0, "end"), ("x", 0, 0.0, 9.0, "none")]
+    got = timeline.chapter_overlaps(chunks, spark.createDataFrame(chapters, "video_id string, ord int, start double, end double, title string"), 10.0)
+    want = {(v, c): [t for u, _, s, e, t in chapters if u == v and s < min(d, 10.0 * (c + 1)) and e > 10.0 * c and e > s] for v, d, n in (("v", 100.0, 10), ("w", 35.0, 4)) for c in range(n)}
+    assert {(x.video_id, x.chunk_id): x.titles for x in got.collect()} == want
+    assert "__at" not in got._jdf.queryExecution().analyzed().toString()
