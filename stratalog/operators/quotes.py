@@ -27,8 +27,10 @@ MAX_ANCHORS, MAX_QUOTE, FUZZY, RECALL = 6, 100, 0.78, 0.55
 PIECE = 24
 #: Bytes of quotes, and for each of them, of which an automaton travels with the tasks; a node, one a character at most, takes some forty.
 AUTOMATON_BYTES, QUOTE_BYTES = 1 << 20, 64
-#: Quotes that one pass over the texts looks for, and classes of pairs of characters in its filter.
+#: Quotes that one pass over the texts looks for, and classes of pairs of characters in the filter of a single match.
 BLOCK_QUOTES, PAIR_CLASSES = 2000, 1 << 14
+#: Of the fuzzy join: needles that stretches are compared with at once, pairs in a tile of that, and characters of text taken at a time.
+GROUP_NEEDLES, TILE_PAIRS, TAKEN_CHARACTERS = 256, 4096, 1 << 20
 
 
 def contained(quotes: DataFrame, docs: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -158,15 +160,19 @@ class _Needle:
             kept += starts[part[np.minimum(held, self.times).sum(1) >= need[part]]].tolist()
         return kept
 
-    def near(self, hay: str, threshold: float, strict: bool, hay_pairs: np.ndarray | None = None) -> bool:
-        """Whether any window's ratio reaches the threshold. Matching blocks are a common subsequence, so its length bounds theirs."""
+    def width(self, strict: bool) -> int:
+        return len(self.text) if strict else len(self.text) + 15
+
+    def near(self, hay: str, threshold: float, strict: bool, low: int = 0, high: int | None = None) -> bool:
+        """Whether the ratio of any window, or any that starts in [low, high), reaches the threshold. Matching blocks are a common subsequence, so its length bounds theirs."""
         n = len(self.text)
         if n < 4:
             return False
-        width = n if strict else n + 15
+        width, step = self.width(strict), max(1, n // 5)
         ratio = difflib.SequenceMatcher(None, autojunk=True)
         ratio.set_seq1(self.text)
-        for at in self.candidates(hay, _pairs(hay) if hay_pairs is None else hay_pairs, threshold, width):
+        starts = self.candidates(hay, _pairs(hay), threshold, width) if high is None else range(-(-low // step) * step, min(high, max(1, len(hay) - n + 1)), step)
+        for at in starts:
             window = hay[at : at + width]
             if 2.0 * self.common(window) / (n + len(window)) >= threshold:
                 ratio.set_seq2(window)
@@ -175,6 +181,110 @@ class _Needle:
         return False
 
 
+class _Group:
+    """Needles of about one length, and the bits by which stretches of text are compared with all of them at once.
+
+    A stretch holds whole all windows that start in its first ``step`` characters. No window has a longer subsequence in
+    common with a needle than its stretch has, and a needle's first 64 * words characters lose at most as many matches
+    as there are characters behind them. So a stretch whose common subsequence with that head is too short holds no window
+    at the threshold. One word is enough while the head has to match for the most part.
+    """
+
+    def __init__(self, needles: list[_Needle], numbers: list[int], alphabet: dict[str, int], threshold: float, strict: bool):
+        self.numbers = numbers
+        n = np.array([len(x.text) for x in needles])
+        self.longest = max(x.width(strict) for x in needles)
+        self.step = max(1, self.longest * 4 // 5)
+        need = lambda w: np.ceil(threshold * (n + w) / 2 - 1e-9)
+        self.words = next(k for k in range(1, -(-int(n.max()) // 64) + 1) if 64 * k >= n.max() or np.all(need(n) - np.maximum(n - 64 * k, 0) >= 0.7 * np.minimum(n, 64 * k)))
+        # A window that the text's end cuts is as long as the needle at least, or as the text.
+        self.behind, self.n, self.threshold = np.maximum(n - 64 * self.words, 0), n, threshold
+        self.inner = need(n if strict else n + 15) - self.behind
+        self.masks = np.zeros((self.words, len(alphabet) + 1, len(needles)), np.uint64)
+        for q, needle in enumerate(needles):
+            for i, c in enumerate(needle.text[: 64 * self.words]):
+                self.masks[i // 64, alphabet[c], q] |= np.uint64(1 << i % 64)
+
+    def stretches(self, codes: np.ndarray, bounds: np.ndarray):
+        """(text, start in it, place of the needle) of the stretches to look into. ``codes``: of all texts, one behind the other at ``bounds``; the last code is of no needle."""
+        counts = -(-np.diff(bounds) // self.step)
+        text = np.repeat(np.arange(len(counts)), counts)
+        start = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * self.step
+        size, length = max(1, TILE_PAIRS // len(self.numbers)), self.step + self.longest - 1
+        for at in range(0, len(text), size):
+            t, s = text[at : at + size], start[at : at + size]
+            whole = bounds[t + 1] - bounds[t]
+            place = s[:, None] + np.arange(length)
+            held = np.where(place < whole[:, None], codes[np.minimum(place + bounds[t][:, None], len(codes) - 1)], self.masks.shape[1] - 1).T.copy()
+            common = self._common(held)
+            cut = s + length > whole
+            least = np.ceil(self.threshold * (self.n + np.minimum(self.n, whole[:, None])) / 2 - 1e-9) - self.behind
+            rows, found = np.nonzero(common >= np.where(cut[:, None], least, self.inner))
+            yield from zip(t[rows].tolist(), s[rows].tolist(), found.tolist())
+
+    def _common(self, held: np.ndarray) -> np.ndarray:
+        """Lengths (stretches, needles) of the longest common subsequences with the needles' heads, ``held`` being the codes (places, stretches)."""
+        shape = (held.shape[1], len(self.numbers))
+        v = [np.full(shape, np.iinfo(np.uint64).max, np.uint64) for _ in range(self.words)]
+        u, total = np.empty(shape, np.uint64), np.empty(shape, np.uint64)
+        for column in held:
+            carry = None
+            for k, x in enumerate(v):
+                np.take(self.masks[k], column, 0, u, "clip")
+                np.bitwise_and(x, u, u)
+                np.add(x, u, total)
+                if self.words > 1:
+                    over = total < u
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
+                np.subtract(x, u, x)
+                np.bitwise_or(x, total, x)
+        return 64 * self.words - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+
+
+def _groups(needles: list[_Needle], threshold: float, strict: bool) -> tuple[list[_Group], np.ndarray]:
+    """The needles in groups of about one length, and the code of each code point."""
+    alphabet = {c: i for i, c in enumerate(sorted({c for x in needles for c in x.masks}))}
+    table = np.full(0x110000, len(alphabet), np.int32)
+    table[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    parts: list[list[int]] = []
+    for i in sorted(range(len(needles)), key=lambda i: len(needles[i].text)):
+        if parts and len(parts[-1]) < GROUP_NEEDLES and len(needles[i].text) * 4 <= len(needles[parts[-1][0]].text) * 5:
+            parts[-1].append(i)
+        else:
+            parts.append([i])
+    return [_Group([needles[i] for i in part], part, alphabet, threshold, strict) for part in parts], table
+
+
+def _taken(hays: list[str]):
+    """(first, last + 1) of runs of texts with about TAKEN_CHARACTERS together."""
+    first = size = 0
+    for i, hay in enumerate(hays):
+        size += len(hay)
+        if size >= TAKEN_CHARACTERS:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(hays):
+        yield first, len(hays)
+
+
+def _near_pairs(hays: list[str], needles: list[_Needle], groups: list[_Group], table: np.ndarray, threshold: float, strict: bool) -> set[tuple[int, int]]:
+    """(text, needle) of all texts and needles of which a window's ratio reaches the threshold."""
+    pairs: set[tuple[int, int]] = set()
+    for first, last in _taken(hays):
+        some = hays[first:last]
+        codes = table[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in some])))
+        for group in groups:
+            for i, low, found in group.stretches(codes, bounds):
+                pair = first + i, group.numbers[found]
+                if pair not in pairs and needles[pair[1]].near(some[i], threshold, strict, low, low + group.step):
+                    pairs.add(pair)
+    return pairs
+
+
 def _fuzzy(needle: str | None, hay: str | None, threshold: float, strict: bool) -> bool:
     return needle is not None and hay is not None and _Needle(needle).near(hay, threshold, strict)
 
@@ -193,9 +303,9 @@ def fuzzy_join(quotes: DataFrame, docs: DataFrame, threshold: float = FUZZY, str
     """(doc_id, quote_id) of all quotes (quote_id, quote) that ``fuzzy_match`` texts (doc_id, text), each pair of ids once.
 
     Quotes are cut in blocks of ``block`` by hash; a block travels with the tasks, and the texts are read once a block where
-    they lie. In a text, a running count of the pairs of characters that a quote has tells in numpy which windows can reach
-    the threshold (``_Needle.candidates``, which loses none); only those are matched. Quotes of fewer than four characters, and
-    null ones, match nothing.
+    they lie. Stretches of text of some windows' length are compared with all quotes of about one length at once, by the
+    bits of their longest common subsequences (``_Group``, which loses none); only the windows of those that can reach the
+    threshold are matched. Quotes of fewer than four characters, and null ones, match nothing.
     """
     spark = docs.sparkSession
     asked = quotes.select("quote_id", normalize_tokens(F.col("quote")).alias("needle")).where(F.length("needle") >= 4).distinct()
@@ -210,16 +320,11 @@ def fuzzy_join(quotes: DataFrame, docs: DataFrame, threshold: float = FUZZY, str
         held = spark.sparkContext.broadcast([(r["quote_id"], r["needle"]) for r in asked.where(F.pmod(F.xxhash64("quote_id", "needle"), F.lit(blocks)) == b).collect()])
 
         def run(batches, held=held):
-            needles = [(quote_id, _Needle(needle)) for quote_id, needle in held.value]
+            ids, needles = [quote_id for quote_id, _ in held.value], [_Needle(needle) for _, needle in held.value]
+            groups, table = _groups(needles, threshold, strict)
             for batch in batches:
-                rows, found = [], []
-                for i, hay in enumerate(batch.column(1).to_pylist()):
-                    pairs = _pairs(hay)
-                    for quote_id, needle in needles:
-                        if needle.near(hay, threshold, strict, pairs):
-                            rows.append(i)
-                            found.append(quote_id)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, id_type)], ["doc_id", "quote_id"])
+                pairs = sorted(_near_pairs(batch.column(1).to_pylist(), needles, groups, table, threshold, strict))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in pairs], pa.int64())), pa.array([ids[q] for _, q in pairs], id_type)], ["doc_id", "quote_id"])
 
         id_type = asked.select("quote_id").limit(0).toArrow().schema[0].type
         parts.append(texts.mapInArrow(run, schema))

@@ -47,6 +47,51 @@ def test_no_window_is_lost(strict, threshold):
     assert hits > 30
 
 
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("threshold", [0.78, 0.6, 0.95])
+def test_no_stretch_is_lost(strict, threshold, monkeypatch):
+    """Needles of one and of more words, in texts that are shorter, cut windows, or fill several stretches; small tiles and runs."""
+    monkeypatch.setattr(quotes, "TILE_PAIRS", 50)
+    monkeypatch.setattr(quotes, "TAKEN_CHARACTERS", 700)
+    r = random.Random(int(threshold * 100) + strict)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    hays = [make(r.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz你好"]), r.choice([1, 3, 20, 70, 90, 130, 400, 900])) for _ in range(30)]
+    texts = []
+    for n in (4, 5, 27, 60, 64, 65, 83, 100, 127, 128, 129, 190, 300) * 3:
+        hay = r.choice(hays)
+        at = r.choice([0, max(0, len(hay) - n), r.randint(0, max(0, len(hay) - n))])
+        texts.append("".join(r.choice(["", "Q", c + "Q"]) if r.random() < r.choice([0, 0.1, 0.2]) else c for c in hay[at : at + n]) + make("abcde", 4))
+    needles = [quotes._Needle(x) for x in texts]
+    groups, table = quotes._groups(needles, threshold, strict)
+    assert {g.words for g in groups} >= ({1, 2} if threshold < 0.9 else {1}) and sorted(q for g in groups for q in g.numbers) == list(range(len(needles)))
+    want = {(i, q) for i, hay in enumerate(hays) for q, x in enumerate(texts) if _plain(x, hay, threshold, strict)}
+    assert quotes._near_pairs(hays, needles, groups, table, threshold, strict) == want and want
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_common_subsequences_of_stretches(words):
+    r = random.Random(words)
+    texts = ["".join(r.choice("abc你") for _ in range(r.randint(64 * words - 20, 64 * words))) for _ in range(7)]
+    needles = [quotes._Needle(x) for x in texts]
+    group = quotes._Group(needles, list(range(7)), {c: i for i, c in enumerate("abc你")}, 0.78, False)
+    hays = ["".join(r.choice("abcz你") for _ in range(150)) for _ in range(5)]
+    got = group._common(quotes.np.array([["abc你z".index(c) for c in x] for x in hays]).T)
+    whole = [[x.common(hay) for x in needles] for hay in hays]
+    assert group.words == words and got.tolist() == whole
+
+
+def test_matching_is_done_for_few_windows(monkeypatch):
+    """Unlike texts in the same letters: no window is compared alone, though most hold many of the quotes' pairs of characters."""
+    r = random.Random(4)
+    syllables = ["the", "ing", "tion", "ha", "er", "re", "an", "st", "on", "nd", "or", "es"]
+    make = lambda n: "".join(r.choice(syllables) for _ in range(n))
+    needles, hays = [quotes._Needle(make(40)[:85]) for _ in range(20)], [make(200) for _ in range(20)]
+    calls = []
+    monkeypatch.setattr(quotes._Needle, "common", lambda self, window: calls.append(1) or 0)
+    assert quotes._near_pairs(hays, needles, *quotes._groups(needles, 0.78, False), 0.78, False) == set()
+    assert len(calls) < 400  # of some 14,000 windows
+
+
 @pytest.mark.parametrize("block", [2000, 2])
 def test_fuzzy_join_by_brute_force(spark, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
