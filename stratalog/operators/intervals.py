@@ -5,6 +5,9 @@ most two nodes a level, its canonical cover; a point lies in one node of each le
 most one node, and the join is an equi-join: an interval is dealt at most 2 log2(buckets) times however long it is, a
 point once a level that any cover has, and no pair comes twice. Rows of a key with few rows are not dealt: all its pairs
 are compared where the key lies.
+
+Rows that an explode made count for Spark as what they were made from, so joins here are merges by hint: neither side is
+sent to the driver as a small one.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ def points_in(points: DataFrame, at: str, intervals: DataFrame, bounds: tuple[st
     top = (int(longest or 0) + 1).bit_length()
     dealt = some.withColumn("__at", F.explode(cover(F.col("__low"), F.col("__high")))).drop("__low", "__high")
     asked = points.where(F.col(at).isNotNull()).withColumn("__at", F.explode(nodes_of(_bucket(F.col(at), unit), top)))
-    return asked.join(dealt, [*keys, "__at"]).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__at")
+    return asked.join(dealt.hint("merge"), [*keys, "__at"]).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__at")
 
 
 def _on_nodes(left: DataFrame, left_bounds: tuple[str, str], right: DataFrame, right_bounds: tuple[str, str], keys: list[str], unit: float) -> DataFrame:
@@ -76,7 +79,7 @@ def overlapping(left: DataFrame, left_bounds: tuple[str, str], right: DataFrame,
     many = counts.where(F.col("__n").cast("double") * F.col("__m") > (F.col("__n") + F.col("__m")) * float(PAIRS_A_ROW)).select(*keys)
     meet = (F.col(s0) <= F.col(e1)) & (F.col(s1) <= F.col(e0))
     if many.isEmpty():
-        return left.join(right, keys).where(meet).select(*columns)
-    few = left.join(many, keys, "left_anti").join(right, keys).where(meet)
+        return left.join(right.hint("merge"), keys).where(meet).select(*columns)
+    few = left.join(many, keys, "left_anti").join(right.hint("merge"), keys).where(meet)
     dealt = _on_nodes(left.join(many, keys, "left_semi"), left_bounds, right.join(many, keys, "left_semi"), right_bounds, keys, unit)
     return few.select(*columns).unionByName(dealt.select(*columns))

@@ -42,7 +42,7 @@ def chapter_overlaps(chunks: DataFrame, chapters: DataFrame, chunk_len: float) -
     spans = chapters.where("end > start").select("video_id", "ord", "title", "start", "end")
     hit = overlapping(chunks.select("video_id", "chunk_id", "t0", "t1"), ("t0", "t1"), spans, ("start", "end"), ["video_id"], chunk_len).where((F.col("start") < F.col("t1")) & (F.col("end") > F.col("t0")))
     titles = hit.groupBy("video_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("titles"))
-    return chunks.join(titles, ["video_id", "chunk_id"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    return chunks.join(titles.hint("merge"), ["video_id", "chunk_id"], "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
 
 
 def own_by_midpoint(segments: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from stratalog.operators import intervals, timeline
+from stratalog.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +82,24 @@ def test_chapters_of_usual_videos_meet_their_chunks_without_dealing(spark):
     want = {(v, c): [t for u, _, s, e, t in chapters if u == v and s < min(d, 10.0 * (c + 1)) and e > 10.0 * c and e > s] for v, d, n in (("v", 100.0, 10), ("w", 35.0, 4)) for c in range(n)}
     assert {(x.video_id, x.chunk_id): x.titles for x in got.collect()} == want
     assert "__at" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_chunks_of_many_videos_are_not_broadcast(spark):
+    """Spark takes 120 chunks for the one video that they were exploded from; they must not go to the driver as small."""
+    got = queries.tl_3_chapter_overlaps(spark, SF)
+    assert got.count() and len(got.collect()) == got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    sides = [x for x in re.split(r"BroadcastExchange", plan)[1:]]
+    assert "Generate explode" in plan and not any("Generate explode" in _below(x) for x in sides)
+
+
+def _below(text):
+    """Of a plan's text behind a node's name, the node's children: the lines that are indented further than the first one."""
+    lines = text.splitlines()[1:]
+    depth = lambda x: len(re.match(r"[ :+|-]*", x).group())
+    inner = []
+    for x in lines:
+        if inner and depth(x) < depth(inner[0]):
+            break
+        inner.append(x)
+    return "\n".join(inner)
