@@ -1,10 +1,14 @@
 """Personal data by patterns and by a character network.
 
 Four patterns find what is written by the rules (the base). A character-level bidirectional LSTM with CRF transitions, in
-numpy, learns from labelled spans and finds what is written otherwise. It reads overlapping windows of a text; its tags
-may open a span only around a digit or an @, so a window without either has one tagging, no span, and isn't computed.
-Spans that a window cuts are joined with those of its neighbours, and a choice over the whole text keeps the most
-convincing ones that don't overlap each other or the base.
+numpy, learns from labelled spans and finds what is written otherwise. It reads overlapping windows of a text. Spans that a
+window cuts are joined with those of its neighbours, and a choice over the whole text keeps the most convincing ones that
+don't overlap each other or the base.
+
+A span holds a digit, an @ or a spelled-out one, such as (at); ``fits`` and ``reconcile`` drop others. So the result is that
+of reading every window, though ``find_spans`` computes only those that can have a part in it: windows with such a sign and
+all windows that a cut span found in another one reaches, again and again. A span of the rest holds no sign, meets no cut
+span, and so is neither kept nor joined, nor tells against another.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
 _AT = re.compile(r"@|[\[(]at[\])]")
+#: What every span holds.
+_SIGN = re.compile(rf"{_ANCHOR.pattern}|{_AT.pattern}")
 
 #: Characters of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 96, 48
@@ -106,16 +112,36 @@ def _marked(codes: np.ndarray) -> np.ndarray:
 
 def windows(codes: np.ndarray) -> np.ndarray:
     """Starts of the windows of a text that hold a digit or an @; the last window ends with the text."""
-    n = len(codes)
-    at = np.flatnonzero(_marked(codes))
+    return _holding(np.flatnonzero(_marked(codes)), len(codes))
+
+
+def _last(n: int) -> int:
+    """The number of the last window of a text of ``n`` characters."""
+    return max(0, -(-(n - WINDOW) // STRIDE)) if n > WINDOW else 0
+
+
+def _holding(at: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of a text of ``n`` characters that hold one of the positions ``at``."""
     if not len(at):
         return at
-    last = max(0, -(-(n - WINDOW) // STRIDE)) if n > WINDOW else 0
+    last = _last(n)
     # A position lies in the window that starts at its stride and, if it reaches so far, in earlier ones.
     numbers = np.unique(np.concatenate([np.clip(at // STRIDE - k, 0, last) for k in range(WINDOW // STRIDE)] + [np.minimum(at // STRIDE, last)]))
     return numbers * STRIDE
 
 
+def signed_windows(text: str, codes: np.ndarray) -> list[int]:
+    """Starts of the windows of a text that hold a digit, an @ or a part of a spelled-out one."""
+    spelled = [i for m in _AT.finditer(text) for i in range(m.start(), m.end())]
+    return _holding(np.concatenate([np.flatnonzero(_marked(codes)), np.array(spelled, np.int64)]), len(codes)).tolist()
+
+
+def touching_windows(start: int, end: int, n: int) -> range:
+    """Starts of the windows of a text of ``n`` characters that overlap a span or end or start where it does."""
+    first = max(0, -(-(start - WINDOW) // STRIDE))
+    return range(first * STRIDE, min(end // STRIDE, _last(n)) * STRIDE + 1, STRIDE)
+
+
 class Model:
     """Weights of the two LSTMs, the emissions and the transitions, as float32 arrays."""
 
@@ -320,18 +346,22 @@ def reconcile(found: list[tuple], base: list[tuple[int, int, int]], text: str, l
             joined[-1] = (joined[-1][0], max(e, joined[-1][1]), kind, min(sure, joined[-1][3]))
         else:
             joined.append((s, e, kind, sure))
-    closed = sorted(whole)
-    starts = [s for s, _, _ in closed]
+    closed: list[tuple] = [([], []) for _ in KINDS]  # of each kind the starts, and the furthest end so far
+    for a, b, kind in sorted(whole):
+        starts, far = closed[kind]
+        starts.append(a)
+        far.append(max(b, far[-1]) if far else b)
     for s, e, kind, sure in joined:
-        near = closed[max(0, bisect.bisect_left(starts, s) - 1) : bisect.bisect_left(starts, e)]
-        if not any(k == kind and a < e and b > s for a, b, k in near):
+        starts, far = closed[kind]
+        before = bisect.bisect_left(starts, e)
+        if not (before and far[before - 1] > s):
             whole.setdefault((s, e, kind), sure)
     firm = sorted((s, e) for s, _, e in base)
     fixed, reach = [s for s, _ in firm], list(np.maximum.accumulate([e for _, e in firm])) if firm else []
     options = []
     for (s, e, kind), sure in whole.items():
         before = bisect.bisect_left(fixed, e)
-        if sure >= least and not (before and reach[before - 1] > s) and _ANCHOR.search(text, s, e) and fits(kind, text[s:e]):
+        if sure >= least and not (before and reach[before - 1] > s) and _SIGN.search(text, s, e) and fits(kind, text[s:e]):
             options.append((e, s, kind, sure))
     options.sort()
     ends, value, take = [o[0] for o in options], [0.0], []
@@ -352,11 +382,13 @@ def reconcile(found: list[tuple], base: list[tuple[int, int, int]], text: str, l
 
 
 def find_spans(model: Model | None, texts: list[str | None], least: float = LEAST) -> list[list[tuple[int, int, int, float, bool]]]:
-    """(start, kind, end, confidence, of the base) of each text in order. Windows of all the texts go through the network together, equal ones once."""
+    """(start, kind, end, confidence, of the base) of each text in order, as if every window was read (see above). Windows of all the texts go through the network together, equal ones once."""
     base = [base_spans(t) for t in texts]
     found: list[list] = [[] for _ in texts]
     held: dict[bytes, list] = {}
-    lengths = {}
+    codes: dict[int, np.ndarray] = {}
+    read: dict[int, set] = {}
+    more: list[tuple] = []
 
     def flush():
         rows = list(held)
@@ -366,19 +398,30 @@ def find_spans(model: Model | None, texts: list[str | None], least: float = LEAS
         tags, sure = decode(model, x)
         for i in np.flatnonzero(tags.any(1)):
             for doc, start in held[rows[i]]:
-                found[doc] += _runs(tags[i], sure[i], start, lengths[doc])
+                runs = _runs(tags[i], sure[i], start, len(codes[doc]))
+                found[doc] += runs
+                more.extend((doc, s, e) for s, e, _, _, left, right in runs if left or right)
         held.clear()
 
+    def ask(doc, start):
+        if start not in read[doc]:
+            read[doc].add(start)
+            held.setdefault(codes[doc][start : start + WINDOW].tobytes(), []).append((doc, start))
+            if len(held) >= 512:
+                flush()
+
     for doc, text in enumerate(texts if model else ()):
-        if text and _ANCHOR.search(text):
-            codes = _codes(text)
-            lengths[doc] = len(codes)
-            for start in windows(codes).tolist():
-                held.setdefault(codes[start : start + WINDOW].tobytes(), []).append((doc, start))
-                if len(held) >= 512:
-                    flush()
-    if held:
-        flush()
+        if text and _SIGN.search(text):
+            codes[doc], read[doc] = _codes(text), set()
+            for start in signed_windows(text, codes[doc]):
+                ask(doc, start)
+    while held or more:
+        if held:
+            flush()
+        cut, more[:] = list(more), []
+        for doc, s, e in cut:
+            for start in touching_windows(s, e, len(codes[doc])):
+                ask(doc, start)
     return [sorted([(s, k, e, 1.0, True) for s, k, e in b] + [(s, k, e, c, False) for s, k, e, c in (reconcile(f, b, t or "", least) if f else [])]) for b, f, t in zip(base, found, texts)]
 
 
