@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more), the document with the least doc_id. Columns come back as they were, whatever their names; of rows that repeat id and text, the first by its columns."""
+    """Of each group of near duplicates (candidates by SimHash and Golay keys; five-word shingles, Jaccard similarity 0.8 or more), the document with the least doc_id. Columns come back as they were, whatever their names; of rows that repeat id and text, the first by its columns."""
     return near_dedup.keep_one(docs)
 
 

@@ -1,13 +1,21 @@
-"""Near-duplicate removal by exact Jaccard similarity of five-word shingles.
+"""Near-duplicate removal by SimHash fingerprints, Golay-code fuzzy hashing and exact Jaccard similarity of five-word shingles.
 
-Candidates are texts that share a band of MinHash values: a pair of similarity s shares one of BANDS bands of ROWS values
-with probability 1 - (1 - s^ROWS)^BANDS, which is 1 - 3e-6 at 0.8 and more above it. Whatever shares a band is compared
-by its sets of shingle hashes, so only pairs at SIMILARITY or more are linked. (Golay keys of SimHash fingerprints, as op5
-has them, would need single segments as keys to reach 13 of 64 bits: 4096 buckets a segment, at any size of corpus.)
+A bit of a fingerprint is the majority of a bit of the text's distinct shingle hashes, as in op5, and a fingerprint has as
+many bits as it takes: PRINT_BITS that are compared, and a word of the Golay code [23, 12, 7] for each table. A table's key
+is the codeword's index. Two texts at a similarity of 0.8 differ in 15 of 100 bits, beyond what one word corrects, so of the
+codewords that ``golay_indices`` finds near a word the key takes the one that the votes disagree with least, and there are
+TABLES words: such texts are candidates with probability 1 - 3e-6 (few shingles: 1 - 1e-5), more similar ones with more. From 2^18 texts on, keys have a sign bit of the next word more for each
+doubling, and there are more tables, so that buckets of unrelated texts stay at BUCKET_TEXTS and the chance of a pair stays
+what it is. In a bucket, texts whose fingerprints are at most PRINT_DISTANCE bits apart are candidates.
+
+All texts of a component of candidates are then compared by their sets of shingle hashes, so only pairs at SIMILARITY or
+more are linked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,29 +23,67 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, discard, materialize, mix64
 from .components import connected_components
-from .simhash_golay import shingle_hashes
+from .simhash_golay import CODE_BITS, golay_indices, golay_tables, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: At least SIMILARITY[0] / SIMILARITY[1] of the shingles of two linked texts are common to both.
 SIMILARITY = (4, 5)
-BANDS, ROWS = 24, 4
+#: Bits of a fingerprint that are compared, and in how many of them candidates may differ.
+PRINT_BITS, PRINT_DISTANCE = 128, 40
+#: Tables where a key is an index alone, and how many times as many each sign bit takes: 1 / (1 - 0.16).
+TABLES, TABLES_A_BIT = 64, 1.19
+#: Unrelated texts that a bucket may have at even spread.
+BUCKET_TEXTS = 64
+#: Rows that are compared at a time, members of a bucket of which all pairs are, and members that are compared by stars.
+PIECE_ROWS, ALL_PAIRS, BUCKET_MEMBERS = 1 << 16, 256, 1 << 18
 #: Bytes of shingle hashes that one task compares at once, and what a member costs besides its hashes, as a number of those.
 BUCKET_BYTES, MEMBER_HASHES = 8 << 20, 16
-#: Members of a larger band that all its blocks are compared with.
-PIVOTS = 8
-_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: How often a larger component is cut in blocks, and its members that all blocks of a cut are compared with.
+ROUNDS, PIVOTS = 4, 8
+
+
+def key_shape(texts: int) -> tuple[int, int]:
+    """Tables and sign bits of a key for so many distinct texts."""
+    bits = max(0, math.ceil(math.log2(max(1, texts) / BUCKET_TEXTS)) - 12)
+    return math.ceil(TABLES * TABLES_A_BIT**bits), bits
+
+
+def votes(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """Of each bit of a fingerprint: how many more of the distinct ``hashes`` have it than not."""
+    factors = mix64(np.arange(1, -(-n_bits // 64) + 1, dtype=np.uint64)) | np.uint64(1)
+    ones = np.zeros(64 * len(factors), np.int64)
+    for at in range(0, len(hashes), 255):
+        part = mix64(hashes[at : at + 255, None] * factors).astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return (2 * ones[:n_bits] - len(hashes)).astype(np.int32)
+
 
+def nearest_indices(votes: np.ndarray) -> np.ndarray:
+    """Of words given as votes (n, 23): the index of that of ``golay_indices`` whose codeword goes against the fewest votes."""
+    words = ((votes > 0).astype(np.int64) << np.arange(CODE_BITS)).sum(1)
+    near, used = golay_indices(words)
+    t = golay_tables()
+    errors = t["errors"][t["low"][words & 0xFFF] ^ t["high"][words >> 12]]
+    against = np.stack([(np.abs(votes) * (e[:, None] >> np.arange(CODE_BITS) & 1)).sum(1) for e in errors.T], 1)
+    against[~used] = np.iinfo(against.dtype).max
+    return near[np.arange(len(near)), against.argmin(1)]
 
-def band_keys(text: bytes) -> np.ndarray:
-    """A key a band; texts without words share all of theirs."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for hashes in shingle_hashes(text, SHINGLE_WORDS):
-        for at in range(0, len(hashes), 1024):
-            np.minimum(low, (hashes[None, at : at + 1024] * _FACTORS[:, None]).min(1), out=low)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return keys.view(np.int64)
+
+def print_keys(votes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (texts, bits) to fingerprints (texts, 2) and a key a table; texts without words have only zeros for votes."""
+    prints = np.packbits(votes[:, :PRINT_BITS] > 0, axis=1, bitorder="little").view("<u8")
+    words = votes[:, PRINT_BITS:].reshape(len(votes), -1, CODE_BITS)
+    index = nearest_indices(words.reshape(-1, CODE_BITS)).reshape(words.shape[:2])
+    signs = ((np.roll(words, -1, 1)[:, :, :bits] > 0).astype(np.int64) << np.arange(bits)).sum(2)
+    return prints, (np.arange(words.shape[1]) << 12 | index) << bits | signs
+
+
+def looked_up(hashes: np.ndarray) -> list[np.ndarray]:
+    """The sets that a text is found by: its own, and with five shingles those of four too.
+
+    A set of four and one more is the pair whose bits differ most, 0.19; all other pairs at SIMILARITY differ in at most 0.16.
+    """
+    return [hashes, *(np.delete(hashes, i) for i in range(5))] if len(hashes) == 5 else [hashes]
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -74,11 +120,104 @@ def similar_stars(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], li
     return a, b
 
 
+def _printed(tables: int, bits: int):
+    """Rows (node, text) to (node, fingerprint of two longs, keys)."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary())
+            for at in range(0, len(nodes), 64):
+                found, owners = [], []
+                for node, text in zip(nodes[at : at + 64], texts[at : at + 64].to_pylist()):
+                    for hashes in looked_up(shingle_set(text or b"")):
+                        found.append(votes(hashes, PRINT_BITS + CODE_BITS * tables))
+                        owners.append(node)
+                prints, keys = print_keys(np.stack(found), bits)
+                columns = [pa.array(owners, pa.int64()), *(pa.array(p.view(np.int64)) for p in np.ascontiguousarray(prints.T)), pa.array([k.tobytes() for k in keys], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "x", "y", "keys"])
+
+    return run
+
+
 def _keyed(batches):
     for batch in batches:
-        keys = [band_keys(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(owners, pa.int64())], ["key", "node"])
+        node, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        keys = [np.frombuffer(k, np.int64) for k in batch.column(3).to_pylist()]
+        step = max(1, PIECE_ROWS // len(keys[0])) if keys else 1
+        for at in range(0, len(keys), step):
+            part = keys[at : at + step]
+            n = len(part[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), *(pa.array(np.repeat(c[at : at + step], n)) for c in (node, x, y))], ["key", "node", "x", "y"])
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which fingerprints (two longs on the last axis) are at most PRINT_DISTANCE bits apart."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.uint8) <= PRINT_DISTANCE
+
+
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key: links (a, b) of nodes that join all near fingerprints of a bucket, at most one a row."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    root = np.arange(len(keys))
+    at, place = np.flatnonzero(np.repeat(sizes, sizes) <= ALL_PAIRS), np.repeat(starts + sizes, sizes)
+    i, j, d = [], [], 1
+    while len(at := at[at + d < place[at]]):
+        hit = at[_near(prints[at], prints[at + d])]
+        i, j, d = [*i, hit], [*j, hit + d], d + 1
+    if i:
+        i, j = np.concatenate(i), np.concatenate(j)
+        while (root[i] != root[j]).any():
+            least = np.minimum(root[i], root[j])
+            np.minimum.at(root, root[i], least)
+            np.minimum.at(root, root[j], least)
+            root = root[root]
+    for start, size in zip(starts[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS]):
+        left = np.arange(start, start + size)
+        if size > BUCKET_MEMBERS:
+            root[left], left = start, left[:0]
+        while len(left):
+            first, todo, left = left[0], left[:1], left[1:]
+            while len(todo) and len(left):
+                hit = _near(prints[left], prints[todo[0]])
+                for ask in todo[1:16]:
+                    hit |= _near(prints[left], prints[ask])
+                root[left[hit]] = first
+                todo, left = np.concatenate([todo[16:], left[hit]]), left[~hit]
+    linked = nodes != nodes[root]
+    return nodes[linked], nodes[root[linked]]
+
+
+def _candidates(batches):
+    """Rows (key, node, x, y) sorted by key to links. A bucket of over BUCKET_MEMBERS is linked whole as it passes, as each pair in it is compared later."""
+    held, n, whole = [], 0, None
+
+    def out(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        if whole is not None:
+            same = int(np.searchsorted(rows[:, 0], whole[0], "right"))
+            yield out(rows[:same, 1], np.full(same, whole[1]))
+            rows = rows[same:]
+            whole = whole if not len(rows) else None
+        held, n = [*held, rows], n + len(rows)
+        if n < PIECE_ROWS:
+            continue
+        rows = np.concatenate(held)
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))
+        if last:
+            yield out(*bucket_links(rows[:last, 0], rows[:last, 1], rows[:last, 2:].view(np.uint64)))
+        rows = rows[last:]
+        if len(rows) > BUCKET_MEMBERS:
+            whole = rows[0, 0], rows[0, 1]
+            yield out(rows[:, 1], np.full(len(rows), whole[1]))
+            rows = rows[:0]
+        held, n = [rows], len(rows)
+    rows = np.concatenate(held) if n else None
+    if n:
+        yield out(*bucket_links(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64)))
 
 
 def _sets(batches):
@@ -114,22 +253,27 @@ def _compared(dealt: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, classes: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """``texts`` (node: hash of the text, id, text) and ``classes`` (node, first_id; a row a node) to links (a, b) of nodes.
 
-    Bands with the same members are compared once, each in one task. ``_links_of_large`` takes those of over BUCKET_BYTES
-    of hashes. Tables that the links are read from are added to ``spent``, for the caller to delete when the links are written.
+    One shuffle deals (key, node, fingerprint) by key. Each component of candidates is compared once, in one task.
+    ``_links_of_large`` takes those of over BUCKET_BYTES of hashes. Tables that the links are read from are added to
+    ``spent``, for the caller to delete when the links are written.
     """
-    keys = texts.select("node", "text").mapInArrow(_keyed, "key bigint, node bigint").distinct()
-    keys = materialize(keys, "bands")
-    bands = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).where("n > 1")
-    bands = bands.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = materialize(keys.join(bands, "key").select("key", "node"), "members")
+    tables, bits = key_shape(classes.count())
+    prints = texts.select("node", "text").mapInArrow(_printed(tables, bits), "node bigint, x bigint, y bigint, keys binary").distinct()
+    prints = materialize(prints, "prints")
+    found = prints.mapInArrow(_keyed, "key bigint, node bigint, x bigint, y bigint").repartition("key").sortWithinPartitions("key")
+    found = materialize(found.mapInArrow(_candidates, "a bigint, b bigint").where("a <> b").distinct(), "candidates")
+    discard(prints)
+    roots = connected_components(found)
+    members = roots.select(F.col("root").alias("key"), "node").unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("node")).distinct())
+    members = materialize(members, "members")
+    discard(found, roots)
     need = members.select("node").distinct().join(classes, "node").select(F.col("node").alias("__node"), F.col("first_id").alias("__id"))
     sets = texts.join(need.hint("merge"), (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("node", "text")
     sets = materialize(sets.mapInArrow(_sets, "node bigint, n bigint, hashes binary"), "sets")
     cost = F.sum(F.col("n") + MEMBER_HASHES)
     blocks = F.ceil(cost * F.lit(16 / BUCKET_BYTES)).cast("long")
     sizes = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.when(cost * 8 > BUCKET_BYTES, blocks).otherwise(F.lit(1).cast("long")).alias("blocks"))
-    discard(keys)
-    sizes = materialize(sizes, "sizes")  # so that Spark can split a band that many texts share
+    sizes = materialize(sizes, "sizes")  # so that Spark can split a component that many texts are in
     spent += [members, sets, sizes]
     large = sizes.where("blocks > 1")
     if large.isEmpty():
@@ -139,19 +283,22 @@ def similar_links(texts: DataFrame, classes: DataFrame, spent: list[DataFrame])
 
 
 def _links_of_large(small: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the deals ``small`` (deal, node) and of bands too large for a task, ``large`` (key, node, blocks).
+    """Links of the deals ``small`` (deal, node) and of components too large for a task, ``large`` (key, node, blocks).
 
-    A large band is cut in blocks by hash. First each block is compared within itself and with PIVOTS members of the band,
-    which leaves a group of near copies one component. Then only members outside the band's largest component still have to
-    meet the rest: they go to every block while they fit in a task, else the band is dealt as pairs of blocks. So every
-    pair of members has met or is in one component, and what is dealt grows with the band unless it holds much else.
+    A large component is cut in blocks by hash, ROUNDS times. First each block is compared within itself and with PIVOTS
+    members of the component, which leaves a group of near copies one component of links. Then only members outside the
+    largest of these still have to meet the rest: they go to every block while they fit in a task, else all members are
+    dealt as pairs of blocks. So every pair of members has met or is linked through others, and what is dealt grows with
+    the component unless it holds much else.
     """
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     large = large.join(sets.select("node", "n"), "node").select("key", "node", (F.col("n") + MEMBER_HASHES).alias("n"), "blocks", own.alias("own"))
     large = materialize(large, "large")
-    pivots = large.groupBy("key", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(PIVOTS))).agg(F.min("node").alias("node"))
+    each = large.select("key", "node", "blocks", F.explode(F.array(*[F.lit(i) for i in range(ROUNDS)])).alias("round"))
+    pivots = each.groupBy("key", "blocks", "round", F.pmod(F.xxhash64(F.lit(1), "round", "node"), F.lit(PIVOTS))).agg(F.min("node").alias("node"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    first = large.select("key", "own", "node").unionByName(pivots.select("key", every.alias("own"), "node"))
+    first = each.select("key", "round", F.pmod(F.xxhash64("round", "node"), F.col("blocks")).alias("own"), "node")
+    first = first.unionByName(pivots.select("key", "round", every.alias("own"), "node")).select("key", F.struct("round", "own").alias("own"), "node")
     links = small.unionByName(first.select(F.xxhash64("key", "own").alias("deal"), "node"))
     links = materialize(_compared(links, sets), "near")
     roots = connected_components(links).withColumnRenamed("node", "member")
