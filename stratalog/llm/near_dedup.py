@@ -4,12 +4,13 @@ A bit of a fingerprint is the majority of a bit of the text's distinct shingle h
 many bits as it takes: PRINT_BITS that are compared, and a word of the Golay code [23, 12, 7] for each table. A table's key
 is the codeword's index. Two texts at a similarity of 0.8 differ in 15 of 100 bits, beyond what one word corrects, so of the
 codewords that ``golay_indices`` finds near a word the key takes the one that the votes disagree with least, and there are
-TABLES words: such texts are candidates with probability 1 - 3e-6 (few shingles: 1 - 1e-5), more similar ones with more. From 2^18 texts on, keys have a sign bit of the next word more for each
-doubling, and there are more tables, so that buckets of unrelated texts stay at BUCKET_TEXTS and the chance of a pair stays
-what it is. In a bucket, texts whose fingerprints are at most PRINT_DISTANCE bits apart are candidates.
+TABLES words: such texts are candidates with probability 1 - 3e-6 (few shingles: 1 - 1e-5), more similar ones with more.
+From 2^18 texts on, keys have a sign bit of the next word more for each doubling, and there are more tables, so that buckets
+of unrelated texts stay at BUCKET_TEXTS and the chance of a pair stays what it is. Texts of a bucket whose fingerprints are
+at most PRINT_DISTANCE bits apart, or are joined by such, are a group of candidates.
 
-All texts of a component of candidates are then compared by their sets of shingle hashes, so only pairs at SIMILARITY or
-more are linked.
+The texts of a group are then compared by their sets of shingle hashes, so only pairs at SIMILARITY or more are linked. (Groups
+of different buckets aren't merged: chains of half-similar texts would grow with the corpus.)
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ BUCKET_TEXTS = 64
 PIECE_ROWS, ALL_PAIRS, BUCKET_MEMBERS = 1 << 16, 256, 1 << 18
 #: Bytes of shingle hashes that one task compares at once, and what a member costs besides its hashes, as a number of those.
 BUCKET_BYTES, MEMBER_HASHES = 8 << 20, 16
-#: How often a larger component is cut in blocks, and its members that all blocks of a cut are compared with.
-ROUNDS, PIVOTS = 4, 8
+#: Members of a larger group that all its blocks are compared with.
+PIVOTS = 8
 
 
 def key_shape(texts: int) -> tuple[int, int]:
@@ -155,8 +156,8 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.uint8) <= PRINT_DISTANCE
 
 
-def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key: links (a, b) of nodes that join all near fingerprints of a bucket, at most one a row."""
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: (key, a, b), where b is the first node of the bucket's group of near fingerprints that a is in."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
     root = np.arange(len(keys))
@@ -185,21 +186,21 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> tup
                 root[left[hit]] = first
                 todo, left = np.concatenate([todo[16:], left[hit]]), left[~hit]
     linked = nodes != nodes[root]
-    return nodes[linked], nodes[root[linked]]
+    return keys[linked], nodes[linked], nodes[root[linked]]
 
 
 def _candidates(batches):
-    """Rows (key, node, x, y) sorted by key to links. A bucket of over BUCKET_MEMBERS is linked whole as it passes, as each pair in it is compared later."""
+    """Rows (key, node, x, y) sorted by key to groups, as rows (key, a, b). A bucket of over BUCKET_MEMBERS is a group as it passes, as each pair in it is compared later."""
     held, n, whole = [], 0, None
 
-    def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def out(key, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, a, b)], ["key", "a", "b"])
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
         if whole is not None:
             same = int(np.searchsorted(rows[:, 0], whole[0], "right"))
-            yield out(rows[:same, 1], np.full(same, whole[1]))
+            yield out(rows[:same, 0], rows[:same, 1], np.full(same, whole[1]))
             rows = rows[same:]
             whole = whole if not len(rows) else None
         held, n = [*held, rows], n + len(rows)
@@ -212,7 +213,7 @@ def _candidates(batches):
         rows = rows[last:]
         if len(rows) > BUCKET_MEMBERS:
             whole = rows[0, 0], rows[0, 1]
-            yield out(rows[:, 1], np.full(len(rows), whole[1]))
+            yield out(rows[:, 0], rows[:, 1], np.full(len(rows), whole[1]))
             rows = rows[:0]
         held, n = [rows], len(rows)
     rows = np.concatenate(held) if n else None
@@ -253,7 +254,7 @@ def _compared(dealt: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, classes: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """``texts`` (node: hash of the text, id, text) and ``classes`` (node, first_id; a row a node) to links (a, b) of nodes.
 
-    One shuffle deals (key, node, fingerprint) by key. Each component of candidates is compared once, in one task.
+    One shuffle deals (key, node, fingerprint) by key. Groups with the same members are compared once, each in one task.
     ``_links_of_large`` takes those of over BUCKET_BYTES of hashes. Tables that the links are read from are added to
     ``spent``, for the caller to delete when the links are written.
     """
@@ -261,19 +262,22 @@ def similar_links(texts: DataFrame, classes: DataFrame, spent: list[DataFrame])
     prints = texts.select("node", "text").mapInArrow(_printed(tables, bits), "node bigint, x bigint, y bigint, keys binary").distinct()
     prints = materialize(prints, "prints")
     found = prints.mapInArrow(_keyed, "key bigint, node bigint, x bigint, y bigint").repartition("key").sortWithinPartitions("key")
-    found = materialize(found.mapInArrow(_candidates, "a bigint, b bigint").where("a <> b").distinct(), "candidates")
+    found = materialize(found.mapInArrow(_candidates, "key bigint, a bigint, b bigint").where("a <> b"), "candidates")
     discard(prints)
-    roots = connected_components(found)
-    members = roots.select(F.col("root").alias("key"), "node").unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("node")).distinct())
-    members = materialize(members, "members")
-    discard(found, roots)
+    group = F.xxhash64("key", "b").alias("key")
+    keys = materialize(found.select(group, F.explode(F.array("a", "b")).alias("node")).distinct(), "groups")
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    groups = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = materialize(keys.join(groups, "key").select("key", "node"), "members")
+    discard(found)
     need = members.select("node").distinct().join(classes, "node").select(F.col("node").alias("__node"), F.col("first_id").alias("__id"))
     sets = texts.join(need.hint("merge"), (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("node", "text")
     sets = materialize(sets.mapInArrow(_sets, "node bigint, n bigint, hashes binary"), "sets")
     cost = F.sum(F.col("n") + MEMBER_HASHES)
     blocks = F.ceil(cost * F.lit(16 / BUCKET_BYTES)).cast("long")
     sizes = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.when(cost * 8 > BUCKET_BYTES, blocks).otherwise(F.lit(1).cast("long")).alias("blocks"))
-    sizes = materialize(sizes, "sizes")  # so that Spark can split a component that many texts are in
+    discard(keys)
+    sizes = materialize(sizes, "sizes")  # so that Spark can split a group that many texts are in
     spent += [members, sets, sizes]
     large = sizes.where("blocks > 1")
     if large.isEmpty():
@@ -283,22 +287,19 @@ def similar_links(texts: DataFrame, classes: DataFrame, spent: list[DataFrame])
 
 
 def _links_of_large(small: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the deals ``small`` (deal, node) and of components too large for a task, ``large`` (key, node, blocks).
+    """Links of the deals ``small`` (deal, node) and of groups too large for a task, ``large`` (key, node, blocks).
 
-    A large component is cut in blocks by hash, ROUNDS times. First each block is compared within itself and with PIVOTS
-    members of the component, which leaves a group of near copies one component of links. Then only members outside the
-    largest of these still have to meet the rest: they go to every block while they fit in a task, else all members are
-    dealt as pairs of blocks. So every pair of members has met or is linked through others, and what is dealt grows with
-    the component unless it holds much else.
+    A large group is cut in blocks by hash. First each block is compared within itself and with PIVOTS members of the group,
+    which leaves a group of near copies one component. Then only members outside the group's largest component still have to
+    meet the rest: they go to every block while they fit in a task, else the group is dealt as pairs of blocks. So every
+    pair of members has met or is in one component, and what is dealt grows with the group unless it holds much else.
     """
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     large = large.join(sets.select("node", "n"), "node").select("key", "node", (F.col("n") + MEMBER_HASHES).alias("n"), "blocks", own.alias("own"))
     large = materialize(large, "large")
-    each = large.select("key", "node", "blocks", F.explode(F.array(*[F.lit(i) for i in range(ROUNDS)])).alias("round"))
-    pivots = each.groupBy("key", "blocks", "round", F.pmod(F.xxhash64(F.lit(1), "round", "node"), F.lit(PIVOTS))).agg(F.min("node").alias("node"))
+    pivots = large.groupBy("key", "blocks", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(PIVOTS))).agg(F.min("node").alias("node"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    first = each.select("key", "round", F.pmod(F.xxhash64("round", "node"), F.col("blocks")).alias("own"), "node")
-    first = first.unionByName(pivots.select("key", "round", every.alias("own"), "node")).select("key", F.struct("round", "own").alias("own"), "node")
+    first = large.select("key", "own", "node").unionByName(pivots.select("key", every.alias("own"), "node"))
     links = small.unionByName(first.select(F.xxhash64("key", "own").alias("deal"), "node"))
     links = materialize(_compared(links, sets), "near")
     roots = connected_components(links).withColumnRenamed("node", "member")
